@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
+from fiscalis.functions.labels import lookup
 from fiscalis.functions.text import first_match, last_segment
 
 
-def _lookup(table: dict[str, object], key: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.try_element_at(pairs, key)
-
-
 # --- fields of an API item -------------------------------------------------
 
 def spanish_text(values: Column) -> Column:
@@ -75,9 +70,9 @@ def region_of(publisher: Column, spatials: Column) -> Column:
         F.transform(spatials, lambda s: first_match(s, spatial_rules, lambda c, k: c.contains(k))),
         lambda slug: slug.isNotNull())
     return F.coalesce(
-        _lookup(known, publisher),
+        lookup(known, publisher),
         F.when(publisher.startswith("L01") & (F.length(publisher) >= 5),
-               _lookup(provinces, F.substring(publisher, 4, 2))),
+               lookup(provinces, F.substring(publisher, 4, 2))),
         F.when(publisher.startswith("L02"), F.lit("pais-vasco")),
         F.get(hits, F.lit(0)),
         F.lit("nacional"),
@@ -108,7 +103,7 @@ def relevant_datasets(rows: DataFrame, min_score: int = ref.MIN_SCORE,
 def format_code(media: Column) -> Column:
     text = F.lower(F.trim(media))
     return F.when(media.isNull() | (media == ""), F.lit("UNKNOWN")).otherwise(
-        F.coalesce(_lookup(ref.MEDIA_FORMATS, text), F.upper(F.substring_index(text, "/", -1))))
+        F.coalesce(lookup(ref.MEDIA_FORMATS, text), F.upper(F.substring_index(text, "/", -1))))
 
 
 def fetchable(distributions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fiscalis.operators import features as fe
 from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.registry import query
+from fiscalis.session import cut
 from fiscalis.sources import sample_tables as st
 
 KEYS = "ccaa_slug, entidad_id, anio, trimestre, capitulo_id, grupo_funcional_id"
@@ -17,6 +18,13 @@ def features(spark, sf) -> DataFrame:
     return fe.build_features(st.facts(spark, sf))
 
 
+def stored_features(spark, sf) -> DataFrame:
+    """The feature table written to the shared folder, for queries that pass
+    over it more than once: the facts are read once, and what follows starts
+    from the far smaller table."""
+    return cut(spark, features(spark, sf), "features")
+
+
 def rounded(df: DataFrame, digits: dict[str, int], keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.round(c, d).alias(c) for c, d in digits.items()])
 
