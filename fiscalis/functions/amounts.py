@@ -13,18 +13,17 @@ MONEY = "decimal(18,2)"
 
 
 def parse_amount(col: Column) -> Column:
-    """Euro amount of a text in European or Anglo notation, NULL when unreadable."""
-    raw = F.trim(col.cast("string"))
-    text = F.regexp_replace(raw, r"(?iU)[€\s]|EUR", "")
-    comma, dot = F.instr(F.reverse(text), ","), F.instr(F.reverse(text), ".")
+    """Euro amount of a text in European or Anglo notation, NULL when unreadable.
+
+    A comma with no dot after it is the decimal mark. Texts for a missing
+    amount (blank, `-`, `nd`, `s/d`, `n/a`) have no digits and read as NULL.
+    """
+    text = F.regexp_replace(col.cast("string"), r"(?iU)[€\s]|EUR", "")
+    comma_last = text.rlike(r",[^.]*$")
     european = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = (
-        F.when((comma > 0) & ((dot == 0) | (comma < dot)), european)
-        .when((comma > 0) & (dot > 0), F.replace(text, F.lit(","), F.lit("")))
-        .otherwise(text)
-    )
-    readable = number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(~F.lower(raw).isin(*ref.AMOUNT_NULLS) & readable, number.try_cast("double"))
+    number = F.when(comma_last, european).otherwise(F.replace(text, F.lit(","), F.lit("")))
+    readable = text.rlike(r"^[+-]?[\d.,]*\d[\d.,]*([eE][+-]?\d+)?$")
+    return F.when(readable, number.try_cast("double"))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -77,15 +77,13 @@ def block_fingerprints(fact: DataFrame) -> DataFrame:
 def duplicate_blocks(fact: DataFrame) -> DataFrame:
     """Blocks equal to another block of the same region and year, all but the
     first by dataset."""
-    prints = block_fingerprints(fact)
-    groups = prints.groupBy("ccaa_slug", "anio", "n", "h1", "h2").agg(
-        F.min("dataset_uri").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    same = [prints[c].eqNullSafe(groups[c]) for c in ("ccaa_slug", "anio", "n", "h1", "h2")]
-    return (
-        prints.join(groups.where(F.col("copies") > 1), reduce(lambda a, b: a & b, same))
-        .where(~prints["dataset_uri"].eqNullSafe(F.col("kept")))
-        .select(prints["ccaa_slug"], prints["anio"], prints["dataset_uri"])
-    )
+    same = ["ccaa_slug", "anio", "n", "h1", "h2"]
+    prints = block_fingerprints(fact).alias("b")
+    groups = block_fingerprints(fact).groupBy(*same).agg(
+        F.min("dataset_uri").alias("kept"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).alias("g")
+    equal = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"g.{c}")) for c in same])
+    return prints.join(groups, equal).where(~F.col("b.dataset_uri").eqNullSafe(F.col("g.kept"))).select(
+        *[F.col(f"b.{c}").alias(c) for c in BLOCK])
 
 
 def drop_duplicate_blocks(fact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from fiscalis.plans.registry import QUERIES, Query
 
-MODULES = ["feature_queries", "catalog_queries", "model_queries", "analytics_queries", "stat_queries"]
+MODULES = ["feature_queries", "catalog_queries", "model_queries", "analytics_queries", "stat_queries", "raw_queries", "io_queries"]
 
 
 def all_queries() -> dict[str, Query]:
