@@ -28,13 +28,24 @@ _CANONICAL = _fold_table("NFD")
 _COMPATIBLE = _fold_table("NFKD")
 
 
+def once(col: Column, function) -> Column:
+    """`function` of a costly expression that it uses many times, with the
+    expression evaluated a single time."""
+    return F.get(F.transform(F.array(col), function), F.lit(0))
+
+
+def _translated(col: Column, table: tuple[str, str]) -> Column:
+    """Translate only texts that have something to translate."""
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, *table)).otherwise(col)
+
+
 def fold_accents(col: Column) -> Column:
     """Letters without their marks."""
-    return F.translate(col, *_CANONICAL)
+    return _translated(col, _CANONICAL)
 
 
 def slugify(col: Column) -> Column:
-    ascii_only = F.regexp_replace(F.translate(col, *_COMPATIBLE), r"[^\x00-\x7F]", "")
+    ascii_only = F.regexp_replace(_translated(col, _COMPATIBLE), r"[^\x00-\x7F]", "")
     return F.lower(F.trim(F.regexp_replace(ascii_only, "[^a-zA-Z0-9]+", "-"), F.lit("-")))
 
 
@@ -48,7 +59,7 @@ def clean_header(name: object) -> str:
 def clean_label(col: Column) -> Column:
     """The same cleaning for header texts that arrive as data values."""
     text = F.regexp_replace(F.regexp_replace(col, r"(?U)^\s+|\s+$", ""), "­", "")
-    return F.regexp_replace(F.lower(F.translate(text, *_COMPATIBLE)), r"(?U)\s+", " ")
+    return F.regexp_replace(F.lower(_translated(text, _COMPATIBLE)), r"(?U)\s+", " ")
 
 
 def first_match(col: Column, rules, test) -> Column:
@@ -67,13 +78,14 @@ def phase_from_text(col: Column) -> Column:
 
 def phase_from_title(col: Column) -> Column:
     """Phase of a single-phase cube from its title and contents."""
-    return F.coalesce(
-        first_match(F.lower(col), ref.TITLE_PHASES, lambda c, k: c.contains(k)), F.lit("PRE"))
+    return F.coalesce(once(F.lower(col), lambda text: first_match(
+        text, ref.TITLE_PHASES, lambda c, k: c.contains(k))), F.lit("PRE"))
 
 
 def phase_from_indicator(col: Column) -> Column:
     """Phase of a cube's indicator value, NULL when unknown."""
-    return first_match(fold_accents(F.lower(F.trim(col))), ref.INDICATOR_PHASES, lambda c, k: c.contains(k))
+    return once(fold_accents(F.lower(F.trim(col))), lambda text: first_match(
+        text, ref.INDICATOR_PHASES, lambda c, k: c.contains(k)))
 
 
 def parse_year(col: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fiscalis import reference_data as ref
 from fiscalis.functions.amounts import clip, money_sum, ratio, zero
 from fiscalis.functions.labels import chapter_label, dashboard_chapter, region_label
+from fiscalis.operators.linear import pairwise_correlations
 from fiscalis.operators.quality import plausible_facts
 from fiscalis.operators.ranking import group_quantiles
 
@@ -234,7 +235,7 @@ WINSORISED = ["PRE", "OBR", "CRE", "brecha_eur", "obr_lag_1", "obr_rolling4_mean
 
 def correlations(features: DataFrame) -> DataFrame:
     """Lower triangle of the pairwise-complete Pearson matrix, six columns
-    winsorised at their 1st and 99th percentile: 91 pairs in one aggregation."""
+    winsorised at their 1st and 99th percentile."""
     values = long_values(features, {c: F.col(c) for c in WINSORISED}, [])
     tails = group_quantiles(values, ["variable"], "value", {"lo": 0.01, "hi": 0.99})
     known = tails.agg(F.map_from_entries(F.collect_list(
@@ -243,15 +244,11 @@ def correlations(features: DataFrame) -> DataFrame:
     def cut(c: str) -> Column:
         if c not in WINSORISED:
             return F.col(c)
-        b = F.try_element_at(known, F.lit(c))
+        b = F.try_element_at(F.col("_tails"), F.lit(c))
         return F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), b["lo"]), b["hi"])).alias(c)
 
-    cutted = features.select(*[cut(c) for c in CORRELATED])
-    pairs = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[:i]]
-    row = cutted.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{k}").alias("r"))
-        for k, (a, b) in enumerate(pairs)])))
+    cutted = features.withColumn("_tails", known).select(*[cut(c) for c in CORRELATED])
+    return pairwise_correlations(cutted, CORRELATED)
 
 
 # --- evidence and coverage ---------------------------------------------------

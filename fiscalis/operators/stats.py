@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from fiscalis import reference_data as ref
 from fiscalis.functions import tails
 from fiscalis.functions.amounts import ratio
 from fiscalis.functions.labels import lookup
+from fiscalis.operators.linear import explained_share
 from fiscalis.operators.ranking import group_medians, group_quantiles, mid_ranks, positions, slot, value_counts
 
 ALPHA = 0.05
@@ -186,20 +185,6 @@ def breusch_pagan_table(rows: DataFrame) -> DataFrame:
         "conclusion", F.when(F.col("p") < ALPHA, "Heterocedástico").otherwise("Homocedástico"))
 
 
-def gram(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Sums of all products of two columns per key group, as one flat array."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[: i + 1]]
-    sums = df.groupBy(*keys).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"_g{i}") for i, (a, b) in enumerate(pairs)])
-    return sums.select(*keys, F.array(*[f"_g{i}" for i in range(len(pairs))]).alias("gram"))
-
-
-def square(flat, size: int) -> np.ndarray:
-    """The symmetric matrix of a flat lower triangle."""
-    out = np.zeros((size, size))
-    out[np.tril_indices(size)] = flat
-    return out + np.tril(out, -1).T
-
-
 def white(rows: DataFrame, min_rows: int = 50) -> DataFrame:
     """LM = n·R² of the squared residuals on levels, squares and cross product.
 
@@ -215,20 +200,8 @@ def white(rows: DataFrame, min_rows: int = 50) -> DataFrame:
         "ccaa_slug", F.lit(1.0).alias("one"), F.col("z_x1").alias("a"), F.col("z_x2").alias("b"),
         (F.col("z_x1") * F.col("z_x1")).alias("aa"), (F.col("z_x2") * F.col("z_x2")).alias("bb"),
         (F.col("z_x1") * F.col("z_x2")).alias("ab"), F.col("z_e2").alias("y"))
-    columns = ["one", "a", "b", "aa", "bb", "ab", "y"]
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for slug, flat in zip(pdf["ccaa_slug"], pdf["gram"]):
-                g = square(flat, len(columns))
-                n, yy, xy = g[0, 0], g[-1, -1], g[:-1, -1]
-                fitted = xy @ np.linalg.pinv(g[:-1, :-1], rcond=1e-12) @ xy
-                rank = int(np.linalg.matrix_rank(g[:-1, :-1], tol=1e-9 * n))
-                out.append((slug, int(n), rank - 1, float(n * fitted / yy) if yy > 0 else None))
-            yield pd.DataFrame(out, columns=["ccaa_slug", "n", "k", "lm"])
-
-    found = gram(design, ["ccaa_slug"], columns).mapInPandas(solve, "ccaa_slug string, n bigint, k int, lm double")
+    share = explained_share(design, "ccaa_slug", ["one", "a", "b", "aa", "bb", "ab"], "y")
+    found = share.select("ccaa_slug", "n", "k", (F.col("n") * F.col("r2")).alias("lm"))
     return found.withColumn("p", tails.chi2_column(F.col("lm"), F.col("k")))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiscalis.functions.amounts import alert_by_band, alert_by_limit
+from fiscalis.operators import learning as le
 from fiscalis.operators import modeling as mo
 from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.feature_queries import features, model_table, stored_features
 from fiscalis.plans.registry import query
+from fiscalis.session import cut, scratch_path
 
 CTES["native"] = """
 SELECT *, dense_rank() OVER (PARTITION BY ccaa_slug ORDER BY anio DESC) <= 2 AS is_test
@@ -205,3 +207,99 @@ def mod24(spark, sf):
 @query("mod25_alert_distribution", check("SELECT alerta, count(*) AS n FROM pred GROUP BY alerta"))
 def mod25(spark, sf):
     return predictions(spark, sf).groupBy("alerta").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- learners ------------------------------------------------------------------
+
+# Rounds of boosting in the registered queries; the operator's default is 300.
+ROUNDS = 20
+
+
+def design(spark, sf):
+    """Prepared rows of the regions with enough data, one directory per region,
+    and those regions."""
+    rows = native(spark, sf)
+    gates = mo.sample_gates(rows)
+    path = scratch_path(spark, "design")
+    le.prepare(mo.modelled(rows, gates)).write.partitionBy("ccaa_slug").parquet(path)
+    stored = spark.read.parquet(path)
+    regions = [r[0] for r in stored.select("ccaa_slug").distinct().orderBy("ccaa_slug").collect()]
+    return stored, regions
+
+
+def design_view(spark, sf):
+    rows = native(spark, sf)
+    return le.prepare(mo.modelled(rows, mo.sample_gates(rows)))
+
+
+CTES["medians"] = "SELECT ccaa_slug, " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med_{c}" for c in le.NUMERIC) + """
+FROM native JOIN gates USING (ccaa_slug) WHERE NOT is_test AND nota IS NULL GROUP BY ccaa_slug"""
+CTES["modes"] = """
+SELECT ccaa_slug, capitulo_id AS moda FROM (SELECT ccaa_slug, capitulo_id, row_number() OVER (PARTITION BY ccaa_slug
+  ORDER BY count(*) DESC, capitulo_id) AS k FROM native WHERE NOT is_test AND capitulo_id IS NOT NULL GROUP BY ALL) WHERE k = 1"""
+
+
+@query("mod01_numeric_preparation", check("SELECT ccaa_slug, entidad_id, anio, capitulo_id, OBR, " + ", ".join(
+    f"round(coalesce({c} - med_{c}, 0), 4) + 0.0::DOUBLE AS x_{c}" for c in le.NUMERIC) + " FROM native JOIN medians USING (ccaa_slug)"))
+def mod01(spark, sf):
+    out = design_view(spark, sf).select(*ROW.split(", "), *le.PREPARED)
+    return pretty(out, {c: 4 for c in le.PREPARED})
+
+
+@query("mod02_chapter_flags", check("SELECT n.ccaa_slug, entidad_id, anio, capitulo_id, OBR, " + ", ".join(
+    f"CASE WHEN coalesce(capitulo_id, moda) = {i + 1} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}" for i, c in enumerate(le.FLAGS))
+    + " FROM native n JOIN medians USING (ccaa_slug) LEFT JOIN modes USING (ccaa_slug)"))
+def mod02(spark, sf):
+    return design_view(spark, sf).select(*ROW.split(", "), *le.FLAGS)
+
+
+@query("mod04_linear")
+def mod04(spark, sf):
+    rows = cut(spark, design_view(spark, sf), "design")
+    return mo.metrics(le.linear_predictions(rows, "linear", 0.0), ["ccaa_slug", "modelo"])
+
+
+@query("mod05_ridge")
+def mod05(spark, sf):
+    rows = cut(spark, design_view(spark, sf), "design")
+    return mo.metrics(le.linear_predictions(rows, "ridge", 1.0), ["ccaa_slug", "modelo"])
+
+
+@query("mod06_random_forest")
+def mod06(spark, sf):
+    rows, regions = design(spark, sf)
+    models = le.fit_regions(rows, regions, le.forest())
+    return mo.metrics(le.tree_predictions(rows, models, "random_forest"), ["ccaa_slug", "modelo"])
+
+
+@query("mod07_gradient_boosting")
+def mod07(spark, sf):
+    rows, regions = design(spark, sf)
+    models = le.fit_regions(rows, regions, le.boosting(ROUNDS))
+    return mo.metrics(le.tree_predictions(rows, models, "gradient_boosting"), ["ccaa_slug", "modelo"])
+
+
+@query("mod09_log_target")
+def mod09(spark, sf):
+    rows = cut(spark, design_view(spark, sf), "design")
+    return mo.metrics(le.linear_predictions(rows, "ridge", 1.0, log=True), ["ccaa_slug", "modelo"])
+
+
+@query("mod10_regional_training")
+def mod10(spark, sf):
+    """Baselines, ridge and forest with log target per region, and who wins."""
+    rows = native(spark, sf)
+    kept = mo.modelled(rows, mo.sample_gates(rows))
+    base = mo.long_predictions(mo.native_baselines(kept), mo.BASELINES)
+    prepared, regions = design(spark, sf)
+    ridge = le.linear_predictions(prepared, "ridge", 1.0, log=True)
+    trees = le.tree_predictions(prepared, le.fit_regions(prepared, regions, le.forest(), log=True), "random_forest", log=True)
+    found = base.unionByName(ridge.select(*base.columns)).unionByName(trees.select(*base.columns))
+    return mo.winners(mo.metrics(found, ["ccaa_slug", "modelo"]))
+
+
+@query("mod20_importances")
+def mod20(spark, sf):
+    rows, regions = design(spark, sf)
+    return le.importances(spark, le.fit_regions(rows, regions, le.forest(), log=True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
 from fiscalis.functions.amounts import parse_amount
-from fiscalis.functions.text import chapter_in_label, phase_from_indicator, phase_from_title
+from fiscalis.functions.text import chapter_in_label, once, phase_from_indicator, phase_from_title
 
 
 def read_cubes(spark: SparkSession, paths) -> DataFrame:
@@ -79,12 +79,12 @@ def shape_cells(cells: DataFrame) -> DataFrame:
     roles = cells.select(
         "file", "title", "data", has_indicator.alias("_has"), _role(coords, ref.CUBE_INDICATOR).alias("_indicator"),
         F.trim(_role(coords, ref.CUBE_YEAR)).alias("_year"), _role(coords, ref.CUBE_CHAPTER).alias("_chapter"))
-    year = F.col("_year")
-    return roles.select(
-        "file",
-        F.when(year.rlike(r"^\d+(\.0*)?$"), year.try_cast("double")).try_cast("int").alias("anio"),
+    cell = F.struct(
+        once(F.col("_year"), lambda y: F.when(y.rlike(r"^\d+(\.0*)?$"), y.try_cast("double"))).try_cast("int").alias("anio"),
         chapter_in_label(F.col("_chapter")).alias("capitulo_id"),
         F.when(F.col("_has"), phase_from_indicator(F.col("_indicator"))).otherwise(
             phase_from_title(F.col("title"))).alias("fase"),
-        parse_amount(F.col("data")).alias("importe_eur"),
-    ).dropna(subset=["anio", "fase", "importe_eur"])
+        parse_amount(F.col("data")).alias("importe_eur"))
+    # A generator, unlike a filter on the results, computes them once.
+    complete = F.filter(F.array(cell), lambda c: c["anio"].isNotNull() & c["fase"].isNotNull() & c["importe_eur"].isNotNull())
+    return roles.select("file", F.inline(complete))
