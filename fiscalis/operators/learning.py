@@ -108,7 +108,7 @@ def boosting(rounds: int = 300, depth: int = 4, rate: float = 0.05) -> GBTRegres
                         maxDepth=depth, stepSize=rate, seed=42)
 
 
-def fit_regions(design: DataFrame, regions: list[str], estimator, log: bool = False, threads: int = 4) -> dict:
+def fit_regions(design: DataFrame, regions: list[str], estimator, log: bool = False, threads: int = 8) -> dict:
     """One model per region, a few regions at a time. Every fit is itself a
     distributed job; the list of regions is the fixed catalogue, not data."""
     rows = design.withColumn("_target", target(log))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
 from fiscalis.functions.amounts import alert_by_band, alert_by_limit, ratio
-from fiscalis.operators.features import split_last_years, valid_target
+from fiscalis.operators.features import valid_target
 from fiscalis.operators.quality import plausible_features
 from fiscalis.operators.ranking import group_medians, numbered, slot
 
@@ -18,9 +18,34 @@ SHORT_DATA = "datos insuficientes"
 
 # --- rows, gates, baselines --------------------------------------------------
 
-def native_split(features: DataFrame, test_years: int = 2) -> DataFrame:
-    """Plausible rows with a valid target, the last years marked as test."""
-    return split_last_years(valid_target(plausible_features(features)), test_years)
+def with_note(sizes: DataFrame, min_train: int, min_test: int) -> DataFrame:
+    short = (F.col("n_train") < min_train) | (F.col("n_test") < min_test)
+    return sizes.withColumn("nota", F.when(short, SHORT_DATA))
+
+
+def region_plan(rows: DataFrame, test_years: int = 2, min_train: int = 20, min_test: int = 5) -> DataFrame:
+    """Per region: where its last years start, how many rows train and test
+    hold, and a note where they are too few. All of it comes from the counts
+    per region and year."""
+    newest = Window.partitionBy("ccaa_slug").orderBy(F.col("anio").desc())
+    years = rows.groupBy("ccaa_slug", "anio").agg(F.count(F.lit(1)).alias("_n"))
+    last = F.col("_k") <= test_years
+    sizes = years.withColumn("_k", F.row_number().over(newest)).groupBy("ccaa_slug").agg(
+        F.min(F.when(last, F.col("anio"))).alias("first_test_year"),
+        F.coalesce(F.sum(F.when(~last, F.col("_n"))), F.lit(0)).alias("n_train"),
+        F.sum(F.when(last, F.col("_n"))).alias("n_test"))
+    return with_note(sizes, min_train, min_test)
+
+
+def native_rows(features: DataFrame) -> DataFrame:
+    """Plausible rows with a valid target."""
+    return valid_target(plausible_features(features))
+
+
+def native_split(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of the regions with enough data, the last years marked as test."""
+    kept = plan.where(F.col("nota").isNull()).select("ccaa_slug", "first_test_year")
+    return rows.join(kept, "ccaa_slug").withColumn("is_test", F.col("anio") >= F.col("first_test_year")).drop("first_test_year")
 
 
 def common_split(model_table: DataFrame) -> DataFrame:
@@ -29,17 +54,11 @@ def common_split(model_table: DataFrame) -> DataFrame:
     return rows.withColumn("is_test", F.col("split") == "test")
 
 
-def sample_gates(rows: DataFrame, min_train: int = 20, min_test: int = 5) -> DataFrame:
-    """Sample sizes per region and a note where they are too small to model."""
+def sample_gates(rows: DataFrame, min_train: int = 15, min_test: int = 5) -> DataFrame:
+    """Sample sizes per region of rows that are split already."""
     sizes = rows.groupBy("ccaa_slug").agg(
         F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"))
-    short = (F.col("n_train") < min_train) | (F.col("n_test") < min_test)
-    return sizes.withColumn("nota", F.when(short, SHORT_DATA))
-
-
-def modelled(rows: DataFrame, gates: DataFrame) -> DataFrame:
-    """Rows of the regions with enough data."""
-    return rows.join(gates.where(F.col("nota").isNull()).select("ccaa_slug"), "ccaa_slug", "left_semi")
+    return with_note(sizes, min_train, min_test)
 
 
 def baseline_columns(rows: DataFrame, medians: DataFrame | None) -> DataFrame:

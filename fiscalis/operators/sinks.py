@@ -22,11 +22,10 @@ def write_table(df: DataFrame, path: str) -> bool:
 
 
 def write_by_year(df: DataFrame, path: str, columns: tuple[str, ...] = ("ccaa_slug", "anio")) -> None:
-    """Replace the whole table, one directory per region and year. Rows are
-    spread by directory and a row hash, so a hot directory is written by many
-    tasks and a small one by few."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    (df.repartition(*columns, spread).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    """Replace the whole table, one directory per region and year. The rows are
+    rebalanced by directory: a hot one is split over many tasks and files, small
+    ones share a task."""
+    (df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy(*columns).parquet(path))
 
 
