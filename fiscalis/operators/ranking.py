@@ -7,7 +7,8 @@ order-preserving function of the value alone - and only slots are ordered per
 group: the slot table is small by construction, whatever the data. The rows of
 one slot are ordered in their own task.
 
-Group keys must be non-null.
+Groups with a NULL key are left out. That is said on the counts themselves, so
+that the two uses of the counts have one plan and Spark computes them once.
 """
 
 from __future__ import annotations
@@ -26,10 +27,16 @@ def slot(value: Column) -> Column:
     return F.coalesce(F.when(value < 0, -size).otherwise(size), F.lit(0))
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n): one row per distinct non-null value of a group."""
     return (
-        df.where(F.col(value).isNotNull())
+        _keyed(df.where(F.col(value).isNotNull()), keys)
         .groupBy(*keys, F.col(value).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -64,7 +71,7 @@ def _place(counts: DataFrame, slots: DataFrame, keys: list[str], weight: str) ->
 
 def positions(counts: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
     """Counts with `below` and `total`; `counts` holds one row per (keys, value)."""
-    counts = counts.withColumn("_slot", slot(F.col("value")))
+    counts = _keyed(counts, keys).withColumn("_slot", slot(F.col("value")))
     return _place(counts, _slots(counts, keys, weight), keys, weight)
 
 
@@ -117,7 +124,7 @@ def group_medians(df: DataFrame, keys: list[str], value: str, name: str = "media
 def numbered(df: DataFrame, coarse: dict[str, Column], order: list, name: str) -> DataFrame:
     """Add 1..n in the order (coarse keys, `order`) without a global sort.
 
-    `coarse` names the leading order keys (non-null); their distinct
+    `coarse` names the leading order keys, never NULL; their distinct
     combinations are counted and offset, the rest is numbered per combination.
     """
     keys = list(coarse)

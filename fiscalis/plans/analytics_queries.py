@@ -145,7 +145,7 @@ QR = {"p25": 6, "mediana": 6, "p75": 6}
 SELECT ccaa_slug, {quartiles('v')} FROM (SELECT ccaa_slug, {clipped('brecha_pct', -2, 2)} AS v FROM clean_feat
 WHERE ccaa_slug IN {CORE}) WHERE v IS NOT NULL GROUP BY ccaa_slug"""))
 def ana11(spark, sf):
-    return pretty(an.gap_quartiles(clean_features(spark, sf), st.CORE), QR)
+    return pretty(an.gap_quartiles(clean_stored(spark, sf), st.CORE), QR)
 
 
 def hist_sql(values: str, bins: str) -> str:
@@ -161,7 +161,7 @@ WHERE value IS NOT NULL GROUP BY ALL""")
     f"SELECT 'brecha_pct' AS variable, {clipped('brecha_pct', -2, 2)} AS value FROM clean_feat WHERE ccaa_slug IN {CORE}",
     "80"))
 def ana11_hist(spark, sf):
-    rows = clean_features(spark, sf).where(F.col("ccaa_slug").isin(st.CORE))
+    rows = clean_stored(spark, sf).where(F.col("ccaa_slug").isin(st.CORE))
     values = an.long_values(rows, {"brecha_pct": an.clip(F.col("brecha_pct"), -2, 2)}, [])
     return an.histogram(values, an.fixed_bins(80))
 
@@ -171,7 +171,7 @@ SELECT capitulo_id, {quartiles('v')}, {cap_label('capitulo_id')} AS cap_label
 FROM (SELECT capitulo_id, {clipped('ejecutado_pct', 0, 2)} AS v FROM clean_feat WHERE ccaa_slug IN {CORE}
   AND capitulo_id IS NOT NULL AND ejecutado_pct IS NOT NULL) GROUP BY capitulo_id"""))
 def ana12(spark, sf):
-    return pretty(an.execution_quartiles(clean_features(spark, sf), st.CORE), QR)
+    return pretty(an.execution_quartiles(clean_stored(spark, sf), st.CORE), QR)
 
 
 WINSOR = ", ".join(
@@ -376,7 +376,7 @@ SELECT n_name AS nombre, lower(n_name) AS slug, (SELECT min(anio) FROM feat) AS
   (SELECT max(anio) FROM feat) AS anio_max FROM nation WHERE lower(n_name) IN (SELECT ccaa_slug FROM feat)"""))
 def ana29(spark, sf):
     regions = st.table(spark, sf, "nation").select(F.lower("n_name").alias("slug"), F.col("n_name").alias("nombre"))
-    return an.filter_domains(regions, features(spark, sf))
+    return an.filter_domains(regions, stored_features(spark, sf))
 
 
 def positive(column: str, extra: str = "") -> str:
@@ -498,7 +498,7 @@ SELECT ccaa_slug, anio, count(v) AS n, round(quantile_cont(v, 0.5), 6) AS median
 FROM (SELECT ccaa_slug, anio, {clipped('ejecutado_pct', 0, 2)} AS v FROM clean_feat) WHERE v IS NOT NULL
 GROUP BY ccaa_slug, anio"""))
 def ana41_median(spark, sf):
-    return pretty(an.yearly_execution(clean_features(spark, sf)), {"mediana": 6})
+    return pretty(an.yearly_execution(clean_stored(spark, sf)), {"mediana": 6})
 
 
 STUDY = {"OBR": "CASE WHEN OBR > 0 THEN ln(1 + OBR) END", "PRE": "CASE WHEN PRE > 0 THEN ln(1 + PRE) END",
@@ -533,7 +533,7 @@ def ana43(spark, sf):
     f"SELECT ccaa_slug AS variable, CASE WHEN PRE > 0 THEN ln(1 + PRE) END AS value FROM feat WHERE ccaa_slug IN {BUDGET}",
     "least(40, greatest(8, floor(count(*) / 3)))"))
 def ana44(spark, sf):
-    return an.histogram(an.budget_log_values(features(spark, sf), st.BUDGET_ONLY), an.sized_bins)
+    return an.histogram(an.budget_log_values(stored_features(spark, sf), st.BUDGET_ONLY), an.sized_bins)
 
 
 @query("ana44_budget_composition", check(f"""
@@ -542,4 +542,4 @@ FROM feat WHERE ccaa_slug IN {BUDGET} AND capitulo_id IS NOT NULL GROUP BY ALL
 UNION ALL SELECT ccaa_slug, 'anio', anio, round(coalesce({money('PRE')}, 0) / 1e6, 6) FROM feat
 WHERE ccaa_slug IN {BUDGET} AND anio IS NOT NULL GROUP BY ALL"""))
 def ana44_mix(spark, sf):
-    return pretty(an.budget_composition(features(spark, sf), st.BUDGET_ONLY), {"meur": 6})
+    return pretty(an.budget_composition(stored_features(spark, sf), st.BUDGET_ONLY), {"meur": 6})

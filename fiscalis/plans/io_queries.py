@@ -394,7 +394,7 @@ def src22(spark, sf):
 def monthly(spark, sf):
     lines = st.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_tax")
     orders = st.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 @query("src23_cumulative_by_year", check("""

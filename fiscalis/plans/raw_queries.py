@@ -17,6 +17,7 @@ from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.feature_queries import KEYS, clean_features, features
 from fiscalis.plans.model_queries import pretty
 from fiscalis.plans.registry import query
+from fiscalis.session import cut
 from fiscalis.sources import sample_tables as st
 
 N = F.count(F.lit(1)).alias("n")
@@ -437,6 +438,12 @@ def nrm15(spark, sf):
 
 # --- validation --------------------------------------------------------------------
 
+def staged(spark, rows):
+    """Rows in a staging table: files are judged after they were staged, and
+    the judgement passes over them more than once."""
+    return cut(spark, rows, "staging")
+
+
 def dirty(spark, sf):
     """Facts with broken rows, each in a file of one dataset, region and year."""
     cents = (F.col("importe_eur") * 100).cast("bigint")
@@ -476,7 +483,7 @@ ANY = " OR ".join(f"coalesce({c}, false)" for c in BROKEN.values())
 SELECT distribution_id, count(*) AS n, CAST(sum(importe_eur) AS DOUBLE) AS importe FROM dirty
 GROUP BY distribution_id HAVING NOT bool_or({ANY})"""))
 def val02(spark, sf):
-    return qa.accept_whole_files(dirty(spark, sf)).groupBy("distribution_id").agg(
+    return qa.accept_whole_files(staged(spark, dirty(spark, sf))).groupBy("distribution_id").agg(
         N, am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
@@ -509,7 +516,7 @@ JOIN (SELECT ccaa_slug, anio, min(dataset_uri) AS dataset_uri FROM (
         coalesce(grupo_funcional_id, ''), fase, CAST(importe_eur AS VARCHAR)) AS r FROM repeated) GROUP BY ALL)
   GROUP BY ccaa_slug, anio, h) USING (ccaa_slug, anio, dataset_uri) GROUP BY ALL"""))
 def val03(spark, sf):
-    return qa.drop_duplicate_blocks(repeated(spark, sf)).groupBy("ccaa_slug", "anio", "dataset_uri").agg(
+    return qa.drop_duplicate_blocks(staged(spark, repeated(spark, sf))).groupBy("ccaa_slug", "anio", "dataset_uri").agg(
         N, am.money_sum(F.col("importe_eur")).alias("importe"))
 
 

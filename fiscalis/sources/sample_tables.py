@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalis.functions.amounts import MONEY
+from fiscalis.session import cut
 
 REGION_COUNT = 25
 CORE = [f"nation_{i}" for i in range(REGION_COUNT) if i % 6 != 5]
@@ -40,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order date and the buyer's nation. The order side
-    is completed first, so the line items are shuffled at most once."""
+    is completed first, so the line items are shuffled once. Both sides grow
+    with the data, so they are merged: neither may be broadcast."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -49,7 +51,7 @@ def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_orderdate", "o_orderpriority", "c_custkey", "n_nationkey", "n_name")
     )
-    return table(spark, sf_dir, "lineitem").join(header, F.col("l_orderkey") == F.col("o_orderkey"))
+    return table(spark, sf_dir, "lineitem").hint("merge").join(header, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,8 @@ def catalog(spark: SparkSession, sf_dir: str, columns: list[str] | None = None)
 
 
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published files: one per dataset, resource and format."""
+    """Published files: one per dataset, resource and format. As in practice
+    the list is a stored table."""
     k, year = F.col("l_suppkey"), (F.year("o_orderdate") + 10).cast("string")
     month, line = F.month("o_orderdate"), F.col("l_linenumber")
     word = F.element_at(F.array(*[F.lit(m) for m in MONTH_WORDS]), month)
@@ -154,14 +157,14 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("l_orderkey") % 5 + 1).cast("int"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    names = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    names = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         k.alias("k"), resource.alias("resource"), code.alias("formato")).distinct()
     kk, fetched = F.col("k"), (F.col("k") + F.length("formato")) % 4 != 0
     uri = F.concat(F.lit(DATASET_BASE), _dataset_name(kk))
     path = F.concat(F.lit("raw/id"), kk.cast("string"), F.lit("__"),
                     F.substring(F.md5(F.concat("resource", "formato")), 1, 8), F.lit("__"),
                     F.col("resource"), F.lit("."), F.lower("formato"))
-    return names.select(
+    listed = names.select(
         F.md5(F.concat_ws("|", uri, "resource", "formato")).alias("distribution_id"),
         uri.alias("dataset_uri"), "formato",
         F.concat(F.lit("http://datos.example/file/"), F.col("resource")).alias("access_url"),
@@ -169,6 +172,7 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(fetched, path).alias("local_path"),
         F.when(fetched, F.lit("2024-01-01T00:00:00")).alias("downloaded_at"),
     )
+    return cut(spark, listed, "distributions")
 
 
 def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
