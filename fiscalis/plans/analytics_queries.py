@@ -8,11 +8,13 @@ from fiscalis import reference_data as ref
 from fiscalis.functions.labels import region_dimension
 from fiscalis.operators import analytics as an
 from fiscalis.operators import catalog as ca
+from fiscalis.operators import selection as se
 from fiscalis.plans.catalog_queries import choose, text
 from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.feature_queries import clean_features, features, stored_features
 from fiscalis.plans.model_queries import predictions, pretty
 from fiscalis.plans.registry import query
+from fiscalis.session import cut
 from fiscalis.sources import sample_tables as st
 
 SINCE = 1996
@@ -326,9 +328,8 @@ def states(spark, sf):
     owners = F.array(*[F.lit(s) for s in OWNERS])
     number = F.replace(F.col("ccaa_slug"), F.lit("nation_"), F.lit("")).cast("int")
     fact = st.facts(spark, sf).withColumn("ccaa_slug", F.element_at(owners, number % 10 + 1))
-    datasets = st.catalog(spark, sf, ["ccaa_slug"])
-    return an.pipeline_state(region_dimension(spark), datasets, st.distributions(spark, sf),
-                             st.local_files(spark, sf), fact)
+    datasets, files = cut(spark, st.catalog(spark, sf, ["ccaa_slug"]), "catalog"), st.distributions(spark, sf)
+    return an.pipeline_state(region_dimension(spark), datasets, files, se.local_distributions(files, datasets), fact)
 
 
 @query("ana24_pipeline_state", check("SELECT * FROM states"))
@@ -445,7 +446,6 @@ def ana35(spark, sf):
 SELECT count(*) AS predicciones, count(DISTINCT ccaa_slug) AS ccaa, round(quantile_cont(mape, 0.5), 6) AS mape_mediano
 FROM pred"""))
 def ana36(spark, sf):
-    from fiscalis.session import cut
     return pretty(an.prediction_kpis(cut(spark, predictions(spark, sf), "predictions")), {"mape_mediano": 6})
 
 

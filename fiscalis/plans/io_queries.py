@@ -20,7 +20,7 @@ from fiscalis.plans.feature_queries import KEYS, features
 from fiscalis.plans.model_queries import predictions, pretty
 from fiscalis.plans.raw_queries import CHAPTER_ROWS, SUMMARY, SUMMARY_SQL, TOTALS, budget_sheet, pick, sql_pick, summary
 from fiscalis.plans.registry import query
-from fiscalis.session import scratch_path
+from fiscalis.session import cut, scratch_path
 from fiscalis.sources import cube as cu
 from fiscalis.sources import delimited as dl
 from fiscalis.sources import files as fi
@@ -533,7 +533,7 @@ def serving_tables(spark, sf):
     return {
         "dim_ccaa": regions.select("slug"), "dim_publisher": publishers, "dim_entidad": entities,
         "dim_capitulo_economico": chapter_dimension(spark), "dim_capitulo_funcional": groups,
-        "catalog_dataset": st.catalog(spark, sf, ["publisher_id", "ccaa_slug"]), "catalog_distribution": st.distributions(spark, sf),
+        "catalog_dataset": cut(spark, st.catalog(spark, sf, ["publisher_id", "ccaa_slug"]), "catalog"), "catalog_distribution": st.distributions(spark, sf),
         "fact_prediccion": predictions(spark, sf), "fact_ejecucion": st.facts(spark, sf),
     }
 
@@ -584,7 +584,6 @@ SELECT row_number() OVER (ORDER BY ccaa_slug, anio, importe_real, round(importe_
   ccaa_slug, anio, importe_real, entidad_id, CAST(capitulo_id AS SMALLINT) AS capitulo_id FROM pred"""))
 def snk11(spark, sf):
     from fiscalis.operators.modeling import with_prediction_ids
-    from fiscalis.session import cut
 
     table = pretty(cut(spark, predictions(spark, sf), "predictions"), {"importe_predicho": 2})
     return with_prediction_ids(table).select("pred_id", "ccaa_slug", "anio", "importe_real", "entidad_id", "capitulo_id")
