@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contaminated_words, contamination_digest
 from .registry import LLM_QUERIES, query
 from .url_filters import judge_urls
 
@@ -34,3 +35,32 @@ FROM (SELECT *, host = 'org' OR ends_with(host, '.org') AS o, host = 'com' OR en
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_decontamination", r"""
+WITH words AS (
+  SELECT doc_id AS id, true AS doc, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents)
+  UNION ALL
+  SELECT item_id, false, unnest(w), generate_subscripts(w, 1), len(w) FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark)),
+runs AS (
+  SELECT id, doc, i, n, word, string_agg(word, ' ') OVER (PARTITION BY doc, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM words),
+wins AS (SELECT DISTINCT id AS item_id, run, least(n, 10) AS size FROM runs WHERE NOT doc AND (i + 9 <= n OR n < 10 AND i = 1)),
+sizes AS (SELECT DISTINCT size FROM wins),
+occ AS (
+  SELECT r.id AS doc_id, r.i, w.item_id, w.size FROM runs r JOIN wins w ON w.size = 10 AND r.run = w.run WHERE r.doc AND r.i + 9 <= r.n
+  UNION ALL
+  SELECT r.id, r.i, w.item_id, w.size FROM runs r JOIN sizes s ON s.size < 10 AND r.i + s.size - 1 <= r.n
+    JOIN wins w ON w.size = s.size AND array_to_string(string_split(r.run, ' ')[1:s.size], ' ') = w.run WHERE r.doc),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM (SELECT DISTINCT doc_id, i, size FROM occ)) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY 1),
+n AS (SELECT id AS doc_id, count(*) AS n_words FROM words WHERE doc GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
