@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated_words, contamination_digest
 from .registry import LLM_QUERIES, query
+from .secret_scan import find_secrets, secret_digest
 from .url_filters import judge_urls
 
 __all__ = ["LLM_QUERIES"]
@@ -64,3 +65,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JO
 """)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op6_secret_scans")
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
