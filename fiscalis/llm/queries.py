@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import contaminated_words, contamination_digest
+from .minhash_dedup import near_duplicates
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
 from .url_filters import judge_urls
@@ -70,3 +71,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scans")
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
