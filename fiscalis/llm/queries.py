@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .decontamination import contaminated_words, contamination_digest
 from .embedding_dedup import similar_vectors
+from .language_id import fit_languages, predict_languages
 from .minhash_dedup import near_duplicates
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
@@ -112,3 +113,11 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.where(~held_out))
+    return predict_languages(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
