@@ -10,6 +10,7 @@ from .decontamination import contaminated_words, contamination_digest
 from .embedding_dedup import similar_vectors
 from .language_id import fit_languages, predict_languages
 from .minhash_dedup import near_duplicates
+from .quality import fit_quality, score_quality
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
 from .substring_dedup import remove_repeats
@@ -121,3 +122,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     model = fit_languages(docs.where(~held_out))
     return predict_languages(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out), "doc_id")
+    return score_quality(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
