@@ -9,6 +9,7 @@ from .common import crc_mod, table
 from .decontamination import contaminated_words, contamination_digest
 from .embedding_dedup import similar_vectors
 from .language_id import fit_languages, predict_languages
+from .lm_scoring import fit_model, score_texts, word_counts
 from .minhash_dedup import near_duplicates
 from .quality import fit_quality, score_quality
 from .registry import LLM_QUERIES, query
@@ -130,3 +131,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out), "doc_id")
     return score_quality(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    training = docs.where(~held_out).select("text")
+    counts = word_counts(training)
+    return score_texts(docs, fit_model(training, counts), counts, [F.col("doc_id"), held_out.alias("held_out")])
