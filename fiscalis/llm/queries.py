@@ -14,6 +14,7 @@ from .minhash_dedup import near_duplicates
 from .quality import fit_quality, score_quality
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
+from .sentencepiece_scan import encode_texts, load_vocabulary
 from .substring_dedup import remove_repeats
 from .url_filters import judge_urls
 
@@ -140,3 +141,9 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.where(~held_out).select("text")
     counts = word_counts(training)
     return score_texts(docs, fit_model(training, counts), counts, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(table(spark, sf_dir, "documents"), load_vocabulary(), [F.col("doc_id")], digest=True)
+    return coded.select("doc_id", "n_pieces", "score", F.col("ids").alias("ids_sha256"), "round_trip")
