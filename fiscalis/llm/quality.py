@@ -33,7 +33,7 @@ from .common import row_slices, text_buffer
 FILTERS, WIDTH, STEP = 24, 6, 256
 ROWS = 128
 FIT_ROWS, FIT_CHUNKS = 700, 12
-EPOCHS, BATCH, RATE = 14, 32, 0.02
+UPDATES, BATCH, RATE = 600, 32, 0.02
 THRESHOLD = 0.3
 PAD = 0
 
@@ -125,51 +125,52 @@ def _train(chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, weig
                   (0.05 * draw.standard_normal(3 * FILTERS + 1)).astype(np.float32), 0.0)
     optimisers = [_Adam(net.filters.shape), _Adam(net.bias.shape), _Adam(net.weights.shape), _Adam(())]
     full = np.minimum(1.0, sizes / (2 * STEP))
-    for epoch in range(EPOCHS):
-        order = draw.permutation(len(chunks))
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(order), BATCH):
-            rows = order[at:at + BATCH]
-            x = np.concatenate([chunks[r] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(chunks[r]) for r in rows])
-            first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-            best = np.full((len(x), FILTERS), -np.inf, dtype=np.float32)
-            where = np.zeros((len(x), FILTERS), dtype=np.int64)
-            for half in (0, 1):
-                for lo in range(0, len(x), ROWS):
-                    part = x[lo:lo + ROWS, half]
-                    total = np.take(net.filters[0], part[:, :STEP], axis=0)
-                    for i in range(1, WIDTH):
-                        total += np.take(net.filters[i], part[:, i:i + STEP], axis=0)
-                    place = total.argmax(axis=1)
-                    value = np.take_along_axis(total, place[:, None, :], axis=1)[:, 0]
-                    better = value > best[lo:lo + ROWS]
-                    best[lo:lo + ROWS][better] = value[better]
-                    where[lo:lo + ROWS][better] = (place + half * (STEP + WIDTH - 1))[better]
-            live = best + net.bias > 0
-            h = np.where(live, best + net.bias, 0)
-            counts = np.diff(np.r_[first, len(x)])[:, None]
-            top, low = np.maximum.reduceat(h, first, axis=0), np.minimum.reduceat(h, first, axis=0)
-            pooled = np.concatenate([top, np.add.reduceat(h, first, axis=0) / counts, low, full[rows][:, None]], axis=1)
-            error = (weight[rows] * (_sigmoid(pooled @ net.weights + net.offset) - labels[rows]) / len(rows)).astype(np.float32)
-            back = error[:, None] * net.weights[None]
-            to_top, to_mean, to_low = (back[:, k * FILTERS:(k + 1) * FILTERS] for k in range(3))
-
-            def share(pool):
-                same = h == pool[owner]
-                return same / np.add.reduceat(same, first, axis=0, dtype=np.float32)[owner]
-            toward = to_top[owner] * share(top) + (to_mean / counts)[owner] + to_low[owner] * share(low)
-            toward = np.where(live, toward, 0).astype(np.float32)
-            gradient = np.zeros_like(net.filters)
-            flat = x.reshape(len(x), -1)
-            column = np.broadcast_to(np.arange(FILTERS), where.shape)
-            for i in range(WIDTH):
-                np.add.at(gradient[i], (np.take_along_axis(flat, where + i, axis=1), column), toward)
-            changes = [o.step(g, rate) for o, g in zip(optimisers, (gradient, toward.sum(axis=0), error @ pooled + 1e-4 * net.weights, error.sum()), strict=True)]
-            net.filters -= changes[0]
-            net.bias -= changes[1]
-            net.weights -= changes[2]
-            net.offset -= float(changes[3])
+    order: list[int] = []
+    for update in range(UPDATES):
+        if not order:
+            order = draw.permutation(len(chunks)).tolist()
+        rows, order = np.array(order[:BATCH]), order[BATCH:]
+        rate = RATE * (1 - update / UPDATES)
+        x = np.concatenate([chunks[r] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(chunks[r]) for r in rows])
+        first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+        best = np.full((len(x), FILTERS), -np.inf, dtype=np.float32)
+        where = np.zeros((len(x), FILTERS), dtype=np.int64)
+        for half in (0, 1):
+            for lo in range(0, len(x), ROWS):
+                part = x[lo:lo + ROWS, half]
+                total = np.take(net.filters[0], part[:, :STEP], axis=0)
+                for i in range(1, WIDTH):
+                    total += np.take(net.filters[i], part[:, i:i + STEP], axis=0)
+                place = total.argmax(axis=1)
+                value = np.take_along_axis(total, place[:, None, :], axis=1)[:, 0]
+                better = value > best[lo:lo + ROWS]
+                best[lo:lo + ROWS][better] = value[better]
+                where[lo:lo + ROWS][better] = (place + half * (STEP + WIDTH - 1))[better]
+        live = best + net.bias > 0
+        h = np.where(live, best + net.bias, 0)
+        counts = np.diff(np.r_[first, len(x)])[:, None]
+        top, low = np.maximum.reduceat(h, first, axis=0), np.minimum.reduceat(h, first, axis=0)
+        pooled = np.concatenate([top, np.add.reduceat(h, first, axis=0) / counts, low, full[rows][:, None]], axis=1)
+        error = (weight[rows] * (_sigmoid(pooled @ net.weights + net.offset) - labels[rows]) / len(rows)).astype(np.float32)
+        back = error[:, None] * net.weights[None]
+        to_top, to_mean, to_low = (back[:, k * FILTERS:(k + 1) * FILTERS] for k in range(3))
+
+        def share(pool):
+            same = h == pool[owner]
+            return same / np.add.reduceat(same, first, axis=0, dtype=np.float32)[owner]
+        toward = to_top[owner] * share(top) + (to_mean / counts)[owner] + to_low[owner] * share(low)
+        toward = np.where(live, toward, 0).astype(np.float32)
+        gradient = np.zeros_like(net.filters)
+        flat = x.reshape(len(x), -1)
+        column = np.broadcast_to(np.arange(FILTERS), where.shape)
+        for i in range(WIDTH):
+            np.add.at(gradient[i], (np.take_along_axis(flat, where + i, axis=1), column), toward)
+        changes = [o.step(g, rate) for o, g in zip(optimisers, (gradient, toward.sum(axis=0), error @ pooled + 1e-4 * net.weights, error.sum()), strict=True)]
+        net.filters -= changes[0]
+        net.bias -= changes[1]
+        net.weights -= changes[2]
+        net.offset -= float(changes[3])
     return net
 
 
