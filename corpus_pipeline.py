@@ -1,20 +1,83 @@
-"""Training-data pipeline: stages over `documents`, each written and read again."""
+"""Training-data pipeline: five stages over `documents`, each written and read again.
+
+Every stage works on all rows that the one before kept. All but the last return
+the columns of their input; rows and other columns pass unchanged:
+
+1. quality: rows that the classifier rejects go; it is fitted on the labels of `labels`.
+2. near-duplicates: of each group of near-duplicates the row with the smallest doc_id stays
+   (five-word shingles, similarity of 0.8 or more); of equal rows under that id, one.
+3. decontamination: rows with a passage of `benchmark` go.
+4. secrets: found spans are replaced by `[secret]` in the text, and n_chars follows.
+5. encoding: the texts as SentencePiece ids, with the check that decoding gives the text back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fiscalis.llm.common import table
+from fiscalis.llm.decontamination import contaminated_words
+from fiscalis.llm.minhash_dedup import near_duplicates
+from fiscalis.llm.quality import fit_quality, score_quality
+from fiscalis.llm.secret_scan import find_secrets, redact
+from fiscalis.llm.sentencepiece_scan import encode_texts, load_vocabulary
 from fiscalis.session import cut
 
-STAGES: list = []
+# Words of a shingle and similarity (percent) of near-duplicates in this pipeline.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def _row(columns: list[str]) -> F.Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+
+
+def _rows(picked: DataFrame) -> DataFrame:
+    return picked.select("_row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), "doc_id")
+    scored = score_quality(docs.select(_row(docs.columns), "text"), model, [F.col("_row")])
+    return _rows(scored.where("predicted = 1"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words link with nothing and stay, as do rows without doc_id."""
+    judged = near_duplicates(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=SIMILARITY)
+    ids = cut(spark, judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("kept").alias("n")), "judged-ids")
+    left = docs.join(ids.where(~F.col("kept")), "doc_id", "left_anti")
+    repeated = ids.where("kept AND n > 1")
+    if not repeated.isEmpty():
+        left = left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(
+            left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return left.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = contaminated_words(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = judged.where(F.size("hits") > 0).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = redact(find_secrets(docs))
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_texts(docs, load_vocabulary(), [F.col("doc_id"), F.col("lang"), F.col("source")])
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]
 
+# Models, MinHash and encoding can't be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = cut(spark, stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
