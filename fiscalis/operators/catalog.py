@@ -64,7 +64,6 @@ def region_of(publisher: Column, spatials: Column) -> Column:
     provincial councils, spatial text, else the national node. The rules are
     fixed lists, so this is an expression and needs no join."""
     known = {p: slug for slug, _, _, _, publishers in ref.REGIONS for p in publishers}
-    provinces = {p: slug for slug, codes in ref.PROVINCES.items() for p in codes}
     spatial_rules = [(code, slug) for slug, _, code, _, _ in ref.REGIONS]
     hits = F.filter(
         F.transform(spatials, lambda s: first_match(s, spatial_rules, lambda c, k: c.contains(k))),
@@ -72,7 +71,7 @@ def region_of(publisher: Column, spatials: Column) -> Column:
     return F.coalesce(
         lookup(known, publisher),
         F.when(publisher.startswith("L01") & (F.length(publisher) >= 5),
-               lookup(provinces, F.substring(publisher, 4, 2))),
+               lookup(ref.PROVINCES, F.substring(publisher, 4, 2))),
         F.when(publisher.startswith("L02"), F.lit("pais-vasco")),
         F.get(hits, F.lit(0)),
         F.lit("nacional"),

@@ -44,7 +44,6 @@ FROM documents"""
 
 SEGMENT = "string_split(rtrim({c}, '/'), '/')[-1]"
 KNOWN = {p: slug for slug, _, _, _, publishers in ref.REGIONS for p in publishers}
-PROVINCE = {p: slug for slug, codes in ref.PROVINCES.items() for p in codes}
 SPATIAL = "CASE " + " ".join(
     f"WHEN contains(spatial, {text(code)}) THEN {text(slug)}" for slug, _, code, _, _ in ref.REGIONS) + " END"
 SCORE = " + ".join(
@@ -53,7 +52,7 @@ SCORE = " + ".join(
 
 CTES["classified"] = f"""
 SELECT *, coalesce({choose('publisher_id', KNOWN)},
-  CASE WHEN starts_with(publisher_id, 'L01') THEN {choose('substr(publisher_id, 4, 2)', PROVINCE)} END,
+  CASE WHEN starts_with(publisher_id, 'L01') THEN {choose('substr(publisher_id, 4, 2)', ref.PROVINCES)} END,
   CASE WHEN starts_with(publisher_id, 'L02') THEN 'pais-vasco' END, {SPATIAL}, 'nacional') AS ccaa_slug
 FROM (SELECT *, {SEGMENT.format(c='publisher')} AS publisher_id FROM items)"""
 CTES["catalogue"] = f"""
