@@ -11,7 +11,7 @@ from fiscalis.operators.features import valid_target
 from fiscalis.operators.quality import plausible_features
 from fiscalis.operators.ranking import group_medians, numbered, slot
 
-MODEL_ORDER = ["baseline_lag1", "baseline_cre", "ridge", "random_forest", "gradient_boosting"]
+MODEL_ORDER = ["baseline_lag1", "baseline_cre", "linear", "ridge", "random_forest", "gradient_boosting"]
 BASELINES = MODEL_ORDER[:2]
 SHORT_DATA = "datos insuficientes"
 
@@ -110,7 +110,9 @@ def metrics(predictions: DataFrame, keys: list[str], real: str = "OBR", predicte
 
 
 def model_number(name: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), name)
+    """Place in the order of models; a name that is not in it comes last."""
+    place = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), name)
+    return F.when(place > 0, place).otherwise(len(MODEL_ORDER) + 1)
 
 
 def winners(scores: DataFrame) -> DataFrame:

@@ -38,9 +38,10 @@ def replace_regions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ccaa_slug").parquet(path)
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Full refresh of a managed table."""
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Full refresh of a catalogue table, below `path` where one is given."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def load_if_empty(spark: SparkSession, df: DataFrame, path: str) -> bool:

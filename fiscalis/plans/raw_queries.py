@@ -329,9 +329,14 @@ def nrm05(spark, sf):
     return summary(nz.normalize(sdmx(spark, sf)))
 
 
-@query("nrm06_programme_file", check("SELECT count(*) - count(*) AS n FROM lineitem"))
+@query("nrm06_programme_file", check(f"""
+SELECT {SUMMARY_SQL}, {TOTALS} FROM sdmx WHERE cents % 3 <> 0 AND cents % 5 > 1 AND capitulo_id IS NOT NULL
+  AND fase IS NOT NULL GROUP BY ALL"""))
 def nrm06(spark, sf):
-    return nz.normalize(sdmx(spark, sf).withColumn("PRESUPUESTO_PROGRAMA", F.lit("P1"))).agg(N)
+    """An accepted file together with one that splits the same amounts by programme."""
+    accepted = sdmx(spark, sf)
+    split_again = accepted.withColumn("PRESUPUESTO_PROGRAMA", F.lit("P1"))
+    return summary(nz.consolidate([nz.normalize(accepted), nz.normalize(split_again)]))
 
 
 @query("nrm07_year_from_sheet", check("""

@@ -10,15 +10,23 @@ from fiscalis.functions.amounts import parse_amount
 from fiscalis.functions.text import chapter_in_label, once, phase_from_indicator, phase_from_title
 
 
+# Characters where a code page differs from ISO-8859-1.
+LATIN_9 = ("\u00a4\u00a6\u00a8\u00b4\u00b8\u00bc\u00bd\u00be", "€ŠšŽžŒœŸ")
+WINDOWS_1252 = ("".join(map(chr, [0x80, *range(0x82, 0x8d), 0x8e, *range(0x91, 0x9d), 0x9e, 0x9f])), "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")
+
+
 def read_cubes(spark: SparkSession, paths) -> DataFrame:
-    """(file, text) of the files that are text cubes, in their own code page."""
+    """(file, text) of the files that are text cubes, in their own code page:
+    UTF-8, Windows-1252, ISO-8859-1, or ISO-8859-15 where none of these is named."""
     files = spark.read.format("binaryFile").load(paths)
-    ascii_head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
-    page = F.lower(F.regexp_extract(ascii_head, r'(?i)CODEPAGE\s*=\s*"([^"]+)"', 1))
+    latin = F.decode("content", "ISO-8859-1")
+    head = F.substring_index(latin, "DATA=", 1)
+    page = F.lower(F.regexp_extract(head, r'(?i)CODEPAGE\s*=\s*"([^"]+)"', 1))
     raw = F.col("content").cast("string")
-    text = F.when(page.isin("utf-8", "utf8") & F.is_valid_utf8(raw), F.make_valid_utf8(raw)).otherwise(
-        F.decode("content", "ISO-8859-1"))
-    start = F.ltrim(F.substring(ascii_head, 1, 64))
+    text = (F.when(page.isin("utf-8", "utf8") & F.is_valid_utf8(raw), F.make_valid_utf8(raw))
+            .when(page.isin("windows-1252", "cp1252", "1252"), F.translate(latin, *WINDOWS_1252))
+            .when(page.isin("iso-8859-1", "latin1", "latin-1"), latin).otherwise(F.translate(latin, *LATIN_9)))
+    start = F.regexp_replace(F.substring_index(head, "=", 1), r"^\s+", "")
     return files.where(start.startswith("AXIS") | start.startswith("CHARSET")).select(
         F.col("path").alias("file"), text.alias("text"))
 
