@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from fiscalis import reference_data as ref
 from fiscalis.sources.files import file_lines
 
-OVERFLOW = "_overflow"
+MALFORMED = "_malformed"
+QUOTED = r'"(?:[^"]|"")*"'
 NUMBER = r"^-?\d[\d.,]*\d$"
 
 
@@ -40,13 +41,14 @@ def decoded(line: Column, encoding: Column) -> Column:
 
 def delimiters(lines: DataFrame) -> DataFrame:
     """Semicolon when more frequent than comma, else tab when more frequent,
-    else comma."""
+    else comma; and whether some line has an odd number of quotes, so that a
+    quoted field goes on in the next line."""
     text = F.col("line")
     sums = lines.groupBy("file").agg(
         F.sum(_count(text, ";")).alias("_semi"), F.sum(_count(text, ",")).alias("_comma"),
-        F.sum(_count(text, "\t")).alias("_tab"))
+        F.sum(_count(text, "\t")).alias("_tab"), F.bool_or(_count(text, '"') % 2 == 1).alias("quoted_breaks"))
     chosen = F.when(F.col("_semi") > F.col("_comma"), ";").when(F.col("_tab") > F.col("_comma"), "\t").otherwise(",")
-    return sums.select("file", chosen.alias("delimiter"))
+    return sums.select("file", chosen.alias("delimiter"), "quoted_breaks")
 
 
 def number_tokens(lines: DataFrame) -> DataFrame:
@@ -108,15 +110,19 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, header: list[str], delimiter: str = ",",
-                   encoding: str = "UTF-8") -> DataFrame:
+                   encoding: str = "UTF-8", quoted_breaks: bool = False) -> DataFrame:
     """Files with one header as texts. Rows with too many fields are dropped,
-    short ones are padded."""
-    names = [*[f"_{i}" for i in range(len(header))], OVERFLOW]
+    short ones are padded. Only files with line breaks inside quotes are read
+    as a whole; the others can be split."""
+    names = [*[f"_{i}" for i in range(len(header))], MALFORMED]
     rows = (
         spark.read.schema(", ".join(f"`{n}` string" for n in names))
-        .option("sep", delimiter).option("encoding", encoding).option("header", "true")
-        .option("mode", "PERMISSIVE").option("enforceSchema", "true").option("escape", '"').csv(paths))
-    kept = rows.where(F.col(OVERFLOW).isNull())
+        .option("sep", delimiter).option("encoding", encoding).option("header", "true").option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", "false")
+        .option("enforceSchema", "true").option("escape", '"').option("multiLine", quoted_breaks).csv(paths))
+    # A record with another number of fields comes with its text; the delimiters outside quotes tell which.
+    fields = 1 + _count(F.regexp_replace(MALFORMED, QUOTED, ""), delimiter)
+    kept = rows.where(F.col(MALFORMED).isNull() | (fields <= len(header)))
     named = kept.select(F.col("_metadata.file_path").alias("_file"),
                         *[F.col(f"_{i}").alias(h) for i, h in enumerate(header)])
     return missing_to_null(named)
@@ -144,13 +150,13 @@ def unify_numbers(df: DataFrame, columns: list[str], decimal: str, thousands: st
 
 def read_folder(spark: SparkSession, paths) -> list[DataFrame]:
     """One DataFrame per group of files that agree on header and dialect."""
-    keys = ["header", "delimiter", "encoding", "decimal", "thousands"]
+    keys = ["header", "delimiter", "encoding", "decimal", "thousands", "quoted_breaks"]
     groups = profile(file_lines(spark, paths)).groupBy(*keys).agg(
         F.sort_array(F.collect_set("file")).alias("files")).orderBy(*keys).collect()
     out = []
     for g in groups:
         header = [h.strip().strip('"') for h in g["header"].split(g["delimiter"])]
-        rows = read_delimited(spark, list(g["files"]), header, g["delimiter"], g["encoding"])
+        rows = read_delimited(spark, list(g["files"]), header, g["delimiter"], g["encoding"], g["quoted_breaks"])
         out.append(unify_numbers(rows, header, g["decimal"], g["thousands"]))
     return out
 

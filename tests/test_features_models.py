@@ -115,3 +115,11 @@ def test_tree_models(spark):
     models = le.fit_regions(design, ["r"], le.forest(5, 3), log=True)
     assert le.tree_predictions(design, models, "random_forest", log=True).count() == 20
     assert le.importances(spark, models, 3).count() == 3
+
+
+def test_winner_on_ties_and_unknown_names(spark):
+    from fiscalis.operators.modeling import winners
+    scores = spark.createDataFrame([("a", "linear", 1.0), ("a", "baseline_cre", 1.0), ("b", "own", 2.0), ("b", "linear", 2.0), ("c", "own", 1.0), ("c", "ridge", 3.0)],
+                                   "ccaa_slug string, modelo string, mae double").selectExpr("*", "0.1D AS mape", "0.5D AS r2")
+    assert {r.ccaa_slug: (r.modelo, r.bate_baseline) for r in winners(scores).collect()} == {
+        "a": ("baseline_cre", "no"), "b": ("linear", "sí"), "c": ("own", "sí")}

@@ -20,6 +20,28 @@ def test_folder_of_dialects(spark, tmp_path):
     assert got == [(2019, 5, "PRE", 1000.25), (2020, 1, "PRE", 1234.5), (2020, 1, "PRE", 1234.5), (2021, 2, "PRE", 10.25)]
 
 
+def test_records_of_other_lengths(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a;b\n1;2\n3;4;5\n6;7;;9\n8;9;\n10\n11;"x;y"\n12;"p;q";z\n13;14;15;16;17\n')
+    rows = delimited.read_delimited(spark, str(tmp_path / "a.csv"), ["a", "b"], ";")
+    assert sorted((r.a, r.b) for r in rows.collect()) == [("1", "2"), ("10", None), ("11", "x;y")]
+
+
+def test_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Ejercicio;Texto;Inicial\n2020;"uno\ndos ""tres""";1,50\n2021;cuatro;2,25\n')
+    (tmp_path / "b.csv").write_text('Ejercicio;Texto;Inicial\n2022;cinco;3,75\n')
+    parts = delimited.read_folder(spark, [str(tmp_path / f"{n}.csv") for n in "ab"])
+    got = sorted((r.Ejercicio, r.Texto, r.Inicial) for p in parts for r in p.collect())
+    assert got == [("2020", 'uno\ndos "tres"', "1.50"), ("2021", "cuatro", "2.25"), ("2022", "cinco", "3.75")]
+
+
+def test_cube_header_beyond_a_prefix(spark, tmp_path):
+    head = '\n' * 200 + 'AXIS-VERSION="2000";\n' + 'NOTE="' + "x" * 3000 + '";\n'
+    for page, raw in (("utf-8", "é€".encode()), ("windows-1252", "é€".encode("cp1252")), ("iso-8859-15", "é€".encode("iso-8859-15"))):
+        (tmp_path / f"{page}.px").write_bytes(head.encode() + f'CODEPAGE="{page}";\nTITLE="'.encode() + raw + b'";\nDATA=\n1;\n')
+    got = cube.read_cubes(spark, str(tmp_path / "*.px")).collect()
+    assert len(got) == 3 and all('TITLE="é€"' in r.text for r in got)
+
+
 def test_number_votes(spark):
     tokens = spark.createDataFrame([("f", t) for t in ("1.234,56", "89932302.14", "1,234", "12,5")], "file string, token string")
     r = delimited.number_formats(tokens).first()
