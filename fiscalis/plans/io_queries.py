@@ -75,8 +75,8 @@ def doc_lines(spark, sf):
 
 
 @query("src03_delimiter", check("""
-SELECT file, CASE WHEN s > c THEN ';' WHEN t > c THEN chr(9) ELSE ',' END AS delimiter FROM (
-  SELECT file, sum(length(line) - length(replace(line, ';', ''))) AS s, sum(length(line) - length(replace(line, ',', ''))) AS c,
+SELECT file, CASE WHEN s > c THEN ';' WHEN t > c THEN chr(9) ELSE ',' END AS delimiter, quoted_breaks FROM (
+  SELECT file, bool_or((length(line) - length(replace(line, '"', ''))) % 2 = 1) AS quoted_breaks, sum(length(line) - length(replace(line, ';', ''))) AS s, sum(length(line) - length(replace(line, ',', ''))) AS c,
     sum(length(line) - length(replace(line, chr(9), ''))) AS t FROM doc_lines GROUP BY file)"""))
 def src03(spark, sf):
     return dl.delimiters(doc_lines(spark, sf))
