@@ -28,7 +28,8 @@ from fiscalis.sources import lake as lk
 from fiscalis.sources import nested as ne
 from fiscalis.sources import sample_tables as st
 
-N = F.count(F.lit(1)).alias("n")
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 # --- delimited text ------------------------------------------------------------
@@ -63,7 +64,7 @@ def src02(spark, sf):
         "encoding", dl.decoded(F.col("line"), F.col("encoding")).alias("value"))
     back = both.select("encoding", F.substring_index("value", "\t", 1).cast("bigint").alias("doc_id"), F.md5("value").alias("h"))
     same = back.join(docs.select("doc_id", F.md5("value").alias("h0")), "doc_id")
-    return same.groupBy("encoding").agg(N, F.bool_and(F.col("h") == F.col("h0")).alias("igual"))
+    return same.groupBy("encoding").agg(n_rows(), F.bool_and(F.col("h") == F.col("h0")).alias("igual"))
 
 
 CTES["doc_lines"] = "SELECT 'doc-' || doc_id AS file, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -102,7 +103,7 @@ UNION ALL SELECT 'f' || l_suppkey, '1.234' FROM lineitem"""
 
 @query("src04_number_tokens", check("SELECT file, token, count(*) AS n FROM price_tokens GROUP BY ALL"))
 def src04(spark, sf):
-    return dl.number_tokens(price_lines(spark, sf)).groupBy("file", "token").agg(N)
+    return dl.number_tokens(price_lines(spark, sf)).groupBy("file", "token").agg(n_rows())
 
 
 @query("src05_number_format", check("""
@@ -260,7 +261,7 @@ def src12(spark, sf):
     rows = st.facts(spark, sf).select(
         F.col("ccaa_slug").alias("file"), F.lit("Liquidación").alias("title"), coords.alias("coords"),
         F.col("importe_eur").cast("string").alias("data"))
-    return cu.shape_cells(rows).groupBy("file", "anio", "capitulo_id", "fase").agg(N, money_sum(F.col("importe_eur")).alias("importe"))
+    return cu.shape_cells(rows).groupBy("file", "anio", "capitulo_id", "fase").agg(n_rows(), money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("src13_reader_routes", check("""
@@ -279,7 +280,7 @@ def src13(spark, sf):
     rows = st.table(spark, sf, "lineitem").groupBy(
         pick(["CSV", "JSON", "XML", "PDF"], F.col("l_partkey")).alias("formato"),
         pick(["csv", "px", "dat"], F.col("l_suppkey")).alias("extension"),
-        pick(["a", "{", "<"], F.col("l_linenumber")).alias("contenido")).agg(N)
+        pick(["a", "{", "<"], F.col("l_linenumber")).alias("contenido")).agg(n_rows())
     path = F.concat(F.lit("raw/f."), F.upper("extension"))
     first = F.concat(F.lit("  "), F.col("contenido"), F.lit("..."))
     return rows.withColumn("reader", fi.reader_for(F.lower("formato"), path, first))
@@ -304,7 +305,7 @@ def src13_files(spark, sf):
         "xml": lambda s, paths: s.read.format("xml").option("rowTag", "fila").schema("l_returnflag string, importe string").load(paths),
     }
     found = fi.read_routed(spark, files, readers)
-    return found.groupBy("l_returnflag").agg(N, money_sum(F.col("importe")).alias("importe"))
+    return found.groupBy("l_returnflag").agg(n_rows(), money_sum(F.col("importe")).alias("importe"))
 
 
 # --- the lake --------------------------------------------------------------------
@@ -321,7 +322,7 @@ WHERE ccaa_slug IN ('nation_1', 'nation_2') AND anio >= 1998 AND fase <> 'PAG' G
 def src14(spark, sf):
     wanted = F.col("ccaa_slug").isin("nation_1", "nation_2") & (F.col("anio") >= 1998) & (F.col("fase") != "PAG")
     return lk.read_partitioned(spark, fact_lake(spark, sf), wanted).groupBy("ccaa_slug", "anio", "fase").agg(
-        N, money_sum(F.col("importe_eur")).alias("importe"))
+        n_rows(), money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("src15_feature_store", check(f"SELECT {KEYS}, PRE, obr_lag_1 FROM feat WHERE ccaa_slug = 'nation_4'"))
@@ -351,7 +352,7 @@ def src18(spark, sf):
     dim = st.table(spark, sf, "nation").select(F.lower("n_name").alias("slug"))
     parts = {"prediccion": lk.read_table(predictions(spark, sf), "nation_8"),
              "features": lk.read_table(features(spark, sf), "nation_8"), "dim": lk.read_table(dim, "nation_8", "slug")}
-    counts = [df.agg(N).select(F.lit(name).alias("tabla"), "n") for name, df in parts.items()]
+    counts = [df.agg(n_rows()).select(F.lit(name).alias("tabla"), "n") for name, df in parts.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
@@ -387,7 +388,7 @@ FROM (VALUES {DIM}) AS t(slug, nombre, uri_nti, cobertura, publicadores)
 LEFT JOIN (SELECT {sql_pick([r[0] for r in ref.REGIONS], 's_nationkey')} AS slug, count(*) AS n FROM supplier GROUP BY 1) USING (slug)"""))
 def src22(spark, sf):
     owners = st.table(spark, sf, "supplier").groupBy(
-        pick([r[0] for r in ref.REGIONS], F.col("s_nationkey")).alias("slug")).agg(N)
+        pick([r[0] for r in ref.REGIONS], F.col("s_nationkey")).alias("slug")).agg(n_rows())
     return region_dimension(spark).join(owners, "slug", "left").select(
         "slug", "nombre", "uri_nti", "cobertura", F.size("publishers").alias("publicadores"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("proveedores"))
@@ -447,7 +448,7 @@ FACT_SUM = """SELECT ccaa_slug, anio, count(*) AS n, CAST(sum(importe_eur) AS DO
 
 
 def fact_sum(df):
-    return df.groupBy("ccaa_slug", "anio").agg(N, money_sum(F.col("importe_eur")).alias("importe"))
+    return df.groupBy("ccaa_slug", "anio").agg(n_rows(), money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("snk01_write_table", check(FACT_SUM))
@@ -597,7 +598,7 @@ def snk12(spark, sf):
     fact = st.facts(spark, sf)
     shapes = {"fact": fact, "sin_fase": fact.drop("fase"), "con_extra": fact.withColumn("extra", F.lit(1))}
     gaps = sk.destination_gaps(spark, {name: (df, ref.FACT_COLUMNS) for name, df in shapes.items()})
-    return gaps.withColumn("filas", fact.agg(N).scalar())
+    return gaps.withColumn("filas", fact.agg(n_rows()).scalar())
 
 
 @query("snk13_metrics_export", check("""

@@ -20,7 +20,8 @@ from fiscalis.plans.registry import query
 from fiscalis.session import cut
 from fiscalis.sources import sample_tables as st
 
-N = F.count(F.lit(1)).alias("n")
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 def pick(values, index):
@@ -53,7 +54,7 @@ SELECT code, TRY_CAST(d AS INTEGER) AS capitulo_id, n FROM (SELECT *, CASE WHEN
 FROM (SELECT 'G' || (l_partkey % 25) AS code, count(*) AS n FROM lineitem GROUP BY 1))"""))
 def exp03(spark, sf):
     code = F.concat(F.lit("G"), (F.col("l_partkey") % 25).cast("string"))
-    return st.table(spark, sf, "lineitem").groupBy(code.alias("code")).agg(N).select(
+    return st.table(spark, sf, "lineitem").groupBy(code.alias("code")).agg(n_rows()).select(
         "code", tx.chapter_digit(F.col("code")).alias("capitulo_id"), "n")
 
 
@@ -69,7 +70,7 @@ PHASE_SQL = "CASE " + " ".join(
 SELECT texto, {PHASE_SQL} AS fase, n
 FROM (SELECT {sql_pick(LABELS, 'l_partkey')} AS texto, count(*) AS n FROM lineitem GROUP BY 1)"""))
 def exp04(spark, sf):
-    return st.table(spark, sf, "lineitem").groupBy(pick(LABELS, F.col("l_partkey")).alias("texto")).agg(N).select(
+    return st.table(spark, sf, "lineitem").groupBy(pick(LABELS, F.col("l_partkey")).alias("texto")).agg(n_rows()).select(
         "texto", tx.phase_from_text(F.col("texto")).alias("fase"), "n")
 
 
@@ -86,7 +87,7 @@ def exp05(spark, sf):
         F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM")).when(k == 1, F.concat(year.cast("string"), F.lit(".0")))
         .when(k == 2, F.substring(year.cast("string"), 3, 2)).when(k == 3, (year - 17).cast("string"))
         .when(k == 4, F.concat(F.lit("año "), year.cast("string"))))
-    return st.table(spark, sf, "orders").groupBy(shown.alias("texto")).agg(N).select(
+    return st.table(spark, sf, "orders").groupBy(shown.alias("texto")).agg(n_rows()).select(
         "texto", tx.parse_year(F.col("texto")).alias("anio"), "n")
 
 
@@ -100,7 +101,7 @@ SELECT texto, CAST({choose('texto', {k: v for k, v in CHAPTERS.items() if v})} A
 FROM (SELECT {sql_pick([*CHAPTERS, None], 'l_partkey')} AS texto, count(*) AS n FROM lineitem GROUP BY 1)"""))
 def exp06(spark, sf):
     return st.table(spark, sf, "lineitem").groupBy(pick([*CHAPTERS, None], F.col("l_partkey")).alias("texto")).agg(
-        N).select("texto", tx.parse_chapter(F.col("texto")).alias("capitulo_id"), "n")
+        n_rows()).select("texto", tx.parse_chapter(F.col("texto")).alias("capitulo_id"), "n")
 
 
 @query("exp07_chapter_in_label", check("""
@@ -108,7 +109,7 @@ SELECT texto, TRY_CAST(nullif(regexp_extract(texto, '\\b([1-9])\\b', 1), '') AS
 FROM (SELECT 'Cap. ' || (l_partkey % 14) || ' Gastos' AS texto, count(*) AS n FROM lineitem GROUP BY 1)"""))
 def exp07(spark, sf):
     shown = F.concat(F.lit("Cap. "), (F.col("l_partkey") % 14).cast("string"), F.lit(" Gastos"))
-    return st.table(spark, sf, "lineitem").groupBy(shown.alias("texto")).agg(N).select(
+    return st.table(spark, sf, "lineitem").groupBy(shown.alias("texto")).agg(n_rows()).select(
         "texto", tx.chapter_in_label(F.col("texto")).alias("capitulo_id"), "n")
 
 
@@ -122,7 +123,7 @@ def exp08(spark, sf):
     shown = (
         F.when(k == 0, F.concat(v.cast("string"), F.lit(".0"))).when(k == 1, v.cast("string"))
         .when(k == 2, F.concat(F.lit("cap "), v.cast("string"))))
-    rows = st.table(spark, sf, "lineitem").groupBy(k.alias("k"), v.alias("v"), shown.alias("texto")).agg(N)
+    rows = st.table(spark, sf, "lineitem").groupBy(k.alias("k"), v.alias("v"), shown.alias("texto")).agg(n_rows())
     return rows.select("texto", tx.as_smallint(F.col("texto")).alias("capitulo_id"), "n")
 
 
@@ -167,7 +168,7 @@ FROM (SELECT *, CASE WHEN k % 5 > 0 THEN pow(0.5, k) END AS p, k * 123.25::DOUBL
 def exp11(spark, sf):
     k = F.col("k")
     p = F.when(k % 5 > 0, F.pow(F.lit(0.5), k))
-    rows = st.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 40).cast("int").alias("k")).agg(N)
+    rows = st.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 40).cast("int").alias("k")).agg(n_rows())
     return rows.select("k", am.p_label(p).alias("p"), am.million_label(k * F.lit(123.25)).alias("meur"), "n")
 
 
@@ -182,7 +183,7 @@ FROM (SELECT {sql_pick(SLUGS, 'c_nationkey')} AS slug,
   CASE WHEN c_custkey % 13 > 0 THEN CAST(c_custkey % 12 AS INTEGER) END AS cap, count(*) AS n FROM customer GROUP BY ALL)"""))
 def exp12(spark, sf):
     cap = F.when(F.col("c_custkey") % 13 > 0, (F.col("c_custkey") % 12).cast("int"))
-    rows = st.table(spark, sf, "customer").groupBy(pick(SLUGS, F.col("c_nationkey")).alias("slug"), cap.alias("cap")).agg(N)
+    rows = st.table(spark, sf, "customer").groupBy(pick(SLUGS, F.col("c_nationkey")).alias("slug"), cap.alias("cap")).agg(n_rows())
     return rows.select(
         "slug", "cap", lb.region_label(F.col("slug")).alias("ccaa"), lb.chapter_label(F.col("cap")).alias("capitulo"),
         lb.dashboard_chapter(F.col("cap")).alias("panel"), "n")
@@ -224,7 +225,7 @@ SELECT ccaa_slug, f.capitulo_id, CASE WHEN f.capitulo_id IN (1, 2, 3, 4) THEN 'c
   WHEN f.capitulo_id IN (6, 7) THEN 'capital' END AS clase, tipo, count(*) AS n
 FROM fact f LEFT JOIN (VALUES {CHAPTER_ROWS}) AS d(capitulo_id, nombre, tipo) USING (capitulo_id) GROUP BY ALL"""))
 def exp17(spark, sf):
-    counts = st.facts(spark, sf).groupBy("ccaa_slug", "capitulo_id").agg(N)
+    counts = st.facts(spark, sf).groupBy("ccaa_slug", "capitulo_id").agg(n_rows())
     dim = lb.chapter_dimension(spark).select("capitulo_id", "tipo")
     return counts.join(dim, "capitulo_id", "left").select(
         "ccaa_slug", "capitulo_id", am.spend_kind(F.col("capitulo_id")).alias("clase"), "tipo", "n")
@@ -235,13 +236,13 @@ SELECT mes, CAST(substr(mes, 1, 2) AS INTEGER) AS numero, n FROM (
   SELECT strftime(o_orderdate, '%m') || ' - ' || year(o_orderdate) AS mes, count(*) AS n FROM orders GROUP BY 1)"""))
 def exp18(spark, sf):
     month = F.concat(F.date_format("o_orderdate", "MM"), F.lit(" - "), F.year("o_orderdate").cast("string"))
-    return st.table(spark, sf, "orders").groupBy(month.alias("mes")).agg(N).select(
+    return st.table(spark, sf, "orders").groupBy(month.alias("mes")).agg(n_rows()).select(
         "mes", tx.month_number(F.col("mes")).alias("numero"), "n")
 
 
 @query("exp19_load_time")
 def exp19(spark, sf):
-    return sk.with_load_time(st.facts(spark, sf).groupBy("ccaa_slug").agg(N))
+    return sk.with_load_time(st.facts(spark, sf).groupBy("ccaa_slug").agg(n_rows()))
 
 
 # --- normalisation -------------------------------------------------------------
@@ -256,7 +257,7 @@ TOTALS = "count(*) AS n, CAST(sum(CAST(importe_eur AS DECIMAL(18,2))) AS DOUBLE)
 
 
 def summary(facts):
-    return facts.groupBy(*SUMMARY).agg(N, am.money_sum(F.col("importe_eur")).alias("importe"))
+    return facts.groupBy(*SUMMARY).agg(n_rows(), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 ORIGIN = ["ccaa_slug", "dataset_uri"]
@@ -319,7 +320,7 @@ SELECT *, CAST(PRE * 100 AS BIGINT) AS cents, PRE AS importe_eur,
     f"SELECT ccaa_slug, anio, count(*) AS n FROM sdmx WHERE cents % 3 <> 0 GROUP BY ALL"))
 def nrm04(spark, sf):
     kept = nz.sdmx_measure(nz.with_canonical_names(sdmx(spark, sf)))
-    return kept.groupBy("ccaa_slug", F.col("anio").cast("int").alias("anio")).agg(N)
+    return kept.groupBy("ccaa_slug", F.col("anio").cast("int").alias("anio")).agg(n_rows())
 
 
 @query("nrm05_sdmx_chapters", check(f"""
@@ -346,7 +347,7 @@ def nrm07(spark, sf):
     sheet = st.wide_lines(spark, sf).select(
         *ORIGIN, F.concat(F.lit("Hoja "), F.col("anio").cast("string"), F.lit(" def")).alias("__sheet__"),
         F.col("PRE").cast("string").alias("Importe"))
-    return nz.normalize(sheet).groupBy("ccaa_slug", "anio", "fase").agg(N, am.money_sum(F.col("importe_eur")).alias("importe"))
+    return nz.normalize(sheet).groupBy("ccaa_slug", "anio", "fase").agg(n_rows(), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("nrm08_unpivot_phases", check("""
@@ -357,7 +358,7 @@ def nrm08(spark, sf):
     wide = st.wide_lines(spark, sf).select(
         "ccaa_slug", "anio", F.lit("old").alias("fase"), F.col("PRE").alias("importe_pre"), F.col("OBR").alias("importe_obr"))
     return nz.unpivot_phases(wide).groupBy("ccaa_slug", "anio", "fase").agg(
-        N, F.count("importe_eur").alias("con_importe"), am.money_sum(F.col("importe_eur")).alias("importe"))
+        n_rows(), F.count("importe_eur").alias("con_importe"), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("nrm09_canonical_input", check(f"""
@@ -399,7 +400,7 @@ def nrm12(spark, sf):
         "anio": F.when(F.col("anio") != 1997, F.col("anio")), "fase": F.when(F.col("fase") != "PAG", F.col("fase")),
         "importe_eur": F.when(cents % 11 != 0, F.col("importe_eur")), "sobra": F.lit(1)})
     return nz.canonical_rows(holes).groupBy(*SUMMARY).agg(
-        N, F.count("trimestre").alias("n_trimestre"), F.count("grupo_funcional_id").alias("n_grupo"))
+        n_rows(), F.count("trimestre").alias("n_trimestre"), F.count("grupo_funcional_id").alias("n_grupo"))
 
 
 TITLES = ["Obligaciones reconocidas netas", "La obligacion", "Credito definitivo y pagos", "presupuesto inicial",
@@ -426,7 +427,7 @@ INDICATORS = ["Obligaciones Reconocidas", " Crédito definitivo", "Presupuesto i
 SELECT indicador, {contains_case('strip_accents(lower(trim(indicador)))', ref.INDICATOR_PHASES)} AS fase, n
 FROM (SELECT {sql_pick(INDICATORS, 'l_partkey')} AS indicador, count(*) AS n FROM lineitem GROUP BY 1)"""))
 def nrm14(spark, sf):
-    return st.table(spark, sf, "lineitem").groupBy(pick(INDICATORS, F.col("l_partkey")).alias("indicador")).agg(N).select(
+    return st.table(spark, sf, "lineitem").groupBy(pick(INDICATORS, F.col("l_partkey")).alias("indicador")).agg(n_rows()).select(
         "indicador", tx.phase_from_indicator(F.col("indicador")).alias("fase"), "n")
 
 
@@ -438,7 +439,7 @@ SELECT dataset_uri, fase, origen, count(*) AS n, CAST(sum(importe_eur) AS DOUBLE
 def nrm15(spark, sf):
     parts = [nz.normalize(budget_sheet(spark, sf)).withColumn("origen", F.lit("hoja")), nz.normalize(sdmx(spark, sf))]
     return nz.consolidate(parts).groupBy("dataset_uri", "fase", "origen").agg(
-        N, am.money_sum(F.col("importe_eur")).alias("importe"))
+        n_rows(), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 # --- validation --------------------------------------------------------------------
@@ -489,7 +490,7 @@ SELECT distribution_id, count(*) AS n, CAST(sum(importe_eur) AS DOUBLE) AS impor
 GROUP BY distribution_id HAVING NOT bool_or({ANY})"""))
 def val02(spark, sf):
     return qa.accept_whole_files(staged(spark, dirty(spark, sf))).groupBy("distribution_id").agg(
-        N, am.money_sum(F.col("importe_eur")).alias("importe"))
+        n_rows(), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 def repeated(spark, sf):
@@ -522,7 +523,7 @@ JOIN (SELECT ccaa_slug, anio, min(dataset_uri) AS dataset_uri FROM (
   GROUP BY ccaa_slug, anio, h) USING (ccaa_slug, anio, dataset_uri) GROUP BY ALL"""))
 def val03(spark, sf):
     return qa.drop_duplicate_blocks(staged(spark, repeated(spark, sf))).groupBy("ccaa_slug", "anio", "dataset_uri").agg(
-        N, am.money_sum(F.col("importe_eur")).alias("importe"))
+        n_rows(), am.money_sum(F.col("importe_eur")).alias("importe"))
 
 
 @query("val04_fact_contract", check("""
@@ -565,7 +566,7 @@ LIMIT = 90000.0
 @query("val07_plausible_facts", check(f"""
 SELECT ccaa_slug, fase, count(*) AS n FROM fact WHERE importe_eur BETWEEN -{LIMIT} AND {LIMIT} GROUP BY ALL"""))
 def val07(spark, sf):
-    return qa.plausible_facts(st.facts(spark, sf), LIMIT).groupBy("ccaa_slug", "fase").agg(N)
+    return qa.plausible_facts(st.facts(spark, sf), LIMIT).groupBy("ccaa_slug", "fase").agg(n_rows())
 
 
 HUGE = " OR ".join(f"coalesce(abs({c}) > {LIMIT}, false)" for c in qa.AMOUNT_COLUMNS)

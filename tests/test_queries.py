@@ -28,3 +28,13 @@ def test_entry(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_without_a_session():
+    """The names of the queries can be listed before there is a session."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout.split()[0]) >= 228
