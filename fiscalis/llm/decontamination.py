@@ -128,8 +128,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", i
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     slots = marks.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("p")).select(
         F.expr(f"int(((p & {FILTER_BITS - 1})) >> 6)").alias("word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit"))
-    for r in slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    found = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     kind = docs.schema[key].dataType.simpleString()
     scanned = cut(spark, docs.select(F.col(key).alias("id"), text).mapInArrow(
         _scan(window, gram, short, bits), f"row bigint, id {kind}, n_words bigint, found {FOUND}"), "document-marks")

@@ -255,8 +255,9 @@ def fit_model(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> Model:
     packed = texts.mapInArrow(_count_grams(order), "part int, hashes binary, counts binary")
     blocks = packed.repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(_build(bits), "part int, bitmap binary")
     bitmap = np.zeros((PARTS, bits // 8), dtype=np.uint8)
-    for r in blocks.toLocalIterator():
-        bitmap[r["part"]] = np.frombuffer(bytes(r["bitmap"]), dtype=np.uint8)
+    built = blocks.toArrow()
+    for part, row in zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True):
+        bitmap[part] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
     return Model(bitmap, order, totals["n"] or 0, totals["v"], dict(zip(found["word"], found["c"], strict=True)))
 
 
