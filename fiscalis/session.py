@@ -54,7 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     made = os.environ.get("FISCALIS_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="fiscalis-")
     os.environ["FISCALIS_LOCAL_SCRATCH"] = made
