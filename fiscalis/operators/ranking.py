@@ -128,9 +128,15 @@ def numbered(df: DataFrame, coarse: dict[str, Column], order: list, name: str) -
     combinations are counted and offset, the rest is numbered per combination.
     """
     keys = list(coarse)
+    first, rest = keys[0], keys[1:]
     df = df.withColumns(coarse)
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    # Prefix sums in two levels: over the few values of the first key, then inside each.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.groupBy(first).agg(F.sum("_rows").alias("_rows")).select(
+        first, F.coalesce(F.sum("_rows").over(before.orderBy(first)), F.lit(0)).alias("_start"))
+    within = F.sum("_rows").over(before.partitionBy(first).orderBy(*rest)) if rest else F.lit(0)
+    offsets = sizes.select(*keys, F.coalesce(within, F.lit(0)).alias("_within")).join(starts, first).select(
+        *keys, (F.col("_start") + F.col("_within")).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return df.join(offsets, keys).withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_before")
