@@ -321,7 +321,7 @@ SELECT ccaa_slug, anio, fase, count(*) AS n, CAST(sum(importe_eur) AS DOUBLE) AS
 WHERE ccaa_slug IN ('nation_1', 'nation_2') AND anio >= 1998 AND fase <> 'PAG' GROUP BY ALL"""))
 def src14(spark, sf):
     wanted = F.col("ccaa_slug").isin("nation_1", "nation_2") & (F.col("anio") >= 1998) & (F.col("fase") != "PAG")
-    return lk.read_partitioned(spark, fact_lake(spark, sf), wanted).groupBy("ccaa_slug", "anio", "fase").agg(
+    return lk.read_partitioned(spark, fact_lake(spark, sf), wanted, st.facts(spark, sf).schema).groupBy("ccaa_slug", "anio", "fase").agg(
         n_rows(), money_sum(F.col("importe_eur")).alias("importe"))
 
 
@@ -371,7 +371,7 @@ def src19(spark, sf):
 @query("src20_curated_summary", check("""
 SELECT ccaa_slug, count(*) AS filas, min(anio) AS anio_min, max(anio) AS anio_max FROM fact GROUP BY ccaa_slug"""))
 def src20(spark, sf):
-    return lk.curated_summary(lk.read_partitioned(spark, fact_lake(spark, sf)))
+    return lk.curated_summary(lk.read_partitioned(spark, fact_lake(spark, sf), schema=st.facts(spark, sf).schema))
 
 
 @query("src21_file_manifest")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fiscalis.functions.amounts import money_sum
 from fiscalis.functions.text import chapter_digit, month_number
 
 
-def read_partitioned(spark: SparkSession, root: str, where: Column | str | None = None) -> DataFrame:
+def read_partitioned(spark: SparkSession, root: str, where: Column | str | None = None,
+                     schema: StructType | None = None) -> DataFrame:
     """A partitioned table; conditions on partition columns prune directories,
-    the others reach the Parquet reader."""
-    rows = spark.read.option("mergeSchema", "true").parquet(root)
+    the others reach the Parquet reader. Without `schema` the footers of all
+    files are opened to merge theirs."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    rows = reader.parquet(root)
     return rows.where(where) if where is not None else rows
 
 

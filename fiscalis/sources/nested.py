@@ -47,9 +47,18 @@ def flatten(df: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
     """Records of JSON documents that share a layout: a top-level list, else
-    the list found in the document, else the document itself."""
+    the list found in the document, else the document itself. Files that are
+    not valid UTF-8 are read as Latin-1."""
     reader = spark.read.option("multiLine", "true")
-    docs = (reader.schema(schema) if schema is not None else reader).json(paths)
+    reader = reader.schema(schema) if schema is not None else reader
+    other = file_lines(spark, paths).where(~F.is_valid_utf8("line")).select("file").distinct()
+    docs = reader.json(paths)
+    if not other.isEmpty():
+        place = F.col("_metadata.file_path").alias("_place")
+        latin = reader.option("encoding", "ISO-8859-1").json(paths)
+        docs = latin.select("*", place).join(other, F.col("_place") == other["file"], "left_semi").drop("_place").unionByName(
+            reader.option("encoding", "UTF-8").schema(latin.schema).json(paths).select("*", place).join(
+                other, F.col("_place") == other["file"], "left_anti").drop("_place"))
     starts = first_lines(file_lines(spark, paths)).select(
         F.substring(F.ltrim(F.regexp_replace("first", "﻿", "")), 1, 1).alias("c")).distinct()
     is_list = [r["c"] for r in starts.collect()] == ["["]

@@ -62,6 +62,13 @@ def test_json_layouts(spark, tmp_path):
         assert rows.count() == (2 if name == "list" else 1)
 
 
+def test_json_in_latin_1(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes('[{"a": "año", "b": 1}]'.encode("latin-1"))
+    (tmp_path / "b.json").write_bytes('[{"a": "señal", "b": 2}]'.encode())
+    got = nested.read_records(spark, str(tmp_path / "*.json")).collect()
+    assert sorted((r.a, r.b) for r in got) == [("año", 1), ("señal", 2)]
+
+
 def test_api_items(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"result": {"items": [{"identifier": "a"}, {"identifier": "b"}]}}))
     assert [r.pos for r in files.api_items(spark, str(tmp_path)).orderBy("pos").collect()] == [0, 1]
