@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fiscalis import reference_data as ref
 
 MONEY = "decimal(18,2)"
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalis import reference_data as ref
 from fiscalis.functions.amounts import alert_by_band, alert_by_limit, ratio
 from fiscalis.operators.features import valid_target
 from fiscalis.operators.quality import plausible_features

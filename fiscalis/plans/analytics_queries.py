@@ -9,7 +9,7 @@ from fiscalis.functions.labels import region_dimension
 from fiscalis.operators import analytics as an
 from fiscalis.operators import catalog as ca
 from fiscalis.operators import selection as se
-from fiscalis.plans.catalog_queries import choose, text
+from fiscalis.plans.catalog_queries import text
 from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.feature_queries import clean_features, features, stored_features
 from fiscalis.plans.model_queries import predictions, pretty

@@ -13,12 +13,11 @@ from fiscalis.functions.amounts import money_sum
 from fiscalis.functions.labels import chapter_dimension, region_dimension
 from fiscalis.operators import normalize as nz
 from fiscalis.operators import sinks as sk
-from fiscalis.plans.analytics_queries import OWNERS, REGION_ROWS, dash_label, money
-from fiscalis.plans.catalog_queries import choose, nested_items, text
+from fiscalis.plans.catalog_queries import nested_items, text
 from fiscalis.plans.check_sql import CTES, check
 from fiscalis.plans.feature_queries import KEYS, features
 from fiscalis.plans.model_queries import predictions, pretty
-from fiscalis.plans.raw_queries import CHAPTER_ROWS, SUMMARY, SUMMARY_SQL, TOTALS, budget_sheet, pick, sql_pick, summary
+from fiscalis.plans.raw_queries import SUMMARY_SQL, TOTALS, budget_sheet, pick, sql_pick, summary
 from fiscalis.plans.registry import query
 from fiscalis.session import cut, scratch_path
 from fiscalis.sources import cube as cu
