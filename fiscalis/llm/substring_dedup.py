@@ -17,6 +17,7 @@ windows with the same anchor is a segment.
    backward search over the wavelet matrix gives, for each position, the interval of
    suffixes that match; where the match has `window` words or more, the
    smallest document id in the group of suffixes that share the window is reported.
+   Anchors and segments travel sorted and packed, one value per task and shard.
 4. Windows seen in a smaller document mark their words; documents are
    joined with the marks once.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.session import cut
 
-from .common import row_slices, text_buffer
+from .common import mix64, row_slices, text_buffer
 from .fm_index import FMIndex
 from .words import SPACE_SEPARATORS, WordScanner, gram_hashes, least_positions
 
@@ -45,6 +46,7 @@ WINDOW, GRAM = 13, 4
 FILTER_BITS = 1 << 27  # 16 MB
 HOT_DOCUMENTS = 20_000
 SHARD_WORDS = 1_000_000
+FLUSH = 1_000_000
 LAST = (1 << 63) - 1
 
 
@@ -64,9 +66,43 @@ def _slices(batches: Iterator[pa.RecordBatch], scanner: WordScanner):
             yield batch.slice(lo, hi - lo), part, at, scanner.scan(part, at)
 
 
-def _count_anchors(window: int, gram: int):
-    """(id, text) to (h, low, high, n): anchors with the least and largest id, and the documents that have them."""
+def _flat(*arrays: np.ndarray) -> bytes:
+    return pa.compress(np.concatenate([x.view(np.uint64) for x in arrays]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unflat(data: pa.Scalar, n: int, columns: int) -> np.ndarray:
+    raw = pa.decompress(data.as_buffer(), decompressed_size=8 * n * columns, codec="zstd")
+    return np.frombuffer(raw, dtype=np.uint64).reshape(columns, n)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """(part, [(n, data), ...]) of rows (part, n, data) sorted by part."""
+    part, held = None, []
+    for batch in batches:
+        for p, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if p != part and held:
+                yield part, held
+                held = []
+            part = p
+            held.append((n, data))
+    if held:
+        yield part, held
+
+
+def _pack_anchors(window: int, gram: int, parts: int):
+    """(id, text) to (part, n, data): the anchors of each document with its id, packed by part of the hashes."""
+    def packed(held: list) -> pa.RecordBatch:
+        h, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (h % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((h, part))
+        h, own = h[order], own[order]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cuts[p + 1] - cuts[p] for p in some], pa.int64()),
+                                           pa.array([_flat(h[cuts[p]:cuts[p + 1]], own[cuts[p]:cuts[p + 1]]) for p in some], pa.binary())], ["part", "n", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch, _, _, tokens in _slices(batches, WordScanner(SPACE_SEPARATORS, lower=False)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             _, anchor, hashed = _anchors(tokens, window, gram)
@@ -75,14 +111,28 @@ def _count_anchors(window: int, gram: int):
             order = np.lexsort((owner, hashed[anchor]))
             h, row = hashed[anchor][order], owner[order]
             fresh = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][:len(h)]
-            h, own = h[fresh], ids[row[fresh]]
-            begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][:len(h)])
-            if len(begin):
-                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(np.minimum.reduceat(own, begin)), pa.array(np.maximum.reduceat(own, begin)),
-                                                  pa.array(np.diff(np.r_[begin, len(h)]).astype(np.int64))], ["h", "low", "high", "n"])
+            held.append((h[fresh], ids[row[fresh]].astype(np.int64)))
+            size += int(fresh.sum())
+            if size > FLUSH:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
     return run
 
 
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed anchors to (h, n): those of several ids, with the number of rows that have them."""
+    for _, held in _by_part(batches):
+        h, own = np.concatenate([_unflat(data, n, 2) for n, data in held], axis=1)
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        end = np.r_[begin[1:], len(h)]
+        many = own[begin] < own[end - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(h[begin][many].view(np.int64)), pa.array((end - begin)[many])], ["h", "n"])
+
+
 def _probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     found = np.ones(len(hashes), dtype=bool)
     for shift in (0, 31):
@@ -101,48 +151,109 @@ def bloom_bits(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _segments(window: int, gram: int, shared: np.ndarray, hot: np.ndarray):
-    """(id, text, mark) to (id, mark, at, h, words): segments with a shared anchor."""
+def _found_segments(tokens, window: int, gram: int, shared: np.ndarray, hot: np.ndarray):
+    """First and last window, anchor hash, digest and row of the segments whose anchor is shared.
+
+    A segment has at most `window - gram + 1` windows, so its first and last window hold all its
+    words and their hashes tell it from others.
+    """
+    at, anchor, hashed = _anchors(tokens, window, gram)
+    keep = _probe(shared, hashed[anchor]) if len(at) else np.zeros(0, dtype=bool)
+    at, anchor = at[keep], anchor[keep]
+    single = _probe(hot, hashed[anchor]) if len(at) else keep[:0]
+    # A segment ends where the anchor or the run of windows does; hot windows stand alone.
+    begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | single[1:]][:len(at)])
+    first, last = at[begin], at[np.r_[begin[1:], len(at)][:len(begin)] - 1]
+    alone, _ = gram_hashes(tokens, window)
+    h = np.where(single[begin], alone[first], hashed[anchor[begin]])
+    digest = mix64(alone[first] + mix64(alone[last] + (last - first).astype(np.uint64)))
+    return first, last, h, digest, np.searchsorted(tokens.first, first, side="right") - 1
+
+
+def _pack_segments(window: int, gram: int, shared: np.ndarray, hot: np.ndarray, shards: int):
+    """(id, text) to (part, n, data): distinct segments with least and largest id, packed by shard."""
+    def packed(held: list) -> pa.RecordBatch:
+        h, digest, low, high = (np.concatenate([x[k] for x in held]) for k in range(4))
+        words = pa.concat_arrays([x[4] for x in held])
+        order, begin, end = _same(digest, h, low)
+        least, most = low[order][begin], np.maximum.reduceat(high[order], begin)
+        h, digest, words = h[order][begin], digest[order][begin], words.take(pa.array(order[begin]))
+        part = (mix64(h) % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        table = pa.RecordBatch.from_arrays([pa.array(x[by].view(np.int64)) for x in (h, digest, least, most)] + [words.take(pa.array(by))],
+                                           ["h", "digest", "low", "high", "words"])
+        cuts = np.searchsorted(part[by], np.arange(shards + 1)).tolist()
+        some = [p for p in range(shards) if cuts[p + 1] > cuts[p]]
+        out = []
+        for p in some:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(table.slice(cuts[p], cuts[p + 1] - cuts[p]))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cuts[p + 1] - cuts[p] for p in some], pa.int64()), pa.array(out, pa.binary())],
+                                          ["part", "n", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch, part, offsets, tokens in _slices(batches, WordScanner(SPACE_SEPARATORS, lower=False)):
-            at, anchor, hashed = _anchors(tokens, window, gram)
-            keep = _probe(shared, hashed[anchor]) if len(at) else np.zeros(0, dtype=bool)
-            at, anchor = at[keep], anchor[keep]
-            single = _probe(hot, hashed[anchor]) if len(at) else keep[:0]
-            # A segment ends where the anchor or the run of windows does; hot windows stand alone.
-            begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | single[1:]][:len(at)])
-            stop = np.r_[begin[1:], len(at)] - 1
-            alone, _ = gram_hashes(tokens, window)
-            h = np.where(single[begin], alone[at[begin]], hashed[anchor[begin]])
-            owner = np.searchsorted(tokens.first, at[begin], side="right") - 1
+            first, last, h, digest, owner = _found_segments(tokens, window, gram, shared, hot)
+            if not len(first):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            order, begin, _ = _same(digest, h, ids)
+            least, most = ids[order][begin], np.maximum.reduceat(ids[order], begin)
+            pick = order[begin]
+            by = np.argsort(first[pick], kind="stable")  # in order of text, so that each text is split once
             words, row, out = [], -1, []
-            for a, b, r in zip(at[begin].tolist(), at[stop].tolist(), owner.tolist(), strict=True):
+            for a, b, r in zip(first[pick][by].tolist(), last[pick][by].tolist(), owner[pick][by].tolist(), strict=True):
                 if r != row:
                     row, words, base = r, part[offsets[r]:offsets[r + 1]].tobytes().split(), int(tokens.first[r])
                 out.append(b" ".join(words[a - base:b - base + window]))
-            for lo in range(0, len(out), 20_000):
-                own = owner[lo:lo + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array((at[begin] - tokens.first[owner]).astype(np.int32)[lo:lo + 20_000]),
-                     pa.array(h.view(np.int64)[lo:lo + 20_000]), pa.array(out[lo:lo + 20_000], pa.binary())], ["id", "mark", "at", "h", "words"])
+            held.append((h[pick][by], digest[pick][by], least[by], most[by], pa.array(out, pa.binary())))
+            size += len(out)
+            if size > FLUSH // 4:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
     return run
 
 
-def _search(window: int):
-    """A shard's segments (h, digest, words, low) to (h, digest, firsts): the smallest id with each of its windows."""
+def _same(digest: np.ndarray, h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by segment and `least`, and where each segment begins and ends in it."""
+    order = np.lexsort((least, h, digest))
+    d, k = digest[order], h[order]
+    begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])][:len(d)])
+    return order, begin, np.r_[begin[1:], len(d)][:len(begin)]
+
+
+def _places(window: int, gram: int, shared: np.ndarray, hot: np.ndarray):
+    """(id, text, mark) to (id, mark, at, h, digest): where segments stand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, digests, lows, ids, ends, vocabulary = [], [], [], [], [], {}
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            digests.append(batch.column(1).to_numpy())
-            lows.append(batch.column(3).to_numpy())
-            for words in batch.column(2).to_pylist():
-                ids += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words.split(b" ")]
-                ids.append(0)
-                ends.append(len(ids) - 1)
-        if not ends:
-            return
-        ids, ends, low = np.array(ids, dtype=np.int64), np.array(ends), np.concatenate(lows)
+        for batch, _, _, tokens in _slices(batches, WordScanner(SPACE_SEPARATORS, lower=False)):
+            first, _, h, digest, owner = _found_segments(tokens, window, gram, shared, hot)
+            if len(first):
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array((first - tokens.first[owner]).astype(np.int32)),
+                                                  pa.array(h.view(np.int64)), pa.array(digest.view(np.int64))], ["id", "mark", "at", "h", "digest"])
+    return run
+
+
+def _search(window: int):
+    """A shard's packed segments to (h, digest, begin, stop, first): runs of a segment's windows
+    that a document smaller than its largest one has, with the smallest id."""
+    def shard(held: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches([b for _, data in held for b in pa.ipc.open_stream(data.as_buffer())])
+        h, digest, low, high = (table.column(k).to_numpy() for k in range(4))
+        order, begin, _ = _same(digest, h, low)
+        high = np.maximum.reduceat(high[order], begin)
+        h, digest, low = h[order][begin], digest[order][begin], low[order][begin]
+        ids, ends, vocabulary = [], [], {}
+        for words in table.column(4).take(pa.array(order[begin])):
+            ids += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words.as_py().split(b" ")]
+            ids.append(0)
+            ends.append(len(ids) - 1)
+        ids, ends = np.array(ids, dtype=np.int64), np.array(ends)
         starts = np.r_[0, ends[:-1] + 1]
         index = FMIndex(ids, len(vocabulary) + 1)
         group = index.groups(window)
@@ -153,18 +264,24 @@ def _search(window: int):
             matched = hi > lo
             firsts[(starts[which] + at)[matched]] = least[group[lo[matched]]]
         counts = ends - starts - window + 1
-        offsets = np.r_[0, np.cumsum(counts)]
-        flat = np.concatenate([firsts[s:s + n] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)])
-        h, digest = np.concatenate(keys), np.concatenate(digests)
-        for i in range(0, len(counts), 50_000):
-            j = min(i + 50_000, len(counts))
-            lists = pa.ListArray.from_arrays(pa.array((offsets[i:j + 1] - offsets[i]).astype(np.int32)), pa.array(flat[offsets[i]:offsets[j]]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[i:j]), pa.array(digest[i:j]), lists], ["h", "digest", "firsts"])
+        own = np.repeat(np.arange(len(ends)), counts)
+        place = np.arange(len(own)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+        first = firsts[starts[own] + place]
+        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (first[1:] != first[:-1])])
+        stop = place[np.r_[new[1:], len(own)] - 1] + 1
+        keep = first[new] < high[own[new]]
+        new, stop = new[keep], stop[keep]
+        return pa.RecordBatch.from_arrays([pa.array(h[own[new]]), pa.array(digest[own[new]]), pa.array(place[new].astype(np.int32)), pa.array(stop.astype(np.int32)),
+                                           pa.array(first[new])], ["h", "digest", "begin", "stop", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_part(batches):
+            yield shard(held)
     return run
 
 
 def _remove(window: int):
-    """(id, text, windows) to (id, n_words, n_removed, kept): `windows` are the positions whose words go."""
+    """(id, text, windows) to (id, n_words, n_removed, kept): `windows` are runs of windows whose words go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -173,10 +290,10 @@ def _remove(window: int):
                     words = text.as_py().encode().split() if text.is_valid else []
                     n = len(words)
                     if windows.is_valid:
+                        begin, stop = (windows.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                         edge = np.zeros(n + 1, dtype=np.int64)
-                        at = np.unique(windows.values.to_numpy(zero_copy_only=False))
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + window, -1)
+                        np.add.at(edge, begin, 1)
+                        np.add.at(edge, stop + window - 1, -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
                     rows.append((n, n - len(words), b" ".join(words).decode()))
                 columns = list(zip(*rows, strict=True))
@@ -193,25 +310,26 @@ def _text_mark(text: Column) -> Column:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: key, n_words, n_removed and kept, the text without words of windows that also
     start in a document of a smaller key, joined by single spaces."""
-    if not 8 <= window <= 16 or gram >= window:
+    if not 8 <= window <= 16 or not 0 < gram < window:
         raise ValueError("windows of 8 to 16 words, longer than the grams")
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
-    anchors = plain.select("id", "text").mapInArrow(_count_anchors(window, gram), "h bigint, low bigint, high bigint, n bigint")
-    anchors = cut(spark, anchors.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("h", "n"), "shared-anchors")
+    packed, least = "part int, n bigint, data binary", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(64, 2 * least)
+    anchors = plain.select("id", "text").mapInArrow(_pack_anchors(window, gram, parts), packed).repartition(parts, "part").sortWithinPartitions("part")
+    anchors = cut(spark, anchors.mapInArrow(_shared_anchors, "h bigint, n bigint"), "shared-anchors")
     shared = bloom_bits(anchors, FILTER_BITS)
     hot = bloom_bits(anchors.where(F.col("n") > HOT_DOCUMENTS), FILTER_BITS // 16)
-    segments = cut(spark, plain.select("id", "text", _text_mark(F.col("text")).alias("mark")).mapInArrow(
-        _segments(window, gram, shared, hot), "id bigint, mark bigint, at int, h bigint, words binary").withColumn("digest", F.xxhash64("words")), "segments")
-    distinct = segments.groupBy("h", "digest", "words").agg(F.min("id").alias("low"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments.count() * (window + 5) // SHARD_WORDS + 1)
-    firsts = distinct.repartition(shards, "h").select("h", "digest", "words", "low").mapInArrow(
-        _search(window), "h bigint, digest bigint, firsts array<bigint>")
-    seen = segments.select("id", "mark", "at", "h", "digest").join(firsts, ["h", "digest"])
-    positions = F.transform("firsts", lambda first, i: F.when(first < F.col("id"), F.col("at") + i))
-    marks = seen.select("id", "mark", F.filter(positions, lambda p: p.isNotNull()).alias("windows")).where(F.size("windows") > 0)
-    marks = marks.groupBy("id", "mark").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    # An anchor's row stands for a segment of about `window + 5` words.
+    shards = max(least, (anchors.agg(F.sum("n")).first()[0] or 0) * (window + 5) // SHARD_WORDS + 1)
+    segments = plain.select("id", "text").mapInArrow(_pack_segments(window, gram, shared, hot, shards), packed)
+    runs = segments.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(
+        _search(window), "h bigint, digest bigint, begin int, stop int, first bigint")
+    places = plain.select("id", "text", _text_mark(F.col("text")).alias("mark")).mapInArrow(
+        _places(window, gram, shared, hot), "id bigint, mark bigint, at int, h bigint, digest bigint")
+    seen = places.join(runs, ["h", "digest"]).where(F.col("first") < F.col("id"))
+    marks = seen.groupBy("id", "mark").agg(F.collect_list(F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("stop")).alias("stop"))).alias("windows"))
     joined = plain.withColumn("mark", _text_mark(F.col("text"))).join(marks, ["id", "mark"], "left")
     return joined.select(F.col("key").alias("id"), "text", "windows").mapInArrow(
         _remove(window), f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", key)
