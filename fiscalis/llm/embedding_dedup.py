@@ -21,13 +21,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalis.session import cut
 
+from .cells import each_cell
 from .common import mix64
 from .components import components
 
@@ -53,8 +53,8 @@ def plan(classes: int, threshold: float) -> tuple[int, int]:
 
 def _unit(rows) -> np.ndarray:
     """Unit vectors in double precision."""
-    x = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-    x /= np.abs(x).max(axis=1, keepdims=True)  # so that neither tiny nor huge components overflow
+    x = np.asarray(rows, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that neither tiny nor huge components overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -73,7 +73,8 @@ def _hash(k: int, tables: int):
                         made[size] = draw.standard_normal((size, k * tables)), draw.uniform(0, WIDTH, k * tables)
                     turn, shift = made[size]
                     mine = np.flatnonzero(sizes == size)
-                    steps = np.floor((_unit([vectors[i] for i in mine]) @ turn + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, k)
+                    some = np.array([vectors[i] for i in mine], dtype=np.float64)
+                    steps = np.floor((_unit(some) @ turn + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, k)
                     bucket = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(size << 20), steps.shape[:2])
                     for j in range(k):
                         bucket = mix64(bucket + steps[:, :, j])
@@ -81,17 +82,39 @@ def _hash(k: int, tables: int):
     return run
 
 
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, vector) with the vector as the bytes of its components in double precision."""
+    for batch in batches:
+        packed = [np.asarray(v, dtype=np.float64).tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "vector"])
+
+
 def _links(threshold: float):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        units, nodes = _unit(block["vector"]), block["node"].to_numpy()
-        left, right = np.flatnonzero(block["left"]), np.flatnonzero(block["right"])
-        i, j = np.nonzero(units[left] @ units[right].T >= threshold)
-        a, b = nodes[left[i]], nodes[right[j]]
-        apart = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}).drop_duplicates()
+    """Blocks, sorted by cell, to their links; vectors come as the bytes of doubles, as lengths may differ between cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, int]] = set()
+        for cell in each_cell(batches):
+            left, right = cell["left"].astype(bool), cell["right"].astype(bool)
+            if len(left) < 2:
+                continue
+            units, nodes = _unit(np.frombuffer(b"".join(cell["vector"]), dtype=np.float64).reshape(len(left), -1)), cell["node"]
+            i, j = np.nonzero(units[left] @ units[right].T >= threshold)
+            a, b = nodes[left][i], nodes[right][j]
+            held.update(zip(a[a < b].tolist(), b[a < b].tolist(), strict=True))
+            held.update(zip(b[b < a].tolist(), a[b < a].tolist(), strict=True))
+            if len(held) > 200_000:
+                yield _pairs(held)
+                held.clear()
+        if held:
+            yield _pairs(held)
     return run
 
 
+def _pairs(links: set[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(list(links), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
 def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Per row: key, n_links (other rows at cosine >= threshold), component_id and kept."""
     spark = vectors.sparkSession
@@ -104,14 +127,16 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     k, tables = plan(classes.count(), threshold)
     hashed = cut(spark, classes.select("node", "vector").mapInArrow(_hash(k, tables), "bucket bigint, node bigint"), "vector-buckets")
     crowded = hashed.groupBy("bucket").agg(F.count("node").alias("n")).where("n > 1")
-    members = hashed.join(crowded, "bucket").join(classes.select("node", "vector"), "node")
+    packed = classes.select("node", "vector").mapInArrow(_bytes, "node bigint, vector binary")
+    members = hashed.join(crowded, "bucket").join(packed, "node")
     # Block (i, j) of a bucket, i <= j, holds its parts i and j; a bucket of one part is one block.
     parts = F.ceil(F.col("n") / CELL).cast("int")
     members = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
     blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "vector",
+        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", "vector",
         (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"))
-    links = cut(spark, blocks.groupBy("bucket", "i", "j").applyInPandas(_links(threshold), "a bigint, b bigint").distinct(), "vector-links")
+    found = blocks.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(threshold), "a bigint, b bigint")
+    links = cut(spark, found.distinct(), "vector-links")
     both = links.union(links.select("b", "a"))
     beside = both.join(classes.select(F.col("node").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("beside"))
     labels = components(links)
