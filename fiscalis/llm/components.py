@@ -12,8 +12,11 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("a"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent, or is a parent and has none."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("kind")).union(edges.select(F.col("b").alias("x"), F.lit(2).alias("kind")))
+    seen = ends.groupBy("x").agg(F.bit_or("kind").alias("kinds"), F.count_if(F.col("kind") == 1).alias("parents"))
+    return seen.where("kinds = 3 OR parents > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,8 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = cut(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _all_stars(edges):
         both = _both_ways(edges)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,8 +40,5 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(down, "a")
         edges = cut(spark, small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
                     .where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
