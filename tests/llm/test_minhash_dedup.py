@@ -51,10 +51,10 @@ def corpus(rng):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("cell", "nearest"), [(1024, 8), (4, 1)])
-def test_against_all_pairs(spark, monkeypatch, cell, nearest):
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_against_all_pairs(spark, monkeypatch, cell):
     monkeypatch.setattr(m, "CELL", cell)
-    monkeypatch.setattr(m, "FIRST_NEAREST", nearest)
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0 if cell == 4 else m.BROADCAST_ROWS)
     docs = corpus(random.Random(cell))
     docs += [(3, docs[3][1]), (5, docs[9][1]), (5, "rows of one id with another text")]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS node", "'x' AS bands", "0 AS rep", "1 AS kept")
@@ -69,6 +69,22 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in m.near_duplicates(no_id).collect()) == [(0, 0, True), (0, 4, False), (4, 4, True)]
 
 
+def test_sketch_bound():
+    import numpy as np
+    rng = np.random.RandomState(3)
+    for size in (5, 60, 500, 5000, 40_000):
+        for similarity, low, high in ((0.8, 0, 0), (0.5, 0.99 if size >= 60 else 0, 1)):
+            over = 0
+            for _ in range(60):
+                union = np.sort(m.mix64(rng.randint(0, 2 ** 62, size).astype(np.uint64)))
+                common = int(np.ceil(size * similarity))
+                mark = rng.permutation(size)
+                x, y = union[np.sort(mark[:(common + size) // 2])], union[np.sort(np.r_[mark[:common], mark[(common + size) // 2:]])]
+                odd = np.bitwise_count(m._odd_sketch(x).view(np.uint64) ^ m._odd_sketch(y).view(np.uint64)).sum()
+                over += odd > m.most_odd(float(len(x)), float(len(y)), 0.8, np.exp, np.sqrt)
+            assert low <= over / 60 <= high
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 3)]
