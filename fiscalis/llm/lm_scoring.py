@@ -10,12 +10,14 @@ Dirichlet smoothing from the longest context to the single word:
     p(w | c) = (count(c w) + K * p(w | shorter c)) / (count(c) + K)
     p(w) = (count(w) + 1) / (N + V + 1)
 
-The filter is broadcast. Its size is `FILTER_BITS` whatever the corpus: it
-consists of `PARTS` blocks by n-gram hash, each built by one task from the exact counts
-of its n-grams. Where a block would hold more than one entry per `BITS_AN_ENTRY` bits, its
-rarest n-grams (smallest counts, all n-grams of such a count alike) stay out, as is usual for models of bounded
-size; counting itself covers everything. N-gram counts travel as packed sorted arrays, one
-per task and block.
+The filter grows with the corpus: no n-gram is left out. It consists of blocks by
+n-gram hash, as many as the number of training words asks for, each built by one task from
+the exact counts of its n-grams with `BITS_AN_ENTRY` bits an entry (a small corpus shares
+`FILTER_BITS`). N-gram counts travel as packed sorted arrays, one per task and block.
+Up to `BROADCAST_BITS` the filter is broadcast whole. A larger one stays a table of
+blocks: every slice of texts asks each block for the levels of its distinct n-grams, the
+questions meet their block by its number, and the answers go back to the slice. Both ways give
+the same scores.
 
 The base score needs exact word counts: words of at least a count that
 `HEAD_WORDS` words reach travel with the job, the others of each text are joined by
@@ -31,7 +33,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,9 @@ ORDER = 2
 BASE = 1.5
 LEVELS = 64
 PARTS = 256
-FILTER_BITS = 1 << 28  # 32 MB
+FILTER_BITS = 1 << 28  # the least size, 32 MB
+BROADCAST_BITS = 1 << 29  # a larger filter is a table of blocks
+PART_GRAMS = 1 << 22  # n-grams of the training texts, repeats included, for each block beyond the first PARTS
 PROBES = 3
 BITS_AN_ENTRY = 8
 SMOOTHING = 5.0
@@ -97,15 +101,24 @@ def _merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return hashes[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
 
 
-def _count_grams(order: int):
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes // np.uint64((1 << 64) // parts)).astype(np.int64)
+
+
+def _cuts(hashes: np.ndarray, parts: int) -> list[int]:
+    """Where each part begins in sorted hashes, and their end."""
+    return np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).tolist() + [len(hashes)]
+
+
+def _count_grams(order: int, count: int):
     """Texts to (part, hashes, counts): sorted n-gram hashes with their counts in this task, by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, held, size = WordScanner(SPACE_SEPARATORS, lower=True), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes, counts = _merge(held)
-            cuts = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)).tolist() + [len(hashes)]
-            parts = [p for p in range(PARTS) if cuts[p + 1] > cuts[p]]
+            cuts = _cuts(hashes, count)
+            parts = [p for p in range(count) if cuts[p + 1] > cuts[p]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(parts, pa.int32()), pa.array([hashes[cuts[p]:cuts[p + 1]].tobytes() for p in parts], pa.binary()),
                  pa.array([counts[cuts[p]:cuts[p + 1]].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["part", "hashes", "counts"])
@@ -128,23 +141,33 @@ def _count_grams(order: int):
     return run
 
 
-def _slots(hashes: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """Bit positions, within its block, of each n-gram at a level."""
+def _slots(hashes: np.ndarray, level: int, bits: int | np.ndarray) -> list[np.ndarray]:
+    """Bit positions, within its block of so many bits, of each n-gram at a level."""
     mixed = mix64(hashes + np.uint64(level * 0xD1342543DE82EF95 % (1 << 64)))
-    return [((mixed >> np.uint64(21 * i)) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
+    return [((mixed >> np.uint64(21 * i)) % np.asarray(bits, dtype=np.uint64)).astype(np.int64) for i in range(PROBES)]
+
+
+def _read_levels(hashes: np.ndarray, bitmap: np.ndarray, start: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels read from blocks that begin at byte `start` and have `bits`, by probing until a probe fails."""
+    out = np.zeros(len(hashes), dtype=np.int64)
+    live = np.arange(len(hashes))
+    for level in range(1, LEVELS + 1):
+        if not len(live):
+            break
+        found = np.ones(len(live), dtype=bool)
+        for at in _slots(hashes[live], level, bits[live]):
+            found &= (bitmap[start[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+        live = live[found]
+        out[live] = level
+    return out
 
 
-def _build(bits: int):
-    """A block's packed counts to its bitmap; the rows of one part come one after the other."""
+def _build(least: int):
+    """A block's packed counts to its bitmap, of `least` bits or more; the rows of one part come one after the other."""
     def block(part: int, pairs: list) -> tuple[int, bytes]:
         hashes, counts = _merge(pairs)
         levels = level_of(counts)
-        # Entries that n-grams of at least each count need; the rarest counts that don't fit stay out.
-        order = np.argsort(-counts, kind="stable")
-        need = np.cumsum(levels[order])
-        fits = int(np.searchsorted(need, bits // BITS_AN_ENTRY, side="right"))
-        least = counts[order[fits]] + 1 if fits < len(order) else 0
-        hashes, levels = hashes[counts >= least], levels[counts >= least]
+        bits = max(-(-BITS_AN_ENTRY * int(levels.sum()) // 64) * 64, least)
         odd = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             for at in _slots(hashes[levels >= level], level, bits):
@@ -156,7 +179,8 @@ def _build(bits: int):
 
         def emit():
             number, bitmap = block(part, pairs)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bitmap], pa.binary())], ["part", "bitmap"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([8 * len(bitmap)], pa.int64()), pa.array([bitmap], pa.binary())],
+                                              ["part", "bits", "bitmap"])
         for batch in batches:
             for p, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if p != part and pairs:
@@ -173,37 +197,27 @@ def _build(bits: int):
 
 @dataclass
 class Model:
-    bitmap: np.ndarray  # PARTS x bits / 8
+    bitmap: np.ndarray | None  # the blocks one after the other; None where `blocks` holds them
+    start: np.ndarray   # first byte of each block
+    bits: np.ndarray    # bits of each block
     order: int
     tokens: int         # N
     distinct: int       # V
     head: dict[bytes, int]
+    blocks: DataFrame | None = None  # (part, bits, bitmap) of a filter too large to broadcast
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Levels read from the filter, by probing until a probe fails."""
-        bits = self.bitmap.shape[1] * 8
-        out = np.zeros(len(hashes), dtype=np.int64)
-        live = np.arange(len(hashes))
-        for level in range(1, LEVELS + 1):
-            if not len(live):
-                break
-            asked = hashes[live]
-            part = (asked // np.uint64((1 << 64) // PARTS)).astype(np.int64)
-            found = np.ones(len(live), dtype=bool)
-            for at in _slots(asked, level, bits):
-                found &= (self.bitmap[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[found]
-            out[live] = level
-        return out
-
-    def log_probabilities(self, sequence: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: its words and its end."""
+        part = _part_of(hashes, len(self.bits))
+        return _read_levels(hashes, self.bitmap, self.start[part], self.bits[part])
+
+    def log_probabilities(self, sequence: np.ndarray, first: np.ndarray, levels=None) -> np.ndarray:
+        """log10 probability of each text: its words and its end; `levels` are read from the filter where they aren't given."""
         total = self.tokens + self.distinct + 1
         probability, context = None, None
         for n in range(1, self.order + 1):
             hashes, whole = _grams(sequence, first, n)
             distinct, back = np.unique(hashes, return_inverse=True)
-            counts = count_of(self.levels(distinct))[back]
+            counts = count_of((levels or self.levels)(distinct))[back]
             if n == 1:
                 probability = (counts + 1) / total
             else:
@@ -251,14 +265,40 @@ def fit_model(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> Model:
             break
         head, least = head + r["n"], r["bin"]
     found = counts.where(F.floor(F.log2("c") * 8) >= least).toArrow().to_pydict() if least is not None else {"word": [], "c": []}
-    bits = FILTER_BITS // PARTS
-    packed = texts.mapInArrow(_count_grams(order), "part int, hashes binary, counts binary")
-    blocks = packed.repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(_build(bits), "part int, bitmap binary")
-    bitmap = np.zeros((PARTS, bits // 8), dtype=np.uint8)
-    built = blocks.toArrow()
-    for part, row in zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True):
-        bitmap[part] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
-    return Model(bitmap, order, totals["n"] or 0, totals["v"], dict(zip(found["word"], found["c"], strict=True)))
+    spark, tokens = texts.sparkSession, totals["n"] or 0
+    parts = max(PARTS, 1 << (tokens * order // PART_GRAMS).bit_length())
+    packed = texts.mapInArrow(_count_grams(order, parts), "part int, hashes binary, counts binary")
+    blocks = cut(spark, packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        _build(max(FILTER_BITS // parts, 64)), "part int, bits bigint, bitmap binary"), "filter-blocks")
+    sizes = {r["part"]: r["bits"] for r in blocks.select("part", "bits").collect()}
+    bits = np.array([sizes.get(p, 64) for p in range(parts)], dtype=np.int64)
+    start = np.cumsum(bits // 8) - bits // 8
+    bitmap = None
+    if bits.sum() <= BROADCAST_BITS:
+        bitmap, built = np.zeros(int(bits.sum()) // 8, dtype=np.uint8), blocks.toArrow()
+        for part, row in zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True):
+            bitmap[start[part]:start[part] + bits[part] // 8] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
+    return Model(bitmap, start, bits, order, tokens, totals["v"], dict(zip(found["word"], found["c"], strict=True)), blocks if bitmap is None else None)
+
+
+def _scored_slice(model: Model, scanner: WordScanner, logs: dict[bytes, float], kept: list, names: list[str], rows: np.ndarray,
+                  data: np.ndarray, at: np.ndarray, levels=None) -> pa.RecordBatch:
+    """The columns `kept` with row, n_tokens, known, base, score and rare of the texts in `data`."""
+    score = model.log_probabilities(*_sequences(data, at, scanner), levels)
+    folded = scanner.fold[data]
+    n, known, base, rest = [], [], [], []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        words = folded[a:b].tobytes().split()
+        words.append(b"")
+        values = [logs[w] for w in words if w in logs]
+        n.append(len(words))
+        known.append(len(values))
+        base.append(math.fsum(values))
+        rest.append(list(Counter(w for w in words if w not in logs).items()) if len(values) < len(words) else [])
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    rare = pa.array([[{"word": w, "times": k} for w, k in r] for r in rest], kind)
+    return pa.RecordBatch.from_arrays([*kept, pa.array(rows), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                                       pa.array(base, pa.float64()), pa.array(score), rare], [*names, "row", "n_tokens", "known", "base", "score", "rare"])
 
 
 def _score(model: Model):
@@ -267,37 +307,114 @@ def _score(model: Model):
         logs = {w: math.log10(c + 1) for w, c in model.head.items()}
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            column = batch.column("_text")
-            data, offsets = text_buffer(column)
+            data, offsets = text_buffer(batch.column("_text"))
             for lo, hi in row_slices(offsets):
-                part = data[offsets[lo]:offsets[hi]]
-                at = offsets[lo:hi + 1] - offsets[lo]
-                score = model.log_probabilities(*_sequences(part, at, scanner))
-                folded = scanner.fold[part]
-                n, known, base, rest = [], [], [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    words = folded[a:b].tobytes().split()
-                    words.append(b"")
-                    values = [logs[w] for w in words if w in logs]
-                    n.append(len(words))
-                    known.append(len(values))
-                    base.append(math.fsum(values))
-                    rest.append(list(Counter(w for w in words if w not in logs).items()) if len(values) < len(words) else [])
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-                rare = pa.array([[{"word": w, "times": k} for w, k in r] for r in rest], kind)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(row + lo, row + hi)), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                                                  pa.array(base, pa.float64()), pa.array(score), rare], [*batch.schema.names[:-1], "row", "n_tokens", "known", "base", "score", "rare"])
+                yield _scored_slice(model, scanner, logs, kept, batch.schema.names[:-1], np.arange(row + lo, row + hi),
+                                    data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             row += batch.num_rows
     return run
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number and with that of the first row of their slice."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        _, offsets = text_buffer(batch.column("_text"))
+        for lo, hi in row_slices(offsets):
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(row + lo, row + hi)), pa.array(np.full(hi - lo, row + lo))],
+                                             [*batch.schema.names, "row", "slice"])
+        row += batch.num_rows
+
+
+def _distinct(sequence: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    return np.unique(np.concatenate([hashes[whole] for hashes, whole in (_grams(sequence, first, n) for n in range(1, order + 1))]))
+
+
+def _ask(order: int, count: int):
+    """Dealt rows to (slice, lot, part, hashes): the distinct n-grams of each lot, which is the rows of a slice
+    that one batch holds, by block. A lot is named by its first row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner(SPACE_SEPARATORS, lower=True)
+        for batch in batches:
+            slices, rows = batch.column("slice").to_numpy(), batch.column("row").to_numpy()
+            data, offsets = text_buffer(batch.column("_text"))
+            edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                hashes = _distinct(*_sequences(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner), order)
+                cuts = _cuts(hashes, count)
+                parts = [p for p in range(count) if cuts[p + 1] > cuts[p]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(parts), slices[lo])), pa.array(np.full(len(parts), rows[lo])), pa.array(parts, pa.int32()),
+                     pa.array([hashes[cuts[p]:cuts[p + 1]].tobytes() for p in parts], pa.binary())], ["slice", "lot", "part", "hashes"])
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, slice, lot, data) to (slice, lot, part, levels); a part's bitmap, without slice, comes before its questions."""
+    held, bitmap = None, np.zeros(0, dtype=np.uint8)
+    for batch in batches:
+        out = []
+        for part, piece, lot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if piece is None:
+                held, bitmap = part, np.frombuffer(data.as_buffer(), dtype=np.uint8)
+                continue
+            hashes = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+            levels = np.zeros(len(hashes), dtype=np.int64)  # a part without a block has no n-gram
+            if held == part:
+                levels = _read_levels(hashes, bitmap, levels, np.full(len(hashes), 8 * len(bitmap)))
+            out.append((piece, lot, part, levels.astype(np.uint8).tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
+                                          pa.array(columns[3], pa.binary())], ["slice", "lot", "part", "levels"])
+
+
+def _score_dealt(model: Model):
+    """The rows of a slice and the answers to its questions to scored rows."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        scanner = WordScanner(SPACE_SEPARATORS, lower=True)
+        logs = {w: math.log10(c + 1) for w, c in model.head.items()}
+        left = left.take(pa.array(np.argsort(left.column("row").to_numpy())))
+        rows, answers = left.column("row").to_numpy(), {}
+        for lot, part, levels in zip(right.column("lot").to_pylist(), right.column("part").to_pylist(), right.column("levels").to_pylist(), strict=True):
+            answers.setdefault(lot, []).append((part, levels))
+        lots, out = sorted(answers), []
+        edges = [*np.searchsorted(rows, lots).tolist(), len(rows)]
+        for lot, lo, hi in zip(lots, edges[:-1], edges[1:], strict=True):
+            data, at = text_buffer(left.column("_text").slice(lo, hi - lo))
+            hashes = _distinct(*_sequences(data, at, scanner), model.order)
+            found = np.frombuffer(b"".join(levels for _, levels in sorted(answers[lot])), dtype=np.uint8).astype(np.int64)
+
+            def read(asked: np.ndarray, hashes=hashes, found=found) -> np.ndarray:
+                # n-grams across two texts were not asked for; nothing reads their counts.
+                return found[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)]
+            kept = [left.column("_keep").slice(lo, hi - lo).combine_chunks()]
+            out.append(_scored_slice(model, scanner, logs, kept, ["_keep"], rows[lo:hi], data, at, read))
+        return pa.Table.from_batches(out)
+    return run
+
+
+def _score_by_blocks(asked: DataFrame, model: Model, schema: str) -> DataFrame:
+    kind, parts = asked.schema["_keep"].dataType.simpleString(), len(model.bits)
+    dealt = cut(asked.sparkSession, asked.mapInArrow(_deal, f"_keep {kind}, _text string, row bigint, slice bigint"), "dealt")
+    asks = dealt.select("_text", "row", "slice").mapInArrow(_ask(model.order, parts), "slice bigint, lot bigint, part int, hashes binary")
+    none = F.lit(None).cast("long")
+    questions = model.blocks.select("part", none.alias("slice"), none.alias("lot"), F.col("bitmap").alias("data")).union(
+        asks.select("part", "slice", "lot", "hashes"))
+    answers = questions.repartition(parts, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first()).mapInArrow(
+        _answer, "slice bigint, lot bigint, part int, levels binary")
+    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_dealt(replace(model, blocks=None)), schema)
+
+
 def score_texts(rows: DataFrame, model: Model, counts: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
     """`keep` columns with n_tokens, n_known, train_tokens, base_score and score."""
     asked = rows.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     kind = asked.schema["_keep"].dataType.simpleString()
-    scored = cut(rows.sparkSession, asked.mapInArrow(
-        _score(model), f"_keep {kind}, row bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:binary,times:bigint>>"), "scored")
+    schema = f"_keep {kind}, row bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:binary,times:bigint>>"
+    scored = cut(rows.sparkSession, asked.mapInArrow(_score(model), schema) if model.blocks is None else _score_by_blocks(asked, model, schema), "scored")
     rare = scored.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"))
     out = scored.select("_keep", "row", "n_tokens", "known", "base", "score").join(rare, "row", "left")

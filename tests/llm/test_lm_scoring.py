@@ -86,3 +86,36 @@ def test_odd_rows(spark):
     rows = lm.score_texts(docs, lm.fit_model(nothing, counts), counts, [F.col("doc_id")]).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(0, 0, 0.0, 0.0)}
     assert lm.score_texts(docs.where("false"), lm.fit_model(nothing, counts), counts, [F.col("doc_id")]).count() == 0
+
+
+def test_every_gram_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BITS", 256 * 192)
+    monkeypatch.setattr(lm, "PART_GRAMS", 200)
+    text = " ".join(f"w{i}" for i in range(30_000))
+    texts = spark.createDataFrame([(text,)], "text string")
+    model = lm.fit_model(texts, lm.word_counts(texts))
+    scanner = lm.WordScanner(lm.SPACE_SEPARATORS, True)
+    hashes = lm._distinct(*lm._sequences(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]), scanner), 2)
+    assert len(hashes) == 60_003 and (model.levels(hashes) >= 1).all()
+    assert len(model.bits) > 256 and model.bits.sum() >= 8 * len(hashes)
+    others = lm.mix64(np.arange(20_000, dtype=np.uint64))
+    assert (model.levels(others) > 0).mean() < 0.06
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_blocks_score_as_the_whole_filter(spark, monkeypatch, batch):
+    monkeypatch.setattr(lm, "FILTER_BITS", 256 * 192)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(
+        spark.createDataFrame([(1, None), (None, ""), (2, "x " * 60_000)], "doc_id long, text string"))
+    texts = docs.where("doc_id % 2 = 0").select("text")
+    counts = lm.word_counts(texts)
+    whole = lm.fit_model(texts, counts)
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    blocks = lm.fit_model(texts, counts)
+    assert whole.blocks is None and blocks.bitmap is None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        one, other = (sorted((tuple(r) for r in lm.score_texts(docs, m, counts, [F.col("doc_id")]).collect()), key=str) for m in (whole, blocks))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == other and len(one) == docs.count()
