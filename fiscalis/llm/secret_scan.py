@@ -3,7 +3,9 @@
 Spans are found by marking matches with a separator and splitting the text at
 it; the lengths of the pieces give positions in code points. Next to the three
 fixed kinds, every run of 16 or more characters of the usual encodings is a
-candidate of kind `random`. Its encoding is inferred from its characters (hex,
+candidate of kind `random`. A run with signs of base64 (+ /) and of base64url (_ -) is in
+neither encoding as a whole; there the runs of 16 or more characters of each of the two are the
+candidates, and both may be found where they overlap. The encoding is inferred from its characters (hex,
 base32, one-case letters with digits, base64), and three tests measure how far
 it is from a uniform random string of that alphabet: chi-squared of the symbol
 counts, Wald-Wolfowitz runs above and below the middle symbol, and lag-one serial
@@ -38,6 +40,8 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+BASE64, BASE64URL = r"[A-Za-z0-9+/]{16,}", r"[A-Za-z0-9_-]{16,}"
+WORD = "^([A-Z]?[a-z]+|[A-Z]+)$"
 
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK, INSTEAD = "", ""
@@ -87,7 +91,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def _alphabet(token: Column) -> Column:
     """The symbols of the encoding a token seems to be in; NULL where it is a plain word."""
-    return (F.when(token.rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), F.lit(None))
+    return (F.when(token.rlike(WORD), F.lit(None))
             .when(token.rlike("^[0-9a-f]+$"), DIGITS + LOWER[:6])
             .when(token.rlike("^[0-9A-F]+$"), DIGITS + UPPER[:6])
             .when(token.rlike("^[A-Z2-7]+$"), UPPER + DIGITS[2:8])
@@ -137,6 +141,15 @@ def _length_class(n: Column) -> Column:
     return out
 
 
+def _candidates(text: Column) -> Column:
+    """Spans of one encoding each: runs of candidate characters, in parts where they mix the signs of two encodings."""
+    def parts(run: Column, pattern: str) -> Column:
+        return F.transform(matches(run["piece"], pattern), lambda p: F.struct(
+            (run["start"] + p["start"]).alias("start"), (run["start"] + p["stop"]).alias("stop"), p["piece"].alias("piece")))
+    return F.flatten(F.transform(matches(text, CANDIDATE), lambda run: F.when(
+        run["piece"].rlike("[+/]") & run["piece"].rlike("[_-]"), F.concat(parts(run, BASE64), parts(run, BASE64URL))).otherwise(F.array(run))))
+
+
 def _scan(docs: DataFrame, text: str) -> DataFrame:
     """Adds the span arrays of each kind to `docs`, under `_scan`."""
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, INSTEAD)
@@ -147,12 +160,12 @@ def _scan(docs: DataFrame, text: str) -> DataFrame:
 
     def tested(s: Column) -> Column:
         return _let(F.struct(s["start"], s["stop"], s["piece"], _alphabet(s["piece"]).alias("alphabet")), lambda x: F.struct(
-            x["start"], x["stop"], x["alphabet"].isNull().alias("word"), _length_class(x["stop"] - x["start"]).alias("length"),
+            x["start"], x["stop"], s["piece"].rlike(WORD).alias("word"), _length_class(x["stop"] - x["start"]).alias("length"),
             F.least(F.lit(LAST_BIN).cast("long"), F.floor(BINS_A_UNIT * F.when(x["alphabet"].isNull(), departure(F.lower(x["piece"]), F.lit(LOWER)))
                                              .otherwise(departure(x["piece"], F.coalesce(x["alphabet"], F.lit("ab")))))).cast("int").alias("bin")))
     return docs.withColumn("_scan", F.struct(
         bare(assign).alias("assign"), bare(matches(clean, ACCESS)).alias("access"), bare(matches(clean, HEX)).alias("hex"),
-        F.transform(matches(clean, CANDIDATE), tested).alias("tested")))
+        F.transform(_candidates(clean), tested).alias("tested")))
 
 
 def _last_bins(scanned: DataFrame, false_share: float) -> list[int]:

@@ -88,3 +88,29 @@ def test_planted_and_redacted(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert s.secret_digest(s.find_secrets(df)).count() == 0
+
+
+def test_keys_next_to_signs_of_two_encodings(spark):
+    rng = random.Random(8)
+    syllables = ["the", "ation", "ing", "ers", "on", "re", "ed", "st"]
+    docs, planted = [], {}
+    for i in range(300):
+        words = ["".join(rng.choices(syllables, k=rng.choice([1, 2, 6, 9]))) for _ in range(20)]
+        if i % 5 == 0:
+            planted[i] = "".join(rng.choices(s.UPPER + s.LOWER + s.DIGITS + ("+/" if i % 10 else "_-"), k=40))
+            words.insert(5, f"_x-/{planted[i]}/-y_" if i % 10 == 0 else f"/x/_{planted[i]}-/")
+        docs.append((i, " ".join(words)))
+    found = s.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"))
+    text = dict(docs)
+    got = {r.doc_id: [text[r.doc_id][x.start:x.stop] for x in r.secret_spans if x.kind == "random"] for r in found.collect()}
+    assert sum(planted[i] in got[i] for i in planted) >= 0.9 * len(planted)
+    red = {r.doc_id: r.text for r in s.redact(found).collect()}
+    assert sum(planted[i] not in red[i] for i in planted) >= 0.9 * len(planted)
+
+
+def test_only_words_are_the_null(spark):
+    tokens = ["a/b-c/d_e" * 3, "under_score-and/slash+plus", "internationalization", "Internationalization", "x1" * 9, "some/long/path/in/here", "a-long-slug-in-here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc_id long, text string")
+    rows = {r.doc_id: r["_scan"]["tested"] for r in s._scan(df, "text").collect()}
+    assert {i for i, spans in rows.items() if any(x.word for x in spans)} == {2, 3}
+    assert [len(rows[i]) for i in (2, 3, 4, 5, 6)] == [1] * 5
