@@ -6,7 +6,8 @@
    `SKETCH_BITS` bits. The population count of two sketches' XOR estimates how
    many samples differ, most precisely at high similarity (for sets smaller than the
    bins, it is nearly the size of the symmetric difference).
-2. Documents with equal sets are one class; from here on a class is one node.
+2. Documents with equal sets are one class; from here on a class is one node. Its text is
+   fetched by the written number of one of its rows.
 3. In each band bucket every node is paired with two leaders only, the bucket's least
    node and one drawn by a hash. Pairs whose sketches differ too much go; the rest are
    confirmed on the full shingle sets. Components of confirmed links follow.
@@ -136,8 +137,8 @@ def _sign(words: int):
                     n, width = matrix.shape
                     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(matrix.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                     lists(bands), lists(sketch)], ["id", "n_shingles", "node", "check", "bands", "sketch"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                     lists(bands), lists(sketch)], ["id", "row", "n_shingles", "node", "check", "bands", "sketch"])
     return run
 
 
@@ -212,17 +213,24 @@ def _join_components(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 80, row: str | None = None) -> DataFrame:
     """Per document: key, n_shingles, component_id (smallest key reachable by links of Jaccard
-    similarity >= percent / 100) and kept (whether that is its own key)."""
+    similarity >= percent / 100) and kept (whether that is its own key).
+
+    `row` names a column of unique numbers in a written table; without it, such a table is written.
+    """
     spark = docs.sparkSession
     similarity = percent / 100
     kind = docs.schema[key].dataType.simpleString()
-    signed = cut(spark, docs.select(F.col(key).alias("id"), text).mapInArrow(
-        _sign(words), f"id {kind}, n_shingles bigint, node bigint, `check` bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
+    if row is None:
+        docs = cut(spark, docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.monotonically_increasing_id().alias("row")), "numbered")
+    else:
+        docs = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col(row).alias("row"))
+    signed = cut(spark, docs.select("id", "body", "row").mapInArrow(
+        _sign(words), f"id {kind}, row bigint, n_shingles bigint, node bigint, `check` bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
     full = signed.where("n_shingles > 0")
     # One row per class of equal sets; its rows agree in bands and sketch.
-    classes = cut(spark, full.groupBy("node", "check").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size")), "classes")
+    classes = cut(spark, full.groupBy("node", "check").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("size")), "classes")
     sketches = classes.select("node", "sketch", F.col("size").cast("double").alias("size"))
     marked = classes.select("node", "sketch", "bands", F.col("size").cast("double").alias("size"))
     buckets = classes.select(F.explode("bands").alias("bucket"), "node")
@@ -233,10 +241,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def full_sets(wanted: DataFrame, most: int) -> DataFrame:
         """(node, shingles) of the nodes in `wanted`, at most `most` rows; only their texts are read by Python again."""
-        wanted = wanted.distinct().join(classes.select("node", "rep"), "node")
-        texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("body")).join(
-            F.broadcast(wanted) if most <= BROADCAST_ROWS else wanted, "rep").select("node", "body")
-        # Rows of one id with equal texts come several times; one is enough.
+        wanted = wanted.distinct().join(classes.select("node", "row"), "node")
+        texts = docs.select("row", "body").join(F.broadcast(wanted) if most <= BROADCAST_ROWS else wanted, "row").select("node", "body")
         return texts.mapInArrow(_full_sets(words), "node bigint, shingles binary").dropDuplicates(["node"])
 
     # Pairs of a node and a leader of one of its buckets, by sketch and then on full sets.

@@ -95,3 +95,14 @@ def test_components(spark):
                 of[a] = of[b] = min(of[a], of[b])
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: v for x, v in of.items() if x in got} and set(of) - set(got) <= {5} | {a for a, b in edges if a == b}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_links_of_rows_without_id(spark, monkeypatch, rows):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", rows)
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(words[i * 12:i * 12 + 130]) for i in range(6)]  # each like the next, the ends unlike
+    docs = [(None if i in (1, 2, 4) else i, t) for i, t in enumerate(chain)] + [(None, chain[1]), (9, "another text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in m.near_duplicates(df).collect())
+    assert got == sorted([("0", 0, True), ("3", 0, False), ("5", 0, False), ("9", 9, True)] + [("None", 0, False)] * 4)
