@@ -15,8 +15,9 @@ hash of all their words.
 
 Results for odd input: NULL and empty texts have no words and hit nothing (an
 item without words has no window); repeated rows are judged each, also under one
-id; items with the same text are all reported; an item without id counts for
-nothing; the id lists have each id once.
+id; items with the same text are all reported; with `nameless`, as the
+registered query and the pipeline have it, passages of items without id are hits like any other, and
+these items count as one but are not in the id lists; the lists have each id once.
 """
 
 from __future__ import annotations
@@ -114,15 +115,19 @@ def _extend(window: int):
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text",
-                       window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+                       window: int = WINDOW, gram: int = GRAM, nameless: bool = False) -> DataFrame:
     """One row per document: key, n_words, hits (merged word ranges [start, stop) inside
-    occurrences of benchmark windows) and items (ids as text, of items with an occurring window, sorted)."""
+    occurrences of benchmark windows), items (ids as text, of items with an occurring window, sorted)
+    and unnamed (whether a window of an item without id occurs). Items without id count with `nameless` only."""
     spark = docs.sparkSession
     marks = cut(spark, items.select(F.col(item_key).cast("string").alias("id"), text).mapInArrow(
         _scan(window, gram, [], None), f"row bigint, id string, n_words bigint, found {FOUND}"), "benchmark-marks")
     # Items of one text share a mark; the ids meet again after the join.
+    if not nameless:
+        marks = marks.where(F.col("id").isNotNull())
     marks = marks.select("id", F.inline("found")).groupBy("h", "size", F.col("before").alias("item_before"), F.col("words").alias("item_words")).agg(
-        F.collect_set("id").alias("item_ids"))
+        F.collect_set("id").alias("item_ids"), F.bool_or(F.col("id").isNull()).alias("unnamed"))
+    marks = marks.withColumn("item_ids", F.when(F.col("unnamed"), F.concat("item_ids", F.array(F.lit(None).cast("string")))).otherwise(F.col("item_ids"))).drop("unnamed")
     marks = cut(spark, marks, "benchmark-index")
     short = sorted(r["size"] for r in marks.where(F.col("size") < window).select("size").distinct().collect())
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
@@ -137,20 +142,20 @@ def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", i
         "row", "size", "at", "before", "words", F.explode("item_ids").alias("item_id"), "item_before", "item_words")
     spans = pairs.mapInArrow(_extend(window), "row bigint, item_id string, start int, stop int")
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
-                                       F.sort_array(F.collect_set("item_id")).alias("items"))
+                                       F.sort_array(F.collect_set("item_id")).alias("items"), F.bool_or(F.col("item_id").isNull()).alias("unnamed"))
     merged = F.expr("""aggregate(spans, cast(array() AS array<struct<start:int,stop:int>>), (acc, s) ->
         CASE WHEN size(acc) > 0 AND s.start <= element_at(acc, -1).stop
              THEN concat(slice(acc, 1, size(acc) - 1),
                          array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, s.stop))))
              ELSE concat(acc, array(s)) END)""")
-    hits = per_row.select("row", merged.alias("hits"), "items")
+    hits = per_row.select("row", merged.alias("hits"), "items", "unnamed")
     none = "cast(array() AS array<struct<start:int,stop:int>>)"
     return scanned.select("row", "id", "n_words").join(hits, "row", "left").select(
         F.col("id").alias(key), "n_words", F.coalesce("hits", F.expr(none)).alias("hits"),
-        F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))
+        F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"))
 
 
 def contamination_digest(judged: DataFrame, key: str = "doc_id") -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    return judged.select(key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+    return judged.select(key, "n_words", n_hit.alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"),
                          F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -72,7 +72,7 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BI
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_digest(contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return contamination_digest(contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True))
 
 
 @query("op6_secret_scans")

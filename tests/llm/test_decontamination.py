@@ -66,3 +66,14 @@ def test_empty_tables(spark):
     assert contaminated_words(docs, items).count() == 0
     assert [r.n_hit for r in contamination_digest(contaminated_words(some, items)).collect()] == [0]
     assert contaminated_words(docs, some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_items_without_id(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, passage), (None, "two words"), (5, "of " + passage), (6, "other " * 10)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "here two words stand"), (3, "nothing of it"), (None, passage)], "doc_id long, text string")
+    judged = contaminated_words(docs, items, nameless=True)
+    got = {r.doc_id: ([list(x) for x in r.hits], r["items"]) for r in judged.collect()}
+    assert got == {1: ([[1, 13]], ["5"]), 2: ([[1, 3]], []), 3: ([], []), None: ([[0, 12]], ["5"])}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in contamination_digest(judged).collect()} == {
+        1: (12, 2, True), 2: (2, 1, True), 3: (0, 0, False), None: (12, 2, True)}
