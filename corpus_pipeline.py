@@ -4,8 +4,8 @@ Every stage works on all rows that the one before kept. All but the last return
 the columns of their input; rows and other columns pass unchanged:
 
 1. quality: rows that the classifier rejects go; it is fitted on the labels of `labels`.
-2. near-duplicates: of each group of near-duplicates the row with the smallest doc_id stays
-   (five-word shingles, similarity of 0.8 or more); of equal rows under that id, one.
+2. near-duplicates: of each group of near-duplicates one row with the smallest doc_id stays
+   (five-word shingles, similarity of 0.8 or more); NULL is the last doc_id.
 3. decontamination: rows with a passage of `benchmark` go.
 4. secrets: found spans are replaced by `[secret]` in the text, and n_chars follows.
 5. encoding: the texts as SentencePiece ids, with the check that decoding gives the text back.
@@ -42,22 +42,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _rows(scored.where("predicted = 1"))
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with a written number of each row, by which decisions come back: doc_id may repeat or be NULL."""
+    return cut(spark, docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without words link with nothing and stay, as do rows without doc_id."""
-    judged = near_duplicates(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=SIMILARITY)
-    ids = cut(spark, judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("kept").alias("n")), "judged-ids")
-    left = docs.join(ids.where(~F.col("kept")), "doc_id", "left_anti")
-    repeated = ids.where("kept AND n > 1")
-    if not repeated.isEmpty():
-        left = left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(
-            left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
-    return left.select(docs.columns)
+    """Rows without words link with nothing and stay."""
+    numbered = _numbered(spark, docs)
+    # Smallest id first, NULL last; rows under one id by their content, equal rows by their number.
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_number").alias("_key")
+    judged = near_duplicates(numbered.select(key, "text", "_number"), key="_key", words=SHINGLE_WORDS, percent=SIMILARITY, row="_number")
+    gone = judged.where(~F.col("kept")).select("_key._number")
+    return numbered.join(gone, "_number", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = contaminated_words(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = judged.where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    numbered = _numbered(spark, docs)
+    judged = contaminated_words(numbered.select("_number", "text"), table(spark, sf_dir, "benchmark"), key="_number", nameless=True)
+    gone = judged.where(F.size("hits") > 0).select("_number")
+    return numbered.join(gone, "_number", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

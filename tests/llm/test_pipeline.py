@@ -113,3 +113,20 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_decisions_are_by_row(spark):
+    passage = " ".join(connect(SF).sql("SELECT text FROM benchmark ORDER BY length(text) DESC LIMIT 1").fetchall()[0][0].split()[:12])
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    body = [f"v{i}" for i in range(100)]
+    near = [" ".join([*body, f"end{i}"]) for i in range(4)]
+
+    def ids_and_texts(stage, docs):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], schema), SF).collect()), key=str)
+    assert ids_and_texts(corpus_pipeline.decontamination, [(None, f"so {passage}"), (None, "clean"), (7, f"so {passage}"), (7, "a clean row"), (8, "more")]) == [
+        (7, "a clean row"), (8, "more"), (None, "clean")]
+    # A near copy goes though its id has another row that stays; of near copies under one id one stays; NULL is the last id.
+    left = ids_and_texts(corpus_pipeline.near_duplicate, [(1, near[0]), (2, near[1]), (2, "a row of its own"), (None, near[2]), (None, None), (None, "alone"), (None, "alone")])
+    assert left == [(1, near[0]), (2, "a row of its own"), (None, "alone"), (None, None)]
+    left = ids_and_texts(corpus_pipeline.near_duplicate, [(4, near[0]), (4, near[1]), (4, near[2]), (5, near[3])])
+    assert len(left) == 1 and left[0][0] == 4
