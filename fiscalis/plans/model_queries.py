@@ -212,11 +212,6 @@ def mod25(spark, sf):
 
 # --- learners ------------------------------------------------------------------
 
-# Size of the ensembles in the registered queries; the operators' default is 300
-# trees and 300 rounds.
-TREES, ROUNDS = 60, 20
-
-
 def design_view(spark, sf):
     return le.prepare(cut(spark, split_rows(spark, sf), "split"))
 
@@ -269,14 +264,14 @@ def mod05(spark, sf):
 @query("mod06_random_forest")
 def mod06(spark, sf):
     rows, regions = design(spark, sf)
-    models = le.fit_regions(rows, regions, le.forest(TREES))
+    models = le.fit_regions(rows, regions, le.forest())
     return mo.metrics(le.tree_predictions(rows, models, "random_forest"), ["ccaa_slug", "modelo"])
 
 
 @query("mod07_gradient_boosting")
 def mod07(spark, sf):
     rows, regions = design(spark, sf)
-    models = le.fit_regions(rows, regions, le.boosting(ROUNDS))
+    models = le.fit_regions(rows, regions, le.boosting())
     return mo.metrics(le.tree_predictions(rows, models, "gradient_boosting"), ["ccaa_slug", "modelo"])
 
 
@@ -288,16 +283,18 @@ def mod09(spark, sf):
 
 @query("mod10_regional_training")
 def mod10(spark, sf):
-    """Baselines, ridge and forest with log target per region, and who wins."""
+    """Baselines, and ridge, forest and boosting with log target per region, and who wins."""
     base = baseline_predictions(spark, sf)
     prepared, regions = design(spark, sf)
     ridge = le.linear_predictions(prepared, "ridge", 1.0, log=True)
-    trees = le.tree_predictions(prepared, le.fit_regions(prepared, regions, le.forest(TREES), log=True), "random_forest", log=True)
-    found = base.unionByName(ridge.select(*base.columns)).unionByName(trees.select(*base.columns))
+    found = base.unionByName(ridge.select(*base.columns))
+    for name, estimator in (("random_forest", le.forest()), ("gradient_boosting", le.boosting())):
+        trees = le.tree_predictions(prepared, le.fit_regions(prepared, regions, estimator, log=True), name, log=True)
+        found = found.unionByName(trees.select(*base.columns))
     return mo.winners(mo.metrics(found, ["ccaa_slug", "modelo"]))
 
 
 @query("mod20_importances")
 def mod20(spark, sf):
     rows, regions = design(spark, sf)
-    return le.importances(spark, le.fit_regions(rows, regions, le.forest(TREES), log=True))
+    return le.importances(spark, le.fit_regions(rows, regions, le.forest(), log=True))

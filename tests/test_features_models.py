@@ -123,3 +123,22 @@ def test_winner_on_ties_and_unknown_names(spark):
                                    "ccaa_slug string, modelo string, mae double").selectExpr("*", "0.1D AS mape", "0.5D AS r2")
     assert {r.ccaa_slug: (r.modelo, r.bate_baseline) for r in winners(scores).collect()} == {
         "a": ("baseline_cre", "no"), "b": ("linear", "sí"), "c": ("own", "sí")}
+
+
+def test_registered_ensembles_are_whole(spark, monkeypatch):
+    from fiscalis.plans import all_queries
+    seen = []
+
+    def fit(rows, regions, estimator, log=False):
+        seen.append(estimator.getNumTrees() if hasattr(estimator, "getNumTrees") else estimator.getMaxIter())
+        return {}
+    monkeypatch.setattr(le, "fit_regions", fit)
+    monkeypatch.setattr(le, "tree_predictions", lambda design, models, name, log=False:
+                        le.linear_predictions(design, "ridge", 1.0, log=log).withColumn("modelo", F.lit(name)))
+    monkeypatch.setattr(le, "importances", lambda spark, models: None)
+    monkeypatch.setattr(mo, "winners", lambda scores: scores)
+    built = {n: all_queries()[n].build(spark, "/root/testdata/sf0.001") for n in (
+        "mod06_random_forest", "mod07_gradient_boosting", "mod10_regional_training", "mod20_importances")}
+    assert seen == [300] * 5
+    assert {r.modelo for r in built["mod10_regional_training"].select("modelo").distinct().collect()} == {
+        "baseline_lag1", "baseline_cre", "ridge", "random_forest", "gradient_boosting"}
