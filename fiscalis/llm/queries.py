@@ -11,6 +11,7 @@ from .embedding_dedup import similar_vectors
 from .language_id import fit_languages, predict_languages
 from .lm_scoring import fit_model, score_texts, word_counts
 from .minhash_dedup import near_duplicates
+from .prefix_trie import end_digests, ordered_turns, prefix_trie, rebuilt_turns
 from .quality import fit_quality, score_quality
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
@@ -147,3 +148,39 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_texts(table(spark, sf_dir, "documents"), load_vocabulary(), [F.col("doc_id")], digest=True)
     return coded.select("doc_id", "n_pieces", "score", F.col("ids").alias("ids_sha256"), "round_trip")
+
+
+@query("op13_conversation_trie", r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, n, c - c % 20 AS b, (4294967295 - list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, (u & 1) * 3988292384)))) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c)),
+built AS (
+  SELECT v.c, t.i + 1 AS d, r, t FROM convs v JOIN turns t ON t.c = v.b AND t.i < v.h
+  UNION ALL
+  SELECT v.c, least(v.h, coalesce(w.n, 0)) + t.i - v.h + 1, r, t FROM convs v LEFT JOIN convs w ON w.c = v.b JOIN turns t ON t.c = v.c AND t.i >= v.h),
+pre AS (
+  SELECT c, 0 AS d, [] AS p FROM convs
+  UNION ALL SELECT c, d, list({'r': r, 't': t}) OVER (PARTITION BY c ORDER BY d) FROM built),
+nodes AS (SELECT d, p, min(c) AS conv, count(*) AS n FROM pre GROUP BY d, p),
+mem AS (SELECT pre.c, pre.d, conv FROM pre JOIN nodes USING (d, p)),
+tree AS (
+  SELECT n.conv, n.d, n.n, m.conv AS parent, CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(n.p[n.d].t, '[^\x20\x09-\x0D]+')) END AS w
+  FROM nodes n LEFT JOIN mem m ON m.c = n.conv AND m.d = n.d - 1),
+kids AS (SELECT parent AS conv, d - 1 AS d, count(*) AS k FROM tree WHERE d > 0 GROUP BY ALL),
+own AS (SELECT t.*, coalesce(k, 0) AS k FROM tree t LEFT JOIN kids USING (conv, d)),
+sums AS (SELECT m.conv, m.d, count(*) FILTER (k = 0) AS leaves, sum((o.n - 1) * w) AS saved FROM own o JOIN mem m ON m.c = o.conv AND m.d <= o.d GROUP BY ALL),
+ends AS (
+  SELECT conv, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT mem.*, max(d) OVER (PARTITION BY c) AS last FROM mem) WHERE d = last GROUP BY ALL)
+SELECT conv AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, k::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sums USING (conv, d) LEFT JOIN ends USING (conv, d)
+""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie(*rebuilt_turns(ordered_turns(table(spark, sf_dir, "conversations"))))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(end_digests(ends), ["pos", "x1", "x2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
