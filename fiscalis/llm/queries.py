@@ -16,7 +16,9 @@ from .quality import fit_quality, score_quality
 from .registry import LLM_QUERIES, query
 from .secret_scan import find_secrets, secret_digest
 from .sentencepiece_scan import encode_texts, load_vocabulary
+from .source_divergence import source_divergence
 from .substring_dedup import remove_repeats
+from .topk_search import top_products
 from .url_filters import judge_urls
 
 __all__ = ["LLM_QUERIES"]
@@ -184,3 +186,42 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.sha2(F.lit("").cast("binary"), 256)
     return nodes.join(end_digests(ends), ["pos", "x1", "x2"], "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+@query("op11_topk_search", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, p.e) DESC, p.vec_id)::INT AS rank,
+       p.vec_id, list_inner_product(q.e, p.e)::BIGINT AS score
+FROM v q JOIN v p ON q.vec_id <> p.vec_id AND q.vec_id % 50 = 0 QUALIFY rank <= 5
+""")
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM tok GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tok GROUP BY ALL),
+all_p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p
+  FROM (SELECT lang, source, term, coalesce(s.n, 0::HUGEINT) AS n FROM grp JOIN (SELECT lang, term FROM kept) USING (lang) LEFT JOIN seen s USING (lang, source, term))),
+all_q AS (SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM kept),
+vs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM all_p a JOIN all_p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN vs ON vs.lang = a.lang AND vs.source = a.source AND vs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM all_p JOIN all_q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
