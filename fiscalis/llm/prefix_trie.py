@@ -46,9 +46,10 @@ def ordered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "
     spark = conversations.sparkSession
     column = {name: F.col(f"`{name}`") for name in (conv, turn, role, text)}
     said = [F.coalesce(column[c].cast("string"), F.lit("")) for c in (role, text)]
-    turns = conversations.where(column[conv].isNotNull()).select(
+    # Written first, so that texts are read once: the range sort looks at its input twice.
+    turns = cut(spark, conversations.where(column[conv].isNotNull()).select(
         column[conv].cast("long").alias("conv"), column[turn].alias("turn"), F.xxhash64(F.lit(1), *said).alias("k1"), F.xxhash64(F.lit(2), *said).alias("k2"),
-        F.regexp_count(said[1], F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row"))
+        F.regexp_count(said[1], F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row")), "hashed-turns")
     order = ["conv", F.col("turn").asc_nulls_first(), "k1", "k2", "row"]
     dealt = cut(spark, turns.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "conv", "k1", "k2", "words", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33)), "ordered-turns")
