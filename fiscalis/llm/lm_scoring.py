@@ -13,10 +13,11 @@ Dirichlet smoothing from the longest context to the single word:
 The filter grows with the corpus: no n-gram is left out. It consists of blocks by
 n-gram hash, as many as the number of training words asks for, each built by one task from
 the exact counts of its n-grams with `BITS_AN_ENTRY` bits an entry (a small corpus shares
-`FILTER_BITS`). N-gram counts travel as packed sorted arrays, one per task and block.
+`FILTER_BITS`). An n-gram's hash has as many bits as tell the counted n-grams apart
+(`SPARE_BITS` more than their number needs); sorted hashes travel as packed differences, one array per task and block.
 Up to `BROADCAST_BITS` the filter is broadcast whole. A larger one stays a table of
-blocks: every slice of texts asks each block for the levels of its distinct n-grams, the
-questions meet their block by its number, and the answers go back to the slice. Both ways give
+blocks: every lot of texts (`LOT_BYTES`) asks each block for the levels of its distinct n-grams, the
+questions meet their block by its number, and the answers go back to the lot. Both ways give
 the same scores.
 
 The base score needs exact word counts: words of at least a count that
@@ -58,6 +59,8 @@ BITS_AN_ENTRY = 8
 SMOOTHING = 5.0
 HEAD_WORDS = 200_000
 FLUSH = 400_000
+SPARE_BITS = 24
+LOT_BYTES = 16 << 20  # of texts whose n-grams are asked for together
 START, END = np.uint64(0x51A7), np.uint64(0xE0D)
 
 
@@ -84,13 +87,13 @@ def _sequences(data: np.ndarray, offsets: np.ndarray, scanner: WordScanner) -> t
     return out, first
 
 
-def _grams(sequence: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each place, and which of them lie in one text."""
+def _grams(sequence: np.ndarray, first: np.ndarray, n: int, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at each place, their lowest `spare` bits cleared, and which of them lie in one text."""
     out = np.zeros(len(sequence), dtype=np.uint64)
     for j in range(n):
         out[n - 1:] = mix64(out[n - 1:] ^ sequence[j:len(sequence) - n + 1 + j])
     depth = np.arange(len(sequence)) - np.repeat(first[:-1], np.diff(first))
-    return out ^ np.uint64(n), depth >= n - 1
+    return (out ^ np.uint64(n)) >> np.uint64(spare) << np.uint64(spare), depth >= n - 1
 
 
 def _merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +104,23 @@ def _merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return hashes[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
 
 
+def _pack(hashes: np.ndarray, part: int, parts: int, spare: int) -> bytes:
+    """Sorted hashes of one part as compressed differences, byte by byte, without the bytes that are zero in all."""
+    steps = (hashes - np.uint64(part * ((1 << 64) // parts))) >> np.uint64(spare)
+    steps[1:] -= steps[:-1].copy()
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(hashes), width], dtype="<u4").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: pa.Buffer, part: int, parts: int, spare: int) -> np.ndarray:
+    n, width = np.frombuffer(data, dtype="<u4", count=2).tolist()
+    raw = pa.decompress(data.slice(8), decompressed_size=n * width, codec="zstd")
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T
+    return (np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) << np.uint64(spare)) + np.uint64(part * ((1 << 64) // parts))
+
+
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes // np.uint64((1 << 64) // parts)).astype(np.int64)
 
@@ -110,7 +130,7 @@ def _cuts(hashes: np.ndarray, parts: int) -> list[int]:
     return np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).tolist() + [len(hashes)]
 
 
-def _count_grams(order: int, count: int):
+def _count_grams(order: int, count: int, spare: int):
     """Texts to (part, hashes, counts): sorted n-gram hashes with their counts in this task, by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, held, size = WordScanner(SPACE_SEPARATORS, lower=True), [], 0
@@ -120,14 +140,15 @@ def _count_grams(order: int, count: int):
             cuts = _cuts(hashes, count)
             parts = [p for p in range(count) if cuts[p + 1] > cuts[p]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array([hashes[cuts[p]:cuts[p + 1]].tobytes() for p in parts], pa.binary()),
-                 pa.array([counts[cuts[p]:cuts[p + 1]].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["part", "hashes", "counts"])
+                [pa.array(parts, pa.int32()), pa.array([_pack(hashes[cuts[p]:cuts[p + 1]], p, count, spare) for p in parts], pa.binary()),
+                 pa.array([pa.compress(counts[cuts[p]:cuts[p + 1]].astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for p in parts], pa.binary())],
+                ["part", "hashes", "counts"])
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for lo, hi in row_slices(offsets):
                 sequence, first = _sequences(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner)
                 for n in range(1, order + 1):
-                    hashes, whole = _grams(sequence, first, n)
+                    hashes, whole = _grams(sequence, first, n, spare)
                     held.append(np.unique(hashes[whole], return_counts=True))
                     size += len(held[-1][0])
                 if size > 5 * FLUSH:
@@ -162,7 +183,7 @@ def _read_levels(hashes: np.ndarray, bitmap: np.ndarray, start: np.ndarray, bits
     return out
 
 
-def _build(least: int):
+def _build(least: int, count: int, spare: int):
     """A block's packed counts to its bitmap, of `least` bits or more; the rows of one part come one after the other."""
     def block(part: int, pairs: list) -> tuple[int, bytes]:
         hashes, counts = _merge(pairs)
@@ -187,7 +208,9 @@ def _build(least: int):
                     yield emit()
                     pairs = []
                 part = p
-                pairs.append((np.frombuffer(hashes.as_buffer(), dtype=np.uint64), np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64)))
+                known = _unpack(hashes.as_buffer(), p, count, spare)
+                raw = pa.decompress(counts.as_buffer(), decompressed_size=4 * len(known), codec="zstd")
+                pairs.append((known, np.frombuffer(raw, dtype=np.uint32).astype(np.int64)))
                 if len(pairs) > 64:
                     pairs = [_merge(pairs)]
         if pairs:
@@ -203,6 +226,7 @@ class Model:
     order: int
     tokens: int         # N
     distinct: int       # V
+    spare: int          # cleared low bits of an n-gram's hash
     head: dict[bytes, int]
     blocks: DataFrame | None = None  # (part, bits, bitmap) of a filter too large to broadcast
 
@@ -215,7 +239,7 @@ class Model:
         total = self.tokens + self.distinct + 1
         probability, context = None, None
         for n in range(1, self.order + 1):
-            hashes, whole = _grams(sequence, first, n)
+            hashes, whole = _grams(sequence, first, n, self.spare)
             distinct, back = np.unique(hashes, return_inverse=True)
             counts = count_of((levels or self.levels)(distinct))[back]
             if n == 1:
@@ -267,9 +291,10 @@ def fit_model(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> Model:
     found = counts.where(F.floor(F.log2("c") * 8) >= least).toArrow().to_pydict() if least is not None else {"word": [], "c": []}
     spark, tokens = texts.sparkSession, totals["n"] or 0
     parts = max(PARTS, 1 << (tokens * order // PART_GRAMS).bit_length())
-    packed = texts.mapInArrow(_count_grams(order, parts), "part int, hashes binary, counts binary")
+    spare = max(0, 64 - (tokens * order + 1).bit_length() - SPARE_BITS)
+    packed = texts.mapInArrow(_count_grams(order, parts, spare), "part int, hashes binary, counts binary")
     blocks = cut(spark, packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
-        _build(max(FILTER_BITS // parts, 64)), "part int, bits bigint, bitmap binary"), "filter-blocks")
+        _build(max(FILTER_BITS // parts, 64), parts, spare), "part int, bits bigint, bitmap binary"), "filter-blocks")
     sizes = {r["part"]: r["bits"] for r in blocks.select("part", "bits").collect()}
     bits = np.array([sizes.get(p, 64) for p in range(parts)], dtype=np.int64)
     start = np.cumsum(bits // 8) - bits // 8
@@ -278,13 +303,12 @@ def fit_model(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> Model:
         bitmap, built = np.zeros(int(bits.sum()) // 8, dtype=np.uint8), blocks.toArrow()
         for part, row in zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True):
             bitmap[start[part]:start[part] + bits[part] // 8] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
-    return Model(bitmap, start, bits, order, tokens, totals["v"], dict(zip(found["word"], found["c"], strict=True)), blocks if bitmap is None else None)
+    return Model(bitmap, start, bits, order, tokens, totals["v"], spare, dict(zip(found["word"], found["c"], strict=True)), blocks if bitmap is None else None)
 
 
-def _scored_slice(model: Model, scanner: WordScanner, logs: dict[bytes, float], kept: list, names: list[str], rows: np.ndarray,
-                  data: np.ndarray, at: np.ndarray, levels=None) -> pa.RecordBatch:
+def _scored_slice(scanner: WordScanner, logs: dict[bytes, float], kept: list, names: list[str], rows: np.ndarray,
+                  data: np.ndarray, at: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     """The columns `kept` with row, n_tokens, known, base, score and rare of the texts in `data`."""
-    score = model.log_probabilities(*_sequences(data, at, scanner), levels)
     folded = scanner.fold[data]
     n, known, base, rest = [], [], [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -310,8 +334,9 @@ def _score(model: Model):
             data, offsets = text_buffer(batch.column("_text"))
             for lo, hi in row_slices(offsets):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                yield _scored_slice(model, scanner, logs, kept, batch.schema.names[:-1], np.arange(row + lo, row + hi),
-                                    data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                part, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+                yield _scored_slice(scanner, logs, kept, batch.schema.names[:-1], np.arange(row + lo, row + hi), part, at,
+                                    model.log_probabilities(*_sequences(part, at, scanner)))
             row += batch.num_rows
     return run
 
@@ -321,18 +346,24 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         _, offsets = text_buffer(batch.column("_text"))
-        for lo, hi in row_slices(offsets):
+        for lo, hi in row_slices(offsets, LOT_BYTES):
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(row + lo, row + hi)), pa.array(np.full(hi - lo, row + lo))],
                                              [*batch.schema.names, "row", "slice"])
         row += batch.num_rows
 
 
-def _distinct(sequence: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-    return np.unique(np.concatenate([hashes[whole] for hashes, whole in (_grams(sequence, first, n) for n in range(1, order + 1))]))
+def _distinct(sequence: np.ndarray, first: np.ndarray, order: int, spare: int = 0) -> np.ndarray:
+    return np.unique(np.concatenate([hashes[whole] for hashes, whole in (_grams(sequence, first, n, spare) for n in range(1, order + 1))]))
+
+
+def _lot(data: np.ndarray, offsets: np.ndarray, scanner: WordScanner, order: int, spare: int) -> tuple[np.ndarray, list[tuple]]:
+    """The distinct n-grams of many texts, and (first row, end row, sequences) of their slices."""
+    slices = [(lo, hi, _sequences(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner)) for lo, hi in row_slices(offsets)]
+    return np.unique(np.concatenate([_distinct(*sequences, order, spare) for _, _, sequences in slices])), slices
 
 
-def _ask(order: int, count: int):
+def _ask(order: int, count: int, spare: int):
     """Dealt rows to (slice, lot, part, hashes): the distinct n-grams of each lot, which is the rows of a slice
     that one batch holds, by block. A lot is named by its first row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,32 +375,34 @@ def _ask(order: int, count: int):
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
                     continue
-                hashes = _distinct(*_sequences(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner), order)
+                hashes, _ = _lot(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner, order, spare)
                 cuts = _cuts(hashes, count)
                 parts = [p for p in range(count) if cuts[p + 1] > cuts[p]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(parts), slices[lo])), pa.array(np.full(len(parts), rows[lo])), pa.array(parts, pa.int32()),
-                     pa.array([hashes[cuts[p]:cuts[p + 1]].tobytes() for p in parts], pa.binary())], ["slice", "lot", "part", "hashes"])
+                     pa.array([_pack(hashes[cuts[p]:cuts[p + 1]], p, count, spare) for p in parts], pa.binary())], ["slice", "lot", "part", "hashes"])
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(count: int, spare: int):
     """(part, slice, lot, data) to (slice, lot, part, levels); a part's bitmap, without slice, comes before its questions."""
-    held, bitmap = None, np.zeros(0, dtype=np.uint8)
-    for batch in batches:
-        out = []
-        for part, piece, lot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if piece is None:
-                held, bitmap = part, np.frombuffer(data.as_buffer(), dtype=np.uint8)
-                continue
-            hashes = np.frombuffer(data.as_buffer(), dtype=np.uint64)
-            levels = np.zeros(len(hashes), dtype=np.int64)  # a part without a block has no n-gram
-            if held == part:
-                levels = _read_levels(hashes, bitmap, levels, np.full(len(hashes), 8 * len(bitmap)))
-            out.append((piece, lot, part, levels.astype(np.uint8).tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
-                                          pa.array(columns[3], pa.binary())], ["slice", "lot", "part", "levels"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bitmap = None, np.zeros(0, dtype=np.uint8)
+        for batch in batches:
+            out = []
+            for part, piece, lot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if piece is None:
+                    held, bitmap = part, np.frombuffer(data.as_buffer(), dtype=np.uint8)
+                    continue
+                hashes = _unpack(data.as_buffer(), part, count, spare)
+                levels = np.zeros(len(hashes), dtype=np.int64)  # a part without a block has no n-gram
+                if held == part:
+                    levels = _read_levels(hashes, bitmap, levels, np.full(len(hashes), 8 * len(bitmap)))
+                out.append((piece, lot, part, pa.compress(levels.astype(np.uint8).tobytes(), codec="zstd", asbytes=True), len(hashes)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "lot", "part", "levels", "n"])
+    return run
 
 
 def _score_dealt(model: Model):
@@ -379,20 +412,22 @@ def _score_dealt(model: Model):
         logs = {w: math.log10(c + 1) for w, c in model.head.items()}
         left = left.take(pa.array(np.argsort(left.column("row").to_numpy())))
         rows, answers = left.column("row").to_numpy(), {}
-        for lot, part, levels in zip(right.column("lot").to_pylist(), right.column("part").to_pylist(), right.column("levels").to_pylist(), strict=True):
-            answers.setdefault(lot, []).append((part, levels))
+        for lot, part, levels, n in zip(*(right.column(c).to_pylist() for c in ("lot", "part", "levels", "n")), strict=True):
+            answers.setdefault(lot, []).append((part, pa.decompress(levels, decompressed_size=n, codec="zstd", asbytes=True)))
         lots, out = sorted(answers), []
         edges = [*np.searchsorted(rows, lots).tolist(), len(rows)]
         for lot, lo, hi in zip(lots, edges[:-1], edges[1:], strict=True):
             data, at = text_buffer(left.column("_text").slice(lo, hi - lo))
-            hashes = _distinct(*_sequences(data, at, scanner), model.order)
-            found = np.frombuffer(b"".join(levels for _, levels in sorted(answers[lot])), dtype=np.uint8).astype(np.int64)
+            hashes, slices = _lot(data, at, scanner, model.order, model.spare)
+            found = np.frombuffer(b"".join(levels for _, levels in sorted(answers[lot])), dtype=np.uint8)
 
             def read(asked: np.ndarray, hashes=hashes, found=found) -> np.ndarray:
                 # n-grams across two texts were not asked for; nothing reads their counts.
-                return found[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)]
-            kept = [left.column("_keep").slice(lo, hi - lo).combine_chunks()]
-            out.append(_scored_slice(model, scanner, logs, kept, ["_keep"], rows[lo:hi], data, at, read))
+                return found[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)].astype(np.int64)
+            for begin, end, sequences in slices:
+                kept = [left.column("_keep").slice(lo + begin, end - begin).combine_chunks()]
+                out.append(_scored_slice(scanner, logs, kept, ["_keep"], rows[lo + begin:lo + end], data[at[begin]:at[end]], at[begin:end + 1] - at[begin],
+                                         model.log_probabilities(*sequences, read)))
         return pa.Table.from_batches(out)
     return run
 
@@ -400,12 +435,12 @@ def _score_dealt(model: Model):
 def _score_by_blocks(asked: DataFrame, model: Model, schema: str) -> DataFrame:
     kind, parts = asked.schema["_keep"].dataType.simpleString(), len(model.bits)
     dealt = cut(asked.sparkSession, asked.mapInArrow(_deal, f"_keep {kind}, _text string, row bigint, slice bigint"), "dealt")
-    asks = dealt.select("_text", "row", "slice").mapInArrow(_ask(model.order, parts), "slice bigint, lot bigint, part int, hashes binary")
+    asks = dealt.select("_text", "row", "slice").mapInArrow(_ask(model.order, parts, model.spare), "slice bigint, lot bigint, part int, hashes binary")
     none = F.lit(None).cast("long")
     questions = model.blocks.select("part", none.alias("slice"), none.alias("lot"), F.col("bitmap").alias("data")).union(
         asks.select("part", "slice", "lot", "hashes"))
     answers = questions.repartition(parts, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first()).mapInArrow(
-        _answer, "slice bigint, lot bigint, part int, levels binary")
+        _answer(parts, model.spare), "slice bigint, lot bigint, part int, levels binary, n bigint")
     return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_dealt(replace(model, blocks=None)), schema)
 
 

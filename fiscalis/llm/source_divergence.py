@@ -1,11 +1,12 @@
 """Divergence of the sources within each language, from exact term counts.
 
-Terms are keyed by their language, so one CountVectorizer without a vocabulary limit counts documents and
-keeps terms of all languages at once, each by the documents of its language alone. Its sparse document
-vectors are summed by source and term, one row per counted term: no group is ever a dense
-vector. The vocabulary is dealt by term hash into shards, as many as an exact count over a
-1/64 share of all terms asks for, and one vectorizer is fitted a shard: the driver and each task
-hold one shard of at most about `SHARD_TERMS` terms, however large the corpus.
+Terms are keyed by their language, so one CountVectorizer counts for all languages at once, each term by the
+documents of its language alone. The terms of `min_docs` documents or more are counted as a table, and the
+vectorizer is fitted on them, without a limit of their number. Its model
+builds the sparse vector of each document, and vectors are summed by source and place, in each task first: no group is ever a
+dense vector. The vocabulary is dealt by term hash into shards of about `SHARD_TERMS` terms, and
+one model is made a shard, so that the driver and each task hold one shard, however large the corpus. Counts stay exact as
+doubles below 2^53 a document.
 
 A term's share in a group is p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N being the group's counted
 terms and V the language's vocabulary; two shares differ by floor((p - q)^2 / (p + q)). The
@@ -25,58 +26,107 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalis.session import cut
 
-from .common import lower_ascii
+from .common import row_slices
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD_TERMS = 1 << 20
-SAMPLED = 64
+HELD_TERMS, HELD_LANGS = 400_000, 2_000  # what a task counts before it passes its counts on
 SCALE = 1_000_000_000
 ALL_TERMS = (1 << 31) - 1
-MARK = "\0"  # stands in no term
-
-
-def term_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, terms): the terms of each document, in order and with repeats."""
-    name = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (text, lang, source)}
-    terms = F.array_remove(F.split(lower_ascii(name[text]), NOT_TERM), "")
-    return cut(docs.sparkSession, docs.select(name[lang].alias("lang"), name[source].alias("source"), terms.alias("terms")), "term-documents")
-
-
-def _shard_of(term: Column, lang: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(lang, term), F.lit(shards))
-
-
-def _shards(documents: DataFrame, min_docs: int) -> int:
-    """Shards of the vocabulary, from the kept terms of a fixed share of all terms by hash."""
-    seen = documents.select("lang", F.explode(F.array_distinct(F.filter(
-        "terms", lambda t: F.pmod(F.xxhash64(F.lit(SAMPLED), t), F.lit(SAMPLED)) == 0))).alias("term")).groupBy("lang", "term").agg(F.count("term").alias("n"))
-    return max(1, math.ceil(SAMPLED * seen.where(F.col("n") >= min_docs).count() / SHARD_TERMS))
+MARK = b"\0"  # stands in no term
+SLICE = 8 << 20
+
+# Bytes that stand in no term become spaces, A-Z become a-z; bytes of longer characters stay.
+FOLD = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if c <= 0x5A else c for c in range(256))
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Language and terms of each row of (lang, source, text)."""
+    for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+        yield lang, text.as_py().translate(FOLD).split()
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to (lang, term, n): the documents of each term in this task, in pieces."""
+    held: dict[bytes, Counter] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            terms = list(counts)
+            for lo in range(0, len(terms), 50_000):
+                part = terms[lo:lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.binary()).cast(pa.string()), pa.array(part, pa.binary()).cast(pa.string()),
+                                                  pa.array([counts[t] for t in part], pa.int64())], ["lang", "term", "n"])
+    for batch in batches:
+        for lang, words in _words(batch):
+            held.setdefault(lang, Counter()).update(set(words))
+            if len(held[lang]) > HELD_TERMS or len(held) > HELD_LANGS:
+                yield from rows()
+                held.clear()
+    yield from rows()
+
+
+def _keyed(shards: int, shard: int):
+    """Documents to (source, keyed): their terms of a shard, in order and with repeats, each behind its language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = pc.binary_length(whole.column(2)).to_numpy(zero_copy_only=False)
+            for lo, hi in row_slices(np.r_[0, np.cumsum(sizes)], SLICE):
+                batch, data, ends, rows = whole.slice(lo, hi - lo), [], [], [0]
+                for lang, words in _words(batch):
+                    key = lang + MARK
+                    if shards > 1:
+                        words = [w for w in words if crc32(w) % shards == shard]
+                    if words:
+                        data.append(key + key.join(words))
+                        ends += [len(key) + n for n in map(len, words)]
+                    rows.append(rows[-1] + len(words))
+                at = np.r_[0, np.cumsum(np.array(ends, dtype=np.int64))].astype(np.int32)
+                terms = pa.StringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(b"".join(data)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), terms)], ["source", "keyed"])
+    return run
+
+
+def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors (source, vector) to their sums by source and place, a batch at a time."""
+    for batch in batches:
+        sources, vectors = batch.column(0).dictionary_encode(), batch.column(1)
+        places = vectors.field("indices")
+        at, n = places.flatten().to_numpy(), vectors.field("values").flatten().to_numpy()
+        group = np.repeat(sources.indices.to_numpy().astype(np.int64), pc.list_value_length(places).to_numpy())
+        keys, back = np.unique(group << 32 | at, return_inverse=True)
+        sums = np.bincount(back, n, len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF).cast(pa.int32()), pa.array(sums)], ["source", "at", "n"])
 
 
 def group_counts(documents: DataFrame, min_docs: int = 10) -> DataFrame:
-    """(lang, source, term, n): how often each kept term stands in each group, zeros left out."""
+    """(lang, source, term, n): how often each kept term stands in each group of (lang, source, text), zeros left out."""
     spark, parts = documents.sparkSession, []
-    shards = _shards(documents, min_docs)
+    kept = cut(spark, documents.mapInArrow(_document_counts, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= min_docs).select("lang", "term"), "vocabulary")
+    shards = math.ceil(kept.count() / SHARD_TERMS)
     for shard in range(shards):
-        terms = F.col("terms") if shards == 1 else F.filter("terms", lambda t, s=shard: _shard_of(t, F.col("lang"), shards) == s)
-        # The language stands before each term, so that a term is counted by the documents of one language.
-        keyed = documents.select("lang", "source", F.transform(terms, lambda t: F.concat("lang", F.lit(MARK), t)).alias("keyed"))
-        model = CountVectorizer(inputCol="keyed", outputCol="vector", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(keyed)
-        if not model.vocabulary:
-            continue
-        # One row a term and group, summed in the task first.
-        vector = F.unwrap_udt("vector")
-        sums = model.transform(keyed).select("lang", "source", vector.alias("v")).select(
-            "lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("c")).groupBy(
-            "lang", "source", F.col("c.at").alias("at")).agg(F.sum(F.col("c.n").cast("long")).alias("n"))
-        names = spark.createDataFrame([(i, t.rsplit(MARK, 1)[1]) for i, t in enumerate(model.vocabulary)], "at int, term string")
+        # Fitted on the kept terms, one a document: a vocabulary without a limit, which stays in the JVM.
+        terms = kept.where(F.crc32(F.col("term").cast("binary")) % shards == shard)
+        keys = terms.select(F.array(F.concat("lang", F.lit(MARK.decode()), "term")).alias("keyed"))
+        model = CountVectorizer(inputCol="keyed", outputCol="vector", minDF=1.0, vocabSize=ALL_TERMS).fit(keys)
+        # Handed on whole: each field of it would build the vector again.
+        vectors = model.transform(documents.mapInArrow(_keyed(shards, shard), "source string, keyed array<string>")).select("source", F.unwrap_udt("vector"))
+        sums = vectors.mapInArrow(_group_sums, "source string, at int, n bigint").groupBy("source", "at").agg(F.sum("n").alias("n"))
+        named = [key.rpartition(MARK.decode()) for key in model.vocabulary]
+        names = spark.createDataFrame(pa.table({"at": pa.array(range(len(named)), pa.int32()), "lang": [n[0] for n in named], "term": [n[2] for n in named]}))
         parts.append(cut(spark, sums.join(names, "at").select("lang", "source", "term", "n"), "group-counts"))
     if not parts:
         return spark.createDataFrame([], "lang string, source string, term string, n bigint")
@@ -104,7 +154,7 @@ def difference(p: Column, q: Column) -> Column:
 def source_divergence(docs: DataFrame, min_docs: int = 10, top_terms: int = 10, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): the other sources of each group's language by divergence, and its own strongest terms."""
     spark = docs.sparkSession
-    documents = term_documents(docs, text, lang, source)
+    documents = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = cut(spark, group_counts(documents, min_docs), "term-counts")
     whole = cut(spark, counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "language-counts")
     langs = whole.groupBy("lang").agg(F.count("term").alias("kept"), F.sum("n").alias("total"))

@@ -64,14 +64,14 @@ def test_levels():
     assert (np.abs(back - counts) / counts).max() < 0.5
 
 
-def test_full_filter_keeps_the_frequent(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FILTER_BITS", 256 * 192)
-    texts = spark.createDataFrame([("a a a b b c " * 50,), (" ".join(f"w{i}" for i in range(4000)),)], "text string")
-    model = lm.fit_model(texts, lm.word_counts(texts))
-    held = model.bitmap.size * 8
-    assert np.unpackbits(model.bitmap).sum() < 0.6 * held
-    sequence, first = lm._sequences(np.frombuffer(b"a", dtype=np.uint8), np.array([0, 1]), lm.WordScanner(lm.SPACE_SEPARATORS, True))
-    assert model.levels(lm._grams(sequence, first, 1)[0])[1] >= lm.level_of(np.array([150]))[0]
+@pytest.mark.parametrize("spare", [0, 13, 40])
+def test_packed_hashes_come_back(spare):
+    for part, parts, n in ((0, 256, 0), (3, 256, 1), (255, 256, 5000), (511, 512, 70)):
+        width = (1 << 64) // parts
+        hashes = np.unique(np.uint64(part * width) + (lm.mix64(np.arange(n, dtype=np.uint64)) // np.uint64(parts) >> np.uint64(spare) << np.uint64(spare)))
+        data = lm._pack(hashes, part, parts, spare)
+        assert (lm._unpack(lm.pa.py_buffer(data), part, parts, spare) == hashes).all()
+        assert n < 5000 or len(data) < n * (8 * 8 - 8 - spare) / 8
 
 
 def test_odd_rows(spark):
@@ -95,7 +95,7 @@ def test_every_gram_is_kept(spark, monkeypatch):
     texts = spark.createDataFrame([(text,)], "text string")
     model = lm.fit_model(texts, lm.word_counts(texts))
     scanner = lm.WordScanner(lm.SPACE_SEPARATORS, True)
-    hashes = lm._distinct(*lm._sequences(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]), scanner), 2)
+    hashes = lm._distinct(*lm._sequences(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]), scanner), 2, model.spare)
     assert len(hashes) == 60_003 and (model.levels(hashes) >= 1).all()
     assert len(model.bits) > 256 and model.bits.sum() >= 8 * len(hashes)
     others = lm.mix64(np.arange(20_000, dtype=np.uint64))
