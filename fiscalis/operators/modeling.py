@@ -11,6 +11,8 @@ from fiscalis.operators.quality import plausible_features
 from fiscalis.operators.ranking import group_medians, numbered, slot
 
 MODEL_ORDER = ["baseline_lag1", "baseline_cre", "linear", "ridge", "random_forest", "gradient_boosting"]
+# What a forecast's model is called in the prediction table: fitted to amounts, or to their logarithm.
+BASELINE_VERSION, NATIVE_VERSION, LOG_VERSION = "baseline", "3b-native", "3c-log1p"
 BASELINES = MODEL_ORDER[:2]
 SHORT_DATA = "datos insuficientes"
 
@@ -162,14 +164,14 @@ def score_year(predictions: DataFrame, year: int) -> DataFrame:
         "alerta", alert_by_band(F.col("desviacion_rel")))
 
 
-def prediction_table(predictions: DataFrame, best: DataFrame, version: str = "3c-log1p") -> DataFrame:
-    """The winner's forecasts with deviation, alert and the region's metrics."""
+def prediction_table(predictions: DataFrame, best: DataFrame) -> DataFrame:
+    """The winner's forecasts, with the version of its model, deviation, alert and the region's metrics."""
     pred, real = F.col("prediccion"), F.col("OBR")
     deviation = F.when(F.abs(pred) > 1e-6, (real - pred) / F.nullif(pred, F.lit(0.0)))
     rows = predictions.join(best.select("ccaa_slug", "modelo", "mae", "mape"), ["ccaa_slug", "modelo"])
     return rows.select(
         "ccaa_slug", "entidad_id", F.col("anio").cast("int").alias("anio"),
-        F.col("capitulo_id").cast("smallint").alias("capitulo_id"), "modelo", F.lit(version).alias("modelo_version"),
+        F.col("capitulo_id").cast("smallint").alias("capitulo_id"), "modelo", "modelo_version",
         pred.alias("importe_predicho"), real.alias("importe_real"), "mae", "mape",
         deviation.alias("desviacion_rel"), alert_by_limit(deviation).alias("alerta"))
 

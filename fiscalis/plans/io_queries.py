@@ -603,8 +603,8 @@ def snk12(spark, sf):
 @query("snk13_metrics_export", check("""
 SELECT ccaa_slug, modelo, CAST(n AS INTEGER) AS n, round(mae, 4) AS mae FROM scores"""))
 def snk13(spark, sf):
-    from fiscalis.plans.model_queries import baseline_scores
+    from fiscalis.plans.model_queries import candidate_scores
 
     path = scratch_path(spark, "metrics")
-    sk.export_csv(pretty(baseline_scores(spark, sf), {"mae": 4}).select("ccaa_slug", "modelo", "n", "mae"), path)
+    sk.export_csv(pretty(candidate_scores(spark, sf), {"mae": 4}).select("ccaa_slug", "modelo", "n", "mae"), path)
     return spark.read.schema("ccaa_slug string, modelo string, n int, mae double").option("header", "true").csv(path)

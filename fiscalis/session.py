@@ -67,9 +67,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Once a table is written, what its job shuffled is of no use any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a written path removed when the session's process ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def cut(spark: SparkSession, df, name: str):
     """Write `df` to the shared folder and read it back, so that later stages
-    start from files that outlive any executor."""
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    start from files that outlive any executor. The files of the job's shuffles go
+    when it has ended, the table when the session's process ends."""
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,12 +64,12 @@ def test_winner_is_first_on_ties(spark):
 
 
 def test_prediction_rows(spark):
-    rows = spark.createDataFrame([("r", None, 2000, 1, 10.0, "ridge", 8.0), ("r", None, 2000, 2, 10.0, "ridge", 0.0)],
-                                 "ccaa_slug string, entidad_id string, anio int, capitulo_id int, OBR double, modelo string, prediccion double")
+    rows = spark.createDataFrame([("r", None, 2000, 1, 10.0, "ridge", 8.0, "v1"), ("r", None, 2000, 2, 10.0, "ridge", 0.0, "v1")],
+                                 "ccaa_slug string, entidad_id string, anio int, capitulo_id int, OBR double, modelo string, prediccion double, modelo_version string")
     best = spark.createDataFrame([("r", "ridge", 1.0, 0.1)], "ccaa_slug string, modelo string, mae double, mape double")
     table = mo.with_prediction_ids(mo.prediction_table(rows, best))
     got = {r.capitulo_id: (r.desviacion_rel, r.alerta) for r in table.collect()}
-    assert got == {1: (0.25, "rojo"), 2: (None, "gris")} and sorted(r.pred_id for r in table.collect()) == [1, 2]
+    assert got == {1: (0.25, "rojo"), 2: (None, "gris")} and sorted((r.pred_id, r.modelo_version) for r in table.collect()) == [(1, "v1"), (2, "v1")]
 
 
 def test_ridge_equals_closed_form(spark):
@@ -109,12 +109,13 @@ def test_mllib_preparation(spark):
 
 
 def test_tree_models(spark):
-    rows = [("r", None, 1990 + i % 8, 1 + i % 9, float(10 + i % 9), i % 8 > 5, *[float(i % 9)] * 8) for i in range(80)]
-    schema = ("ccaa_slug string, entidad_id string, anio int, capitulo_id int, OBR double, is_test boolean, " + ", ".join(f"{c} double" for c in le.PREPARED))
+    rows = [("r", None, 1990 + i % 8, 1 + i % 9, float(10 + i % 9), i % 8 > 5, i, *[float(i % 9)] * 8) for i in range(80)]
+    schema = ("ccaa_slug string, entidad_id string, anio int, capitulo_id int, OBR double, is_test boolean, number bigint, " + ", ".join(f"{c} double" for c in le.PREPARED))
     design = spark.createDataFrame(rows, schema).withColumns({f: (F.col("capitulo_id") == i + 1).cast("double") for i, f in enumerate(le.FLAGS)})
-    models = le.fit_regions(design, ["r"], le.forest(5, 3), log=True)
-    assert le.tree_predictions(design, models, "random_forest", log=True).count() == 20
-    assert le.importances(spark, models, 3).count() == 3
+    model = le.fit_trees(design, le.Rules(trees=60, rate=0.2, depth=3), log=True)
+    got = le.tree_predictions(design, model, "gradient_boosting", log=True).collect()
+    assert len(got) == 20 and all(abs(r.prediccion - r.OBR) < 0.1 for r in got)
+    assert le.importances(model, 3).count() <= 3
 
 
 def test_winner_on_ties_and_unknown_names(spark):
@@ -125,20 +126,13 @@ def test_winner_on_ties_and_unknown_names(spark):
         "a": ("baseline_cre", "no"), "b": ("linear", "sí"), "c": ("own", "sí")}
 
 
-def test_registered_ensembles_are_whole(spark, monkeypatch):
-    from fiscalis.plans import all_queries
-    seen = []
-
-    def fit(rows, regions, estimator, log=False):
-        seen.append(estimator.getNumTrees() if hasattr(estimator, "getNumTrees") else estimator.getMaxIter())
-        return {}
-    monkeypatch.setattr(le, "fit_regions", fit)
-    monkeypatch.setattr(le, "tree_predictions", lambda design, models, name, log=False:
+def test_all_candidates_take_part(spark, monkeypatch):
+    from fiscalis.plans import model_queries as mq
+    asked = []
+    monkeypatch.setattr(le, "fit_trees", lambda rows, rules, log=False: asked.append((rules.trees, log)))
+    monkeypatch.setattr(le, "tree_predictions", lambda design, model, name, log=False:
                         le.linear_predictions(design, "ridge", 1.0, log=log).withColumn("modelo", F.lit(name)))
-    monkeypatch.setattr(le, "importances", lambda spark, models: None)
-    monkeypatch.setattr(mo, "winners", lambda scores: scores)
-    built = {n: all_queries()[n].build(spark, "/root/testdata/sf0.001") for n in (
-        "mod06_random_forest", "mod07_gradient_boosting", "mod10_regional_training", "mod20_importances")}
-    assert seen == [300] * 5
-    assert {r.modelo for r in built["mod10_regional_training"].select("modelo").distinct().collect()} == {
+    found = mq.trained_predictions(spark, "/root/testdata/sf0.001")
+    assert asked == [(300, True)] * 2
+    assert {r.modelo for r in found.select("modelo").distinct().collect()} == {
         "baseline_lag1", "baseline_cre", "ridge", "random_forest", "gradient_boosting"}
