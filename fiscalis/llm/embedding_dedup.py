@@ -7,7 +7,9 @@ classes, so that unrelated vectors share a bucket with about `ROWS_A_BUCKET` oth
 at every size, and the number of tables follows from k, so that a pair at the
 threshold is missed by all tables with a chance of at most `MISS` (more
 similar pairs far less). All pairs of a bucket are compared in blocks of bounded
-size, by one matrix product in double precision; only links leave a block.
+size, by one matrix product in double precision. A linked pair belongs to the first table in which it meets, so each is
+counted once; a block passes on how many links each of its vectors has there, and as many links as join the same
+vectors: at most two rows a vector, never the pairs.
 
 Results for odd input: vectors that are NULL, empty, all zero, or hold NULL or
 non-finite components link with nothing; vectors of different lengths never link;
@@ -58,9 +60,29 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class _Tables:
+    """Buckets of unit vectors in all tables; the planes of a vector length are drawn once."""
+
+    def __init__(self, k: int, tables: int):
+        self.k, self.tables, self.made = k, tables, {}
+
+    def buckets(self, units: np.ndarray) -> np.ndarray:
+        """(vector, table) as 64-bit numbers."""
+        k, tables, size = self.k, self.tables, units.shape[1]
+        if size not in self.made:
+            draw = np.random.RandomState(SEED)  # its stream is the same in all versions
+            self.made[size] = draw.standard_normal((size, k * tables)), draw.uniform(0, WIDTH, k * tables)
+        turn, shift = self.made[size]
+        steps = np.floor((units @ turn + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, k)
+        bucket = np.broadcast_to(mix64(np.arange(tables, dtype=np.uint64) + np.uint64(size << 20)), steps.shape[:2])
+        for j in range(k):
+            bucket = mix64(bucket + steps[:, :, j])
+        return bucket
+
+
 def _hash(k: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {}
+        hashes = _Tables(k, tables)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -68,53 +90,73 @@ def _hash(k: int, tables: int):
                 sizes = np.array([len(v) for v in vectors])
                 nodes = batch.column(0).to_numpy(zero_copy_only=False)
                 for size in np.unique(sizes).tolist():
-                    if size not in made:
-                        draw = np.random.RandomState(SEED)  # its stream is the same in all versions
-                        made[size] = draw.standard_normal((size, k * tables)), draw.uniform(0, WIDTH, k * tables)
-                    turn, shift = made[size]
                     mine = np.flatnonzero(sizes == size)
-                    some = np.array([vectors[i] for i in mine], dtype=np.float64)
-                    steps = np.floor((_unit(some) @ turn + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, k)
-                    bucket = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(size << 20), steps.shape[:2])
-                    for j in range(k):
-                        bucket = mix64(bucket + steps[:, :, j])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64).ravel()), pa.array(np.repeat(nodes[mine], tables))], ["bucket", "node"])
+                    bucket = hashes.buckets(_unit(np.array([vectors[i] for i in mine], dtype=np.float64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket.view(np.int64).ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(mine))), pa.array(np.repeat(nodes[mine], tables))],
+                        ["bucket", "table", "node"])
     return run
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, vector) with the vector as the bytes of its components in double precision."""
-    for batch in batches:
-        packed = [np.asarray(v, dtype=np.float64).tobytes() for v in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "vector"])
+def _bytes(kind: str):
+    """(node, size, vector) with the vector as the bytes of its components, as wide as they come."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [np.asarray(v, dtype=kind).tobytes() for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["node", "size", "vector"])
+    return run
+
 
+def _met_before(buckets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share a bucket of one of these tables."""
+    out = np.zeros(len(a), dtype=bool)
+    for table in range(buckets.shape[1]):
+        out |= buckets[a, table] == buckets[b, table]
+    return out
 
-def _links(threshold: float):
-    """Blocks, sorted by cell, to their links; vectors come as the bytes of doubles, as lengths may differ between cells."""
+
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n points reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _links(threshold: float, k: int, tables: int, kind: str):
+    """Blocks, sorted by cell, to rows (a, b, n): what a vector's links in the block count (b is NULL), and links that join the same
+    vectors as all links of the block do. A pair belongs to the first table in which it meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[int, int]] = set()
+        hashes = _Tables(k, tables)
         for cell in each_cell(batches):
-            left, right = cell["left"].astype(bool), cell["right"].astype(bool)
-            if len(left) < 2:
+            left, right = np.flatnonzero(cell["left"].astype(bool)), np.flatnonzero(cell["right"].astype(bool))
+            n, nodes, sizes, table = len(cell["node"]), cell["node"], cell["size"].astype(np.float64), int(cell["table"][0])
+            if n < 2 or not len(left) or not len(right):
                 continue
-            units, nodes = _unit(np.frombuffer(b"".join(cell["vector"]), dtype=np.float64).reshape(len(left), -1)), cell["node"]
+            units = _unit(np.frombuffer(b"".join(cell["vector"]), dtype=kind).reshape(n, -1))
             i, j = np.nonzero(units[left] @ units[right].T >= threshold)
-            a, b = nodes[left][i], nodes[right][j]
-            held.update(zip(a[a < b].tolist(), b[a < b].tolist(), strict=True))
-            held.update(zip(b[b < a].tolist(), a[b < a].tolist(), strict=True))
-            if len(held) > 200_000:
-                yield _pairs(held)
-                held.clear()
-        if held:
-            yield _pairs(held)
+            a, b = left[i], right[j]
+            if len(left) == n and len(right) == n:  # a part with itself
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                fresh = ~_met_before(hashes.buckets(units)[:, :table], a, b)
+                a, b = a[fresh], b[fresh]
+            if not len(a):
+                continue
+            count = np.bincount(a, sizes[b], n) + np.bincount(b, sizes[a], n)
+            some, label = np.flatnonzero(count), _least_reached(n, a, b)
+            joined = np.flatnonzero(label != np.arange(n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[nodes[some], nodes[joined]]), pa.array([None] * len(some) + nodes[label[joined]].tolist(), pa.int64()),
+                 pa.array(np.r_[count[some], np.zeros(len(joined))].astype(np.int64))], ["a", "b", "n"])
     return run
 
 
-def _pairs(links: set[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(list(links), dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-
 def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Per row: key, n_links (other rows at cosine >= threshold), component_id and kept."""
     spark = vectors.sparkSession
@@ -125,20 +167,21 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         "id", "valid", F.when(F.col("valid"), F.xxhash64("vector")).alias("node"), "vector"), "vectors")
     classes = cut(spark, rows.where("valid").groupBy("node").agg(F.min("id").alias("rep"), F.count("node").alias("size"), F.any_value("vector").alias("vector")), "vector-classes")
     k, tables = plan(classes.count(), threshold)
-    hashed = cut(spark, classes.select("node", "vector").mapInArrow(_hash(k, tables), "bucket bigint, node bigint"), "vector-buckets")
+    kind = "f4" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "f8"
+    hashed = cut(spark, classes.select("node", "vector").mapInArrow(_hash(k, tables), "bucket bigint, table int, node bigint"), "vector-buckets")
     crowded = hashed.groupBy("bucket").agg(F.count("node").alias("n")).where("n > 1")
-    packed = classes.select("node", "vector").mapInArrow(_bytes, "node bigint, vector binary")
+    packed = classes.select("node", "size", "vector").mapInArrow(_bytes(kind), "node bigint, size bigint, vector binary")
     members = hashed.join(crowded, "bucket").join(packed, "node")
     # Block (i, j) of a bucket, i <= j, holds its parts i and j; a bucket of one part is one block.
     parts = F.ceil(F.col("n") / CELL).cast("int")
     members = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int"))
     blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", "vector",
+        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "table", "node", "size", "vector",
         (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"))
-    found = blocks.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(threshold), "a bigint, b bigint")
-    links = cut(spark, found.distinct(), "vector-links")
-    both = links.union(links.select("b", "a"))
-    beside = both.join(classes.select(F.col("node").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("beside"))
+    found = cut(spark, blocks.repartition("cell").sortWithinPartitions("cell").mapInArrow(
+        _links(threshold, k, tables, kind), "a bigint, b bigint, n bigint"), "vector-links")
+    beside = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("beside"))
+    links = found.where("b IS NOT NULL").select("a", "b")
     labels = components(links)
     named = (classes.select("node", "rep", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
              .join(beside.withColumnRenamed("a", "node"), "node", "left"))
