@@ -12,13 +12,13 @@ Dirichlet smoothing from the longest context to the single word:
 
 The filter grows with the corpus: no n-gram is left out. It consists of blocks by
 n-gram hash, as many as the number of training words asks for, each built by one task from
-the exact counts of its n-grams with `BITS_AN_ENTRY` bits an entry (a small corpus shares
-`FILTER_BITS`). An n-gram's hash has as many bits as tell the counted n-grams apart
+the exact counts of its n-grams with `BITS_AN_ENTRY` bits an entry (a small corpus shares `LEAST_BITS`). An n-gram's hash has as many bits as tell the counted n-grams apart
 (`SPARE_BITS` more than their number needs); sorted hashes travel as packed differences, one array per task and block.
-Up to `BROADCAST_BITS` the filter is broadcast whole. A larger one stays a table of
-blocks: every lot of texts (`LOT_BYTES`) asks each block for the levels of its distinct n-grams, the
-questions meet their block by its number, and the answers go back to the lot. Both ways give
-the same scores.
+A filter of bounded size (`HEAD_BITS`) holds the n-grams of the highest levels, from a level of `HEAD_LEVEL` on at least, and is
+broadcast; it answers most probes. An n-gram that it does not show at such a level is looked up in the blocks: every lot of texts
+(`LOT_BYTES`) asks each block for its distinct n-grams of that kind, the questions meet their
+block by its number, and the answers go back to the lot. This is the same at every size; a larger corpus raises
+the level from which the broadcast filter answers.
 
 The base score needs exact word counts: words of at least a count that
 `HEAD_WORDS` words reach travel with the job, the others of each text are joined by
@@ -51,11 +51,12 @@ ORDER = 2
 BASE = 1.5
 LEVELS = 64
 PARTS = 256
-FILTER_BITS = 1 << 28  # the least size, 32 MB
-BROADCAST_BITS = 1 << 29  # a larger filter is a table of blocks
+HEAD_BITS = 1 << 29  # the largest broadcast filter, 64 MB
+LEAST_BITS = 1 << 28  # of all blocks together, 32 MB; a fourth of it for the broadcast filter
+HEAD_LEVEL = 2
 PART_GRAMS = 1 << 22  # n-grams of the training texts, repeats included, for each block beyond the first PARTS
 PROBES = 3
-BITS_AN_ENTRY = 8
+BITS_AN_ENTRY = 10
 SMOOTHING = 5.0
 HEAD_WORDS = 200_000
 FLUSH = 400_000
@@ -183,29 +184,36 @@ def _read_levels(hashes: np.ndarray, bitmap: np.ndarray, start: np.ndarray, bits
     return out
 
 
-def _build(least: int, count: int, spare: int):
-    """A block's packed counts to its bitmap, of `least` bits or more; the rows of one part come one after the other."""
-    def block(part: int, pairs: list) -> tuple[int, bytes]:
+def _bitmap(hashes: np.ndarray, levels: np.ndarray, least: int) -> bytes:
+    bits = max(-(-BITS_AN_ENTRY * int(levels.sum()) // 64) * 64, least, 64)
+    odd = np.zeros(bits, dtype=bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for at in _slots(hashes[levels >= level], level, bits):
+            odd[at] = True
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+BLOCK = "part int, bitmap binary, head binary, head_levels binary, n bigint, levels array<bigint>"
+
+
+def _build(count: int, spare: int, least: int):
+    """A part's packed counts to its block: the bitmap, its n-grams of HEAD_LEVEL or more with their levels, and how
+    many n-grams have each level; the rows of one part come one after the other."""
+    def block(part: int, pairs: list) -> pa.RecordBatch:
         hashes, counts = _merge(pairs)
         levels = level_of(counts)
-        bits = max(-(-BITS_AN_ENTRY * int(levels.sum()) // 64) * 64, least)
-        odd = np.zeros(bits, dtype=bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for at in _slots(hashes[levels >= level], level, bits):
-                odd[at] = True
-        return part, np.packbits(odd, bitorder="little").tobytes()
+        head = levels >= HEAD_LEVEL
+        packed = pa.compress(levels[head].astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+        columns = [[part], [_bitmap(hashes, levels, least)], [_pack(hashes[head], part, count, spare)], [packed], [int(head.sum())], [np.bincount(levels, minlength=LEVELS + 1).tolist()]]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "bitmap", "head", "head_levels", "n", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pairs = None, []
-
-        def emit():
-            number, bitmap = block(part, pairs)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([8 * len(bitmap)], pa.int64()), pa.array([bitmap], pa.binary())],
-                                              ["part", "bits", "bitmap"])
         for batch in batches:
             for p, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if p != part and pairs:
-                    yield emit()
+                    yield block(part, pairs)
                     pairs = []
                 part = p
                 known = _unpack(hashes.as_buffer(), p, count, spare)
@@ -214,34 +222,49 @@ def _build(least: int, count: int, spare: int):
                 if len(pairs) > 64:
                     pairs = [_merge(pairs)]
         if pairs:
-            yield emit()
+            yield block(part, pairs)
+    return run
+
+
+def _heads(least: int, count: int, spare: int, bits: int):
+    """Blocks to the part of the broadcast filter that holds their n-grams of a level or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, out = batch.column(0).to_pylist(), []
+            for part, head, packed, n in zip(parts, batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                hashes = _unpack(head.as_buffer(), part, count, spare)
+                levels = np.frombuffer(pa.decompress(packed.as_buffer(), decompressed_size=n, codec="zstd"), dtype=np.uint8).astype(np.int64)
+                out.append(_bitmap(hashes[levels >= least], levels[levels >= least], bits))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "bitmap"])
     return run
 
 
 @dataclass
 class Model:
-    bitmap: np.ndarray | None  # the blocks one after the other; None where `blocks` holds them
-    start: np.ndarray   # first byte of each block
-    bits: np.ndarray    # bits of each block
+    bitmap: np.ndarray  # the broadcast filter, part by part
+    start: np.ndarray   # first byte of each part
+    bits: np.ndarray    # bits of each part
+    least: int          # the level from which it answers
     order: int
     tokens: int         # N
     distinct: int       # V
     spare: int          # cleared low bits of an n-gram's hash
     head: dict[bytes, int]
-    blocks: DataFrame | None = None  # (part, bits, bitmap) of a filter too large to broadcast
+    blocks: DataFrame | None = None  # (part, bitmap, ...) of the whole filter
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """What the broadcast filter shows; levels below `least` are for the blocks to say."""
         part = _part_of(hashes, len(self.bits))
         return _read_levels(hashes, self.bitmap, self.start[part], self.bits[part])
 
-    def log_probabilities(self, sequence: np.ndarray, first: np.ndarray, levels=None) -> np.ndarray:
-        """log10 probability of each text: its words and its end; `levels` are read from the filter where they aren't given."""
+    def log_probabilities(self, sequence: np.ndarray, first: np.ndarray, levels) -> np.ndarray:
+        """log10 probability of each text, its words and its end, from a function that gives the levels of n-grams."""
         total = self.tokens + self.distinct + 1
         probability, context = None, None
         for n in range(1, self.order + 1):
             hashes, whole = _grams(sequence, first, n, self.spare)
             distinct, back = np.unique(hashes, return_inverse=True)
-            counts = count_of((levels or self.levels)(distinct))[back]
+            counts = count_of(levels(distinct))[back]
             if n == 1:
                 probability = (counts + 1) / total
             else:
@@ -293,24 +316,27 @@ def fit_model(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> Model:
     parts = max(PARTS, 1 << (tokens * order // PART_GRAMS).bit_length())
     spare = max(0, 64 - (tokens * order + 1).bit_length() - SPARE_BITS)
     packed = texts.mapInArrow(_count_grams(order, parts, spare), "part int, hashes binary, counts binary")
-    blocks = cut(spark, packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
-        _build(max(FILTER_BITS // parts, 64), parts, spare), "part int, bits bigint, bitmap binary"), "filter-blocks")
-    sizes = {r["part"]: r["bits"] for r in blocks.select("part", "bits").collect()}
-    bits = np.array([sizes.get(p, 64) for p in range(parts)], dtype=np.int64)
-    start = np.cumsum(bits // 8) - bits // 8
-    bitmap = None
-    if bits.sum() <= BROADCAST_BITS:
-        bitmap, built = np.zeros(int(bits.sum()) // 8, dtype=np.uint8), blocks.toArrow()
-        for part, row in zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True):
-            bitmap[start[part]:start[part] + bits[part] // 8] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
-    return Model(bitmap, start, bits, order, tokens, totals["v"], spare, dict(zip(found["word"], found["c"], strict=True)), blocks if bitmap is None else None)
+    blocks = cut(spark, packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_build(parts, spare, LEAST_BITS // parts), BLOCK), "filter-blocks")
+    sizes = {r["level"]: r["n"] for r in blocks.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    bits, lowest = 0, LEVELS + 1
+    while lowest > HEAD_LEVEL and bits + BITS_AN_ENTRY * (lowest - 1) * sizes.get(lowest - 1, 0) <= HEAD_BITS:
+        lowest -= 1
+        bits += BITS_AN_ENTRY * lowest * sizes.get(lowest, 0)
+    built = blocks.select("part", "head", "head_levels", "n").mapInArrow(_heads(lowest, parts, spare, LEAST_BITS // 4 // parts), "part int, bitmap binary").toArrow()
+    held = dict(zip(built.column("part").to_pylist(), built.column("bitmap"), strict=True))
+    size = np.array([8 * len(held[p].as_buffer()) if p in held else 64 for p in range(parts)], dtype=np.int64)
+    start = np.cumsum(size // 8) - size // 8
+    bitmap = np.zeros(int(size.sum()) // 8, dtype=np.uint8)
+    for part, row in held.items():
+        bitmap[start[part]:start[part] + size[part] // 8] = np.frombuffer(row.as_buffer(), dtype=np.uint8)
+    return Model(bitmap, start, size, lowest, order, tokens, totals["v"], spare, dict(zip(found["word"], found["c"], strict=True)), blocks)
 
 
 def _scored_slice(scanner: WordScanner, logs: dict[bytes, float], kept: list, names: list[str], rows: np.ndarray,
                   data: np.ndarray, at: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     """The columns `kept` with row, n_tokens, known, base, score and rare of the texts in `data`."""
     folded = scanner.fold[data]
-    n, known, base, rest = [], [], [], []
+    n, known, base, words_of, times_of, ends = [], [], [], [], [], [0]
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         words = folded[a:b].tobytes().split()
         words.append(b"")
@@ -318,29 +344,17 @@ def _scored_slice(scanner: WordScanner, logs: dict[bytes, float], kept: list, na
         n.append(len(words))
         known.append(len(values))
         base.append(math.fsum(values))
-        rest.append(list(Counter(w for w in words if w not in logs).items()) if len(values) < len(words) else [])
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-    rare = pa.array([[{"word": w, "times": k} for w, k in r] for r in rest], kind)
+        if len(values) < len(words):
+            rest = Counter(w for w in words if w not in logs)
+            words_of.extend(rest)
+            times_of.extend(rest.values())
+        ends.append(len(words_of))
+    rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(words_of, pa.binary()), pa.array(times_of, pa.int64())], ["word", "times"]))
     return pa.RecordBatch.from_arrays([*kept, pa.array(rows), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                                        pa.array(base, pa.float64()), pa.array(score), rare], [*names, "row", "n_tokens", "known", "base", "score", "rare"])
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = WordScanner(SPACE_SEPARATORS, lower=True)
-        logs = {w: math.log10(c + 1) for w, c in model.head.items()}
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("_text"))
-            for lo, hi in row_slices(offsets):
-                kept = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                part, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-                yield _scored_slice(scanner, logs, kept, batch.schema.names[:-1], np.arange(row + lo, row + hi), part, at,
-                                    model.log_probabilities(*_sequences(part, at, scanner)))
-            row += batch.num_rows
-    return run
-
-
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a number and with that of the first row of their slice."""
     row = TaskContext.get().partitionId() << 40
@@ -363,9 +377,11 @@ def _lot(data: np.ndarray, offsets: np.ndarray, scanner: WordScanner, order: int
     return np.unique(np.concatenate([_distinct(*sequences, order, spare) for _, _, sequences in slices])), slices
 
 
-def _ask(order: int, count: int, spare: int):
-    """Dealt rows to (slice, lot, part, hashes): the distinct n-grams of each lot, which is the rows of a slice
-    that one batch holds, by block. A lot is named by its first row."""
+def _ask(model: Model):
+    """Dealt rows to (slice, lot, part, hashes): the distinct n-grams of each lot that the broadcast filter doesn't answer, by
+    block. A lot is the rows of a slice that one batch holds, named by its first row; it has one row at least."""
+    count, spare = len(model.bits), model.spare
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(SPACE_SEPARATORS, lower=True)
         for batch in batches:
@@ -375,9 +391,10 @@ def _ask(order: int, count: int, spare: int):
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
                     continue
-                hashes, _ = _lot(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner, order, spare)
+                hashes, _ = _lot(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner, model.order, spare)
+                hashes = hashes[model.levels(hashes) < model.least]
                 cuts = _cuts(hashes, count)
-                parts = [p for p in range(count) if cuts[p + 1] > cuts[p]]
+                parts = [p for p in range(count) if cuts[p + 1] > cuts[p]] or [0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(parts), slices[lo])), pa.array(np.full(len(parts), rows[lo])), pa.array(parts, pa.int32()),
                      pa.array([_pack(hashes[cuts[p]:cuts[p + 1]], p, count, spare) for p in parts], pa.binary())], ["slice", "lot", "part", "hashes"])
@@ -419,11 +436,12 @@ def _score_dealt(model: Model):
         for lot, lo, hi in zip(lots, edges[:-1], edges[1:], strict=True):
             data, at = text_buffer(left.column("_text").slice(lo, hi - lo))
             hashes, slices = _lot(data, at, scanner, model.order, model.spare)
-            found = np.frombuffer(b"".join(levels for _, levels in sorted(answers[lot])), dtype=np.uint8)
+            found = model.levels(hashes)
+            found[found < model.least] = np.frombuffer(b"".join(levels for _, levels in sorted(answers[lot])), dtype=np.uint8)
 
             def read(asked: np.ndarray, hashes=hashes, found=found) -> np.ndarray:
-                # n-grams across two texts were not asked for; nothing reads their counts.
-                return found[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)].astype(np.int64)
+                # n-grams across two texts are not among them; nothing reads their counts.
+                return found[np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)]
             for begin, end, sequences in slices:
                 kept = [left.column("_keep").slice(lo + begin, end - begin).combine_chunks()]
                 out.append(_scored_slice(scanner, logs, kept, ["_keep"], rows[lo + begin:lo + end], data[at[begin]:at[end]], at[begin:end + 1] - at[begin],
@@ -433,15 +451,15 @@ def _score_dealt(model: Model):
 
 
 def _score_by_blocks(asked: DataFrame, model: Model, schema: str) -> DataFrame:
-    kind, parts = asked.schema["_keep"].dataType.simpleString(), len(model.bits)
+    kind, parts, light = asked.schema["_keep"].dataType.simpleString(), len(model.bits), replace(model, blocks=None)
     dealt = cut(asked.sparkSession, asked.mapInArrow(_deal, f"_keep {kind}, _text string, row bigint, slice bigint"), "dealt")
-    asks = dealt.select("_text", "row", "slice").mapInArrow(_ask(model.order, parts, model.spare), "slice bigint, lot bigint, part int, hashes binary")
+    asks = dealt.select("_text", "row", "slice").mapInArrow(_ask(replace(light, head={})), "slice bigint, lot bigint, part int, hashes binary")
     none = F.lit(None).cast("long")
     questions = model.blocks.select("part", none.alias("slice"), none.alias("lot"), F.col("bitmap").alias("data")).union(
         asks.select("part", "slice", "lot", "hashes"))
     answers = questions.repartition(parts, "part").sortWithinPartitions("part", F.col("slice").asc_nulls_first()).mapInArrow(
         _answer(parts, model.spare), "slice bigint, lot bigint, part int, levels binary, n bigint")
-    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_dealt(replace(model, blocks=None)), schema)
+    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_dealt(light), schema)
 
 
 def score_texts(rows: DataFrame, model: Model, counts: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
@@ -449,7 +467,7 @@ def score_texts(rows: DataFrame, model: Model, counts: DataFrame, keep: list[Col
     asked = rows.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     kind = asked.schema["_keep"].dataType.simpleString()
     schema = f"_keep {kind}, row bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:binary,times:bigint>>"
-    scored = cut(rows.sparkSession, asked.mapInArrow(_score(model), schema) if model.blocks is None else _score_by_blocks(asked, model, schema), "scored")
+    scored = cut(rows.sparkSession, _score_by_blocks(asked, model, schema), "scored")
     rare = scored.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"))
     out = scored.select("_keep", "row", "n_tokens", "known", "base", "score").join(rare, "row", "left")
