@@ -6,16 +6,18 @@ scores. The best score up to a position depends on the `M` positions before it o
 algebra: entry (s, t) is the best score from "the first s characters belong to a piece
 of the chunk before" to "a piece reaches t characters into the next chunk".
 
-1. Texts fall into segments where no piece can cross: before each run of
-   spaces, as long as no piece of the vocabulary has a space after another character. Equal
-   segments are solved once and remembered up to a bound. Short segments are chunks of their own.
-2. Long segments (a giant text without spaces, say) are split into chunks of
-   `CHUNK` characters. All transfer matrices are computed side by side, and their running
-   products by an associative scan in log2(chunks) rounds.
-3. With the scores at its left boundary, each chunk fills in its own back
-   pointers, and for every possible overhang at its right boundary the entry
-   it comes from. These small maps are composed from the right, which fixes each chunk's exit.
-4. Every chunk is traced back on its own.
+1. Giant texts, of two or more chunks of `GIANT` characters, become rows (text, chunk). Tasks compute
+   the transfer matrix of each chunk; matrices are combined by bands of `BAND` chunks, bands of bands and so on, which gives
+   the scores at every chunk's left boundary.
+2. With these scores, each chunk fills in its own back pointers, and for every possible overhang at its right boundary the entry
+   it comes from. These small maps are composed from the right in the same bands, which fixes each chunk's exit.
+3. Every chunk is traced back on its own, in any task.
+4. Inside a chunk the same is done once more with parts of `CHUNK` characters, side by side in numpy arrays, by an associative scan
+   in log2(parts) rounds.
+
+A text below two such chunks is one chunk. Where no piece of the vocabulary has a space after another character it
+falls into segments before each run of spaces, which no piece crosses; short segments are solved
+by a plain search, once each, and remembered up to a bound; long ones as in 4.
 
 Among cuts of equal score the one whose last piece is longest wins, then the piece
 before it, and so on; chunks keep to this rule, so the result does not depend on them.
@@ -43,11 +45,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscalis.session import cut
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 LITERAL = 0x110000  # stands for U+2581 in the text itself; no vocabulary has it
 UNKNOWN = 10.0
 CHUNK = 512
+GIANT = 1 << 15  # characters of a chunk that is a row of its own
+BAND = 64        # chunks whose matrices or maps one task combines
 REMEMBER = 300_000
 BATCH_CHARS = 1 << 16
 NONE = -np.inf
@@ -274,56 +280,95 @@ def encode_short(segments: list[str], vocabulary: Vocabulary) -> list[tuple[byte
     return out
 
 
-def encode_long(segment: str, vocabulary: Vocabulary, chunk: int = CHUNK) -> tuple[bytes, float]:
-    """One long segment by transfer matrices of its chunks."""
-    longest, n = vocabulary.longest, len(segment)
-    chunk = max(chunk, longest)
-    count = max(1, n // chunk)  # the last chunk takes the rest, so none is shorter than a piece
-    starts = np.arange(count) * chunk
-    codes = code_points(segment)
-    scores, ids = piece_ends(codes, n - np.arange(n), vocabulary)
-    scores = np.concatenate([scores, np.full((chunk, longest), NONE)])
-    entries = _from_start(count, longest)
-    if count > 1:
-        # Transfer matrices of all chunks but the last: every entry state is a lane of its own.
-        each = max(1, BATCH_CHARS // (longest * longest))
-        matrices = np.empty((count - 1, longest, longest))
-        for lo in range(0, count - 1, each):
-            some = starts[lo:min(lo + each, count - 1)]
+class Chunk:
+    """A part of a text: `size` characters, and in `codes` up to `longest` - 1 more that its last pieces may reach.
+
+    Its own parts of `chunk` characters are worked on side by side.
+    """
+
+    def __init__(self, codes: np.ndarray, size: int, final: bool, vocabulary: Vocabulary, chunk: int = CHUNK):
+        self.vocabulary, self.final, self.longest = vocabulary, final, vocabulary.longest
+        self.chunk = max(chunk, self.longest)
+        count = max(1, size // self.chunk)  # the last part takes the rest, so none is shorter than a piece
+        self.starts, self.rest = np.arange(count) * self.chunk, size - (count - 1) * self.chunk
+        scores, self.ids = piece_ends(codes, len(codes) - np.arange(len(codes)), vocabulary)
+        self.scores = np.concatenate([scores, np.full((self.chunk + self.longest, self.longest), NONE)])
+        self.matrices = None
+
+    def _matrices(self) -> np.ndarray:
+        """The transfer matrices of all parts; every entry state is a lane of its own."""
+        if self.matrices is None:
+            longest, count = self.longest, len(self.starts)
             unit = np.full((longest, longest), NONE)
             np.fill_diagonal(unit, 0.0)
-            best, _ = forward(scores, np.repeat(some, longest), chunk, np.tile(unit, (len(some), 1)), over=True)
-            matrices[lo:lo + len(some)] = best[:, chunk:].reshape(len(some), longest, longest)
-        entries[1:] = running_products(matrices)[:, 0, :]
-    backs, comes = [], np.zeros((count, longest), dtype=np.int64)
-    each = max(1, BATCH_CHARS // chunk)
-    for lo in range(0, count - 1, each):
-        some = starts[lo:min(lo + each, count - 1)]
-        _, back = forward(scores, some, chunk, entries[lo:lo + len(some)], over=True)
-        backs.append(back)
-        # For every overhang at the right: the entry at the left that the best cut comes from.
-        at = np.tile(np.arange(chunk, chunk + longest), (len(some), 1))
-        rows = np.arange(len(some))[:, None]
+            self.matrices = np.empty((count, longest, longest))
+            each = max(1, BATCH_CHARS // (longest * longest))
+            for lo in range(0, count - 1, each):
+                some = self.starts[lo:min(lo + each, count - 1)]
+                best, _ = forward(self.scores, np.repeat(some, longest), self.chunk, np.tile(unit, (len(some), 1)), over=True)
+                self.matrices[lo:lo + len(some)] = best[:, self.chunk:].reshape(len(some), longest, longest)
+            if not self.final:
+                best, _ = forward(self.scores, np.repeat(self.starts[-1:], longest), self.rest, unit, over=True)
+                self.matrices[-1] = best[:, self.rest:]
+        return self.matrices
+
+    def matrix(self) -> np.ndarray:
+        """From the overhang at the left boundary to that at the right; not of a final chunk."""
+        return running_products(self._matrices())[-1]
+
+    def enter(self, entry: np.ndarray) -> np.ndarray:
+        """Fill in back pointers from the scores at the left boundary; returns for each overhang at the right the one at the left
+        that it comes from. A final chunk has the overhang 0 only, and its score in `score`."""
+        count = len(self.starts)
+        entries = np.empty((count, self.longest))
+        entries[0] = entry
+        if count > 1:
+            entries[1:] = (entry[None, :, None] + running_products(self._matrices()[:-1])).max(axis=1)
+        self.backs, self.comes = [], np.zeros((count, self.longest), dtype=np.int64)
+        each = max(1, BATCH_CHARS // self.chunk)
+        for lo in range(0, count - 1, each):
+            some = self.starts[lo:min(lo + each, count - 1)]
+            _, back = forward(self.scores, some, self.chunk, entries[lo:lo + len(some)], over=True)
+            self.backs.append(back)
+            self.comes[lo:lo + len(some)] = self._sources(back, self.chunk)
+        self.each = each
+        best, self.tail = forward(self.scores, self.starts[-1:], self.rest, entries[-1:], over=not self.final)
+        self.score = float(best[0, self.rest])
+        ends = self._sources(self.tail, self.rest, 1 if self.final else self.longest)[0]
+        self.comes[-1, :len(ends)] = ends
+        at = ends
+        for c in range(count - 2, -1, -1):
+            at = self.comes[c, at]
+        return at
+
+    def _sources(self, back: np.ndarray, size: int, overhangs: int | None = None) -> np.ndarray:
+        """For every overhang at the right: the entry at the left that the best cut comes from."""
+        at = np.tile(np.arange(size, size + (overhangs or self.longest)), (len(back), 1))
+        rows = np.arange(len(back))[:, None]
         while True:
             step = back[rows, at]
             if not step.any():
-                break
+                return at
             at = at - step
-        comes[lo:lo + len(some)] = at
-    rest = n - int(starts[-1])
-    best, tail = forward(scores, starts[-1:], rest, entries[-1:], over=False)
-    exits = np.zeros(count, dtype=np.int64)  # the overhang of each chunk
-    at = rest
-    while at > 0 and tail[0, at]:
-        at -= int(tail[0, at])
-    for c in range(count - 2, -1, -1):
-        exits[c] = at
-        at = int(comes[c, at])
-    out = []
-    for k, back in enumerate(backs):
-        mine = slice(k * each, k * each + len(back))
-        out += _traced(back, ids, starts[mine], chunk + exits[mine], vocabulary)
-    return b"".join(out + _traced(tail, ids, starts[-1:], np.array([rest]), vocabulary)), float(best[0, rest])
+
+    def trace(self, overhang: int = 0) -> bytes:
+        """The ids of the pieces that begin in the chunk, given the overhang at its right."""
+        exits = np.zeros(len(self.starts), dtype=np.int64)
+        exits[-1] = overhang
+        for c in range(len(exits) - 2, -1, -1):
+            exits[c] = self.comes[c + 1, exits[c + 1]]
+        out = []
+        for k, back in enumerate(self.backs):
+            mine = slice(k * self.each, k * self.each + len(back))
+            out += _traced(back, self.ids, self.starts[mine], self.chunk + exits[mine], self.vocabulary)
+        return b"".join(out + _traced(self.tail, self.ids, self.starts[-1:], self.rest + exits[-1:], self.vocabulary))
+
+
+def encode_long(segment: str, vocabulary: Vocabulary, chunk: int = CHUNK) -> tuple[bytes, float]:
+    """One long segment by transfer matrices of its chunks."""
+    whole = Chunk(code_points(segment), len(segment), True, vocabulary, chunk)
+    whole.enter(_from_start(1, vocabulary.longest)[0])
+    return whole.trace(), whole.score
 
 
 def encode(texts: list[str | None], vocabulary: Vocabulary, chunk: int = CHUNK) -> list[tuple[bytes, float]]:
@@ -371,26 +416,187 @@ def _encode(vocabulary: Vocabulary, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _runs(batches):
             found = encode(texts, vocabulary)
-            kept = batch.columns[:-1]
-            sizes = np.array([len(ids) // 4 for ids, _ in found])
             scores = pa.array([score for _, score in found])
             same = pa.array([decode(ids, vocabulary) == (t or "") for (ids, _), t in zip(found, texts, strict=True)])
-            if digest:
-                last = pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in found])
-            else:
-                flat = np.frombuffer(b"".join(ids for ids, _ in found), dtype=np.int32)
-                last = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), scores, same, last], [*batch.schema.names[:-1], "n_pieces", "score", "round_trip", "ids"])
+            yield _columns(batch.columns[:-1], batch.schema.names[:-1], [ids for ids, _ in found], scores, same, digest)
+    return run
+
+
+def _columns(kept: list, names: list[str], ids: list[bytes], scores: pa.Array, same: pa.Array, digest: bool) -> pa.RecordBatch:
+    sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+    if digest:
+        last = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+    else:
+        last = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+    return pa.RecordBatch.from_arrays([*kept, pa.array(sizes), scores, same, last], [*names, "n_pieces", "score", "round_trip", "ids"])
+
+
+# --- giant texts: chunks as rows ---------------------------------------------------
+
+PART = "number bigint, c bigint"
+
+
+def _split_giants(longest: int, giant: int):
+    """(number, text) to its chunks (number, c, final, size, part), a part with the characters that its last pieces may reach."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = " " + value.as_py()
+                count = max(1, len(text) // giant)  # the last takes the rest
+                for c in range(count):
+                    lo, hi = c * giant, (c + 1) * giant if c < count - 1 else len(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), pa.array([c]), pa.array([c == count - 1]), pa.array([hi - lo]), pa.array([text[lo:hi + longest - 1]])],
+                        ["number", "c", "final", "size", "part"])
+    return run
+
+
+def _each_row(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """`work` gives the values of (number, c, data, score) for a row's columns."""
+    for batch in batches:
+        out = [work(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["number", "c", "data", "score"])
+
+
+def _chunk_matrices(vocabulary: Vocabulary):
+    def work(number, c, size, part):
+        return number, c, Chunk(code_points(part), size, False, vocabulary).matrix().tobytes(), None
+    return lambda batches: _each_row(batches, work)
+
+
+def _chunk_sources(vocabulary: Vocabulary):
+    """Chunks with their entry to where each overhang at the right comes from, and the score of final ones."""
+    def work(number, c, final, size, part, entry):
+        chunk = Chunk(code_points(part), size, final, vocabulary)
+        comes = chunk.enter(np.frombuffer(entry))
+        return number, c, comes.astype(np.int64).tobytes(), chunk.score if final else None
+    return lambda batches: _each_row(batches, work)
+
+
+def _chunk_ids(vocabulary: Vocabulary):
+    def work(number, c, final, size, part, entry, overhang):
+        chunk = Chunk(code_points(part), size, final, vocabulary)
+        chunk.enter(np.frombuffer(entry))
+        return number, c, chunk.trace(int.from_bytes(overhang, "little")), None
+    return lambda batches: _each_row(batches, work)
+
+
+def _in_order(group: pa.Table) -> list[tuple[int, bytes]]:
+    return sorted(zip(group.column("c").to_pylist(), group.column("data").to_pylist(), strict=True))
+
+
+def _band_product(longest: int):
+    """The matrices of a band of chunks to their product."""
+    def run(group: pa.Table) -> pa.Table:
+        first = group.column("c")[0].as_py()
+        stack = np.stack([np.frombuffer(m).reshape(longest, longest) for _, m in _in_order(group)])
+        return _parts([(group.column("number")[0].as_py(), first // BAND, running_products(stack)[-1].tobytes())])
+    return run
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    return pa.table({"number": pa.array([r[0] for r in rows], pa.int64()), "c": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _band_entries(longest: int):
+    """The matrices of a band and the scores at its left boundary to those at the right boundary of each chunk."""
+    def run(group: pa.Table, known: pa.Table) -> pa.Table:
+        rows, entry = [], np.frombuffer(known.column("data")[0].as_py()) if len(known) else _from_start(1, longest)[0]
+        for c, matrix in _in_order(group) if len(group) else []:
+            entry = (entry[:, None] + np.frombuffer(matrix).reshape(longest, longest)).max(axis=0)
+            rows.append((group.column("number")[0].as_py(), c + 1, entry.tobytes()))
+        return _parts(rows)
+    return run
+
+
+def _entries(matrices: DataFrame, longest: int, most: int) -> DataFrame:
+    """(number, c, data): the scores at the left boundary of each chunk but the first, from products of bands of chunks,
+    of bands of bands, and so on: log(chunks) / log(BAND) rounds. `most` is the largest c."""
+    spark, kind = matrices.sparkSession, f"{PART}, data binary"
+    band = F.floor(F.col("c") / BAND).alias("band")
+    none = matrices.where("false")
+    if most >= BAND:
+        above = cut(spark, matrices.groupBy("number", band).applyInArrow(_band_product(longest), kind), "band-products")
+        known = _entries(above, longest, most // BAND).withColumnRenamed("c", "band")
+    else:
+        known = none.withColumnRenamed("c", "band")
+    return cut(spark, matrices.groupBy("number", band).cogroup(known.groupBy("number", "band")).applyInArrow(_band_entries(longest), kind), "entries")
+
+
+def _band_maps(group: pa.Table) -> pa.Table:
+    """The maps of a band of chunks to one, from the overhang at its right to that at its left."""
+    at = None
+    for c, comes in reversed(_in_order(group)):
+        at = np.frombuffer(comes, dtype=np.int64) if at is None else np.frombuffer(comes, dtype=np.int64)[at]
+    return _parts([(group.column("number")[0].as_py(), c // BAND, at.tobytes())])
+
+
+def _band_exits(group: pa.Table, known: pa.Table) -> pa.Table:
+    """The maps of a band and the overhang at its right to that at the right of each chunk."""
+    rows, at = [], int.from_bytes(known.column("data")[0].as_py(), "little") if len(known) else 0
+    for c, comes in reversed(_in_order(group)) if len(group) else []:
+        rows.append((group.column("number")[0].as_py(), c, at.to_bytes(8, "little")))
+        at = int(np.frombuffer(comes, dtype=np.int64)[at])
+    return _parts(rows)
+
+
+def _exits(sources: DataFrame, most: int) -> DataFrame:
+    """(number, c, data): the overhang at the right of each chunk, composed from the right in the same rounds. The last is 0."""
+    spark, kind = sources.sparkSession, f"{PART}, data binary"
+    band = F.floor(F.col("c") / BAND).alias("band")
+    if most >= BAND:
+        above = cut(spark, sources.groupBy("number", band).applyInArrow(_band_maps, kind), "band-maps")
+        known = _exits(above, most // BAND).withColumnRenamed("c", "band")
+    else:
+        known = sources.where("false").withColumnRenamed("c", "band")
+    return cut(spark, sources.groupBy("number", band).cogroup(known.groupBy("number", "band")).applyInArrow(_band_exits, kind), "exits")
+
+
+def _encode_giants(giants: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(number, ids, score) of (number, text), every chunk worked on in a task of its own choice."""
+    spark, longest, kind = giants.sparkSession, vocabulary.longest, f"{PART}, data binary, score double"
+    chunks = cut(spark, giants.mapInArrow(_split_giants(longest, GIANT), f"{PART}, final boolean, size bigint, part string").repartition("number", "c"), "chunks")
+    most = chunks.agg(F.max("c")).first()[0] or 0
+    matrices = cut(spark, chunks.where("NOT final").select("number", "c", "size", "part").mapInArrow(_chunk_matrices(vocabulary), kind).drop("score"), "matrices")
+    start = F.lit(_from_start(1, longest)[0].tobytes())
+    entered = cut(spark, chunks.join(_entries(matrices, longest, most).withColumnRenamed("data", "entry"), ["number", "c"], "left").select(
+        "number", "c", "final", "size", "part", F.coalesce("entry", start).alias("entry")), "entered")
+    sources = cut(spark, entered.mapInArrow(_chunk_sources(vocabulary), kind), "sources")
+    exits = _exits(sources.drop("score"), most)
+    traced = entered.join(exits.withColumnRenamed("data", "overhang"), ["number", "c"])
+    ids = traced.select("number", "c", "final", "size", "part", "entry", "overhang").mapInArrow(_chunk_ids(vocabulary), kind)
+    whole = ids.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "data"))), lambda x: x["data"]).alias("ids"))
+    return whole.join(sources.where(F.col("score").isNotNull()).select("number", "score"), "number")
+
+
+def _finish(digest: bool, vocabulary: Vocabulary):
+    """(kept columns, text, ids of its chunks, score) to the encoder's columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, parts, score = batch.columns[-3:]
+            joined = [b"".join(p) for p in parts.to_pylist()]
+            same = pa.array([decode(ids, vocabulary) == t for ids, t in zip(joined, text.to_pylist(), strict=True)], pa.bool_())
+            yield _columns(batch.columns[:-3], batch.schema.names[:-3], joined, score, same, digest)
     return run
 
 
 def encode_texts(rows: DataFrame, vocabulary: Vocabulary, keep: list[Column], text: str = "text", digest: bool = False) -> DataFrame:
     """`keep` columns with n_pieces, score, round_trip (decoding gives the text back) and
-    ids; with `digest`, ids is the SHA-256 of the ids as little-endian 32-bit integers."""
+    ids; with `digest`, ids is the SHA-256 of the ids as little-endian 32-bit integers.
+    Texts of two chunks or more (`GIANT` characters each) are spread over tasks."""
+    spark = rows.sparkSession
     asked = rows.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[:-1])
-    kind = "string" if digest else "array<int>"
-    return asked.mapInArrow(_encode(vocabulary, digest), f"{fields}, n_pieces bigint, score double, round_trip boolean, ids {kind}")
+    schema = f"{fields}, n_pieces bigint, score double, round_trip boolean, ids {'string' if digest else 'array<int>'}"
+    long_ = F.coalesce(F.char_length("_text") + 1 >= 2 * GIANT, F.lit(False))
+    short = asked.where(~long_).mapInArrow(_encode(vocabulary, digest), schema)
+    kept = [F.col(f"`{f.name}`") for f in asked.schema.fields[:-1]]
+    giants = cut(spark, asked.where(long_).select(F.struct(*kept).alias("keep"), F.col("_text").alias("text"), F.monotonically_increasing_id().alias("number")), "giants")
+    if giants.isEmpty():
+        return short
+    found = _encode_giants(giants.select("number", "text"), vocabulary).select("number", "ids", "score")
+    return short.unionByName(giants.join(found, "number").select("keep.*", "text", "ids", "score").mapInArrow(_finish(digest, vocabulary), schema))
 
 
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary, keep: list[Column], ids: str = "ids") -> DataFrame:

@@ -94,3 +94,24 @@ def test_rows(spark, model):
     digest = q.encode_texts(df, vocabulary, [F.col("doc_id")], digest=True).collect()
     assert digest[3]["ids"] == digest[4]["ids"] and len(digest[0]["ids"]) == 64
     assert q.encode_texts(df.where("false"), vocabulary, [F.col("doc_id")]).count() == 0
+
+
+@pytest.mark.parametrize("giant,band", [(40, 2), (100, 3), (700, 64)])
+def test_giant_texts_over_many_tasks(spark, model, monkeypatch, giant, band):
+    """Chunks as rows, in tasks of their own, against the plain search."""
+    vocabulary, pieces = model
+    monkeypatch.setattr(q, "GIANT", giant)
+    monkeypatch.setattr(q, "BAND", band)
+    rng = random.Random(giant)
+    texts = ["".join(rng.choices(PARTS, k=n)) for n in (5, 60, 300, 900, 1500)] + ["the cat in the hat " * 60, "x" * 800, None, "a" * (2 * giant - 1), "a" * (2 * giant - 2)]
+    texts += [texts[2], texts[2]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 AS number", "2 AS c", "'x' AS part", "'y' AS keep")
+    got = {r.doc_id: r for r in q.encode_texts(df.repartition(3), vocabulary, [F.col("doc_id"), F.col("number"), F.col("keep")]).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = plain(t, pieces, vocabulary) if t else ([], 0.0)
+        assert got[i]["ids"] == want[0] and got[i].score == pytest.approx(want[1], rel=1e-12) and got[i].round_trip and got[i].n_pieces == len(want[0]), i
+    digest = {r.doc_id: r.ids for r in q.encode_texts(df, vocabulary, [F.col("doc_id")], digest=True).collect()}
+    assert digest[2] == digest[10] == digest[11] == __import__("hashlib").sha256(np.array(got[2]["ids"], dtype=np.int32).tobytes()).hexdigest()
+    chunks = q._encode_giants(df.where("text IS NOT NULL AND length(text) > 200").select(F.col("doc_id").alias("number"), "text"), vocabulary)
+    assert chunks.selectExpr("max(size(ids))").first()[0] > 1
