@@ -9,9 +9,8 @@ step and joined to chunks, and at most `ROWS` steps are in memory at once.
 
 The network is fitted on the driver by Adam with fixed seeds, on a bounded
 sample: about `FIT_ROWS` labelled rows of each label, picked by the hash of their key (all
-where there are fewer), of each at most `FIT_CHUNKS` chunks of its text, taken at even
-distances. Rows are weighted back to the share of the labels among all labelled rows.
-Scoring reads whole texts.
+where there are fewer). Their texts are read whole, as in scoring; each is fetched once and
+its activations are computed `ROWS` steps at a time. Rows are weighted back to the share of the labels among all labelled rows.
 
 Results for odd input: NULL and empty texts are one chunk without activations and get the
 score of such; rows with a NULL label teach nothing; without labelled rows every
@@ -32,7 +31,7 @@ from .common import row_slices, text_buffer
 
 FILTERS, WIDTH, STEP = 24, 6, 256
 ROWS = 128
-FIT_ROWS, FIT_CHUNKS = 700, 12
+FIT_ROWS = 700
 UPDATES, BATCH, RATE = 600, 32, 0.02
 THRESHOLD = 0.3
 PAD = 0
@@ -93,20 +92,6 @@ def _score(net: Network | None, fallback: float):
     return run
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, size, chunks): bytes of up to FIT_CHUNKS chunks, each of two steps."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
-        out = []
-        for r in range(batch.num_rows):
-            steps = _steps(data, offsets[r], offsets[r + 1])
-            pairs = max(1, len(steps) - 1)
-            first = np.unique(np.linspace(0, pairs - 1, min(FIT_CHUNKS, pairs)).astype(int))
-            chunks = np.concatenate([steps[first], steps[np.minimum(first + 1, len(steps) - 1)]], axis=1)
-            out.append(chunks.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(out, pa.binary())], ["label", "size", "chunks"])
-
-
 class _Adam:
     def __init__(self, shape):
         self.m, self.v, self.t = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32), 0
@@ -118,55 +103,67 @@ class _Adam:
         return rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
-def _train(chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Network:
-    """chunks: per text an array of chunks x 2 x (STEP + WIDTH - 1) bytes."""
+def _convolved(x: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Largest activation of each filter in each step, before the bias, and where it stands."""
+    value, place = np.empty((len(x), FILTERS), dtype=np.float32), np.empty((len(x), FILTERS), dtype=np.int64)
+    for lo in range(0, len(x), ROWS):
+        part = x[lo:lo + ROWS]
+        total = np.take(net.filters[0], part[:, :STEP], axis=0)
+        for i in range(1, WIDTH):
+            total += np.take(net.filters[i], part[:, i:i + STEP], axis=0)
+        place[lo:lo + ROWS] = total.argmax(axis=1)
+        value[lo:lo + ROWS] = np.take_along_axis(total, place[lo:lo + ROWS][:, None, :], axis=1)[:, 0]
+    return value, place
+
+
+def _loss_gradient(net: Network, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients of the weighted mean log loss of some texts by filters, bias, weights and offset."""
+    steps = [_steps(t, 0, len(t)) for t in texts]
+    x, n = np.concatenate(steps), np.array([len(s) for s in steps])
+    value, place = _convolved(x, net)
+    # A chunk is two neighbouring steps of a text, or its only step.
+    first_step, pairs = np.cumsum(n) - n, np.maximum(n - 1, 1)
+    owner, first = np.repeat(np.arange(len(texts)), pairs), np.cumsum(pairs) - pairs
+    left = np.arange(len(owner)) - first[owner] + first_step[owner]
+    right = np.minimum(left + 1, (first_step + n - 1)[owner])
+    later = value[right] > value[left]
+    best, source = np.where(later, value[right], value[left]), np.where(later, right[:, None], left[:, None])
+    live = best + net.bias > 0
+    h = np.where(live, best + net.bias, 0)
+    counts = pairs[:, None]
+    top, low = np.maximum.reduceat(h, first, axis=0), np.minimum.reduceat(h, first, axis=0)
+    full = np.minimum(1.0, np.array([len(t) for t in texts]) / (2 * STEP))
+    pooled = np.concatenate([top, np.add.reduceat(h, first, axis=0) / counts, low, full[:, None]], axis=1)
+    error = (weight * (_sigmoid(pooled @ net.weights + net.offset) - labels) / len(texts)).astype(np.float32)
+    back = error[:, None] * net.weights[None]
+    to_top, to_mean, to_low = (back[:, k * FILTERS:(k + 1) * FILTERS] for k in range(3))
+
+    def share(pool):
+        same = h == pool[owner]
+        return same / np.add.reduceat(same, first, axis=0, dtype=np.float32)[owner]
+    toward = to_top[owner] * share(top) + (to_mean / counts)[owner] + to_low[owner] * share(low)
+    toward = np.where(live, toward, 0).astype(np.float32)
+    gradient = np.zeros_like(net.filters)
+    column = np.broadcast_to(np.arange(FILTERS), source.shape)
+    at = place[source, column]
+    for i in range(WIDTH):
+        np.add.at(gradient[i], (x[source, at + i], column), toward)
+    return gradient, toward.sum(axis=0), error @ pooled, error.sum()
+
+
+def _train(texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> Network:
     draw = np.random.RandomState(17)
     net = Network((0.3 * draw.standard_normal((WIDTH, 256, FILTERS))).astype(np.float32), np.zeros(FILTERS, dtype=np.float32),
                   (0.05 * draw.standard_normal(3 * FILTERS + 1)).astype(np.float32), 0.0)
     optimisers = [_Adam(net.filters.shape), _Adam(net.bias.shape), _Adam(net.weights.shape), _Adam(())]
-    full = np.minimum(1.0, sizes / (2 * STEP))
     order: list[int] = []
     for update in range(UPDATES):
         if not order:
-            order = draw.permutation(len(chunks)).tolist()
-        rows, order = np.array(order[:BATCH]), order[BATCH:]
+            order = draw.permutation(len(texts)).tolist()
+        rows, order = order[:BATCH], order[BATCH:]
+        filters, bias, weights, offset = _loss_gradient(net, [texts[r] for r in rows], labels[rows], weight[rows])
         rate = RATE * (1 - update / UPDATES)
-        x = np.concatenate([chunks[r] for r in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(chunks[r]) for r in rows])
-        first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-        best = np.full((len(x), FILTERS), -np.inf, dtype=np.float32)
-        where = np.zeros((len(x), FILTERS), dtype=np.int64)
-        for half in (0, 1):
-            for lo in range(0, len(x), ROWS):
-                part = x[lo:lo + ROWS, half]
-                total = np.take(net.filters[0], part[:, :STEP], axis=0)
-                for i in range(1, WIDTH):
-                    total += np.take(net.filters[i], part[:, i:i + STEP], axis=0)
-                place = total.argmax(axis=1)
-                value = np.take_along_axis(total, place[:, None, :], axis=1)[:, 0]
-                better = value > best[lo:lo + ROWS]
-                best[lo:lo + ROWS][better] = value[better]
-                where[lo:lo + ROWS][better] = (place + half * (STEP + WIDTH - 1))[better]
-        live = best + net.bias > 0
-        h = np.where(live, best + net.bias, 0)
-        counts = np.diff(np.r_[first, len(x)])[:, None]
-        top, low = np.maximum.reduceat(h, first, axis=0), np.minimum.reduceat(h, first, axis=0)
-        pooled = np.concatenate([top, np.add.reduceat(h, first, axis=0) / counts, low, full[rows][:, None]], axis=1)
-        error = (weight[rows] * (_sigmoid(pooled @ net.weights + net.offset) - labels[rows]) / len(rows)).astype(np.float32)
-        back = error[:, None] * net.weights[None]
-        to_top, to_mean, to_low = (back[:, k * FILTERS:(k + 1) * FILTERS] for k in range(3))
-
-        def share(pool):
-            same = h == pool[owner]
-            return same / np.add.reduceat(same, first, axis=0, dtype=np.float32)[owner]
-        toward = to_top[owner] * share(top) + (to_mean / counts)[owner] + to_low[owner] * share(low)
-        toward = np.where(live, toward, 0).astype(np.float32)
-        gradient = np.zeros_like(net.filters)
-        flat = x.reshape(len(x), -1)
-        column = np.broadcast_to(np.arange(FILTERS), where.shape)
-        for i in range(WIDTH):
-            np.add.at(gradient[i], (np.take_along_axis(flat, where + i, axis=1), column), toward)
-        changes = [o.step(g, rate) for o, g in zip(optimisers, (gradient, toward.sum(axis=0), error @ pooled + 1e-4 * net.weights, error.sum()), strict=True)]
+        changes = [o.step(g, rate) for o, g in zip(optimisers, (filters, bias, weights + 1e-4 * net.weights, offset), strict=True)]
         net.filters -= changes[0]
         net.bias -= changes[1]
         net.weights -= changes[2]
@@ -190,15 +187,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str, label: str = "qual
     share = F.when(F.col("label") == 0, FIT_ROWS / totals[0]).otherwise(FIT_ROWS / totals[1])
     picked = known.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 40)) < share * float(1 << 40))
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("label", "text")
-    found = picked.mapInArrow(_sample, "label int, size bigint, chunks binary").toArrow()
-    chunks = [np.frombuffer(c.as_py(), dtype=np.uint8).reshape(-1, 2, STEP + WIDTH - 1) for c in found.column("chunks")]
-    labels, sizes = found.column("label").to_numpy(), found.column("size").to_numpy()
+    found = picked.toArrow()
+    texts = [np.frombuffer((t.as_py() or "").encode(), dtype=np.uint8) for t in found.column("text")]
+    labels = found.column("label").to_numpy()
     if len(set(labels.tolist())) < 2:
         return Quality(None, float(max(labels.tolist(), default=1)))
     weight = np.zeros(len(labels))
     for value in (0, 1):
         weight[labels == value] = totals[value] / sum(totals.values()) * len(labels) / (labels == value).sum()
-    return Quality(_train(chunks, sizes, labels, weight), 1.0)
+    return Quality(_train(texts, labels, weight), 1.0)
 
 
 def score_quality(rows: DataFrame, model: Quality, keep: list[Column], text: str = "text") -> DataFrame:
