@@ -4,6 +4,7 @@ import re
 
 import pytest
 from compare import connect
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("fiscalis.llm")
@@ -105,7 +106,7 @@ def test_encoding(spark, steps):
 def test_registered():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted({n.split("_")[0] for n in names}) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted({n.split("_")[0] for n in names}) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
 
 
 def test_empty_documents(spark):
@@ -130,3 +131,15 @@ def test_decisions_are_by_row(spark):
     assert left == [(1, near[0]), (2, "a row of its own"), (None, "alone"), (None, None)]
     left = ids_and_texts(corpus_pipeline.near_duplicate, [(4, near[0]), (4, near[1]), (4, near[2]), (5, near[3])])
     assert len(left) == 1 and left[0][0] == 4
+
+
+def test_columns_of_any_name_pass_unchanged(spark):
+    names = ["_number", "number", "row", "_row", "_key", "key", "secret_spans", "_scan", "_base", "content", "hits", "score", "a.b", "bin"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        got = after.collect()
+        assert got and all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
