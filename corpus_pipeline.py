@@ -1,7 +1,8 @@
 """Training-data pipeline: five stages over `documents`, each written and read again.
 
 Every stage works on all rows that the one before kept. All but the last return
-the columns of their input; rows and other columns pass unchanged:
+the columns of their input; rows and other columns pass unchanged, whatever they are called: a row travels
+as one value beside the columns that a stage works on. The stages:
 
 1. quality: rows that the classifier rejects go; it is fitted on the labels of `labels`.
 2. near-duplicates: of each group of near-duplicates one row with the smallest doc_id stays
@@ -9,6 +10,11 @@ the columns of their input; rows and other columns pass unchanged:
 3. decontamination: rows with a passage of `benchmark` go.
 4. secrets: found spans are replaced by `[secret]` in the text, and n_chars follows.
 5. encoding: the texts as SentencePiece ids, with the check that decoding gives the text back.
+
+Results for odd input: NULL and empty texts are judged by the classifier as texts without patterns, are no
+copies of anything, hold no passage and no secret, and encode to no ids; a NULL text stays NULL, and so does
+its n_chars if there is nothing to count; very long texts are read whole; repeated rows are near-duplicates of each other, so one stays; rows
+with equal or NULL doc_id are judged one by one; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -29,44 +35,45 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def _row(columns: list[str]) -> F.Column:
-    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
 
 
 def _rows(picked: DataFrame) -> DataFrame:
-    return picked.select("_row.*")
+    return picked.select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"), "doc_id")
-    scored = score_quality(docs.select(_row(docs.columns), "text"), model, [F.col("_row")])
+    scored = score_quality(docs.select(_row(docs.columns), "text"), model, [F.col("row")])
     return _rows(scored.where("predicted = 1"))
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with a written number of each row, by which decisions come back: doc_id may repeat or be NULL."""
-    return cut(spark, docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    """(row, number): each row with a written number, by which decisions come back: doc_id may repeat or be NULL."""
+    return cut(spark, docs.select(_row(docs.columns), F.monotonically_increasing_id().alias("number")), "numbered")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without words link with nothing and stay."""
-    numbered = _numbered(spark, docs)
+    numbered, key = _numbered(spark, docs), F.col("row.doc_id")
     # Smallest id first, NULL last; rows under one id by their content, equal rows by their number.
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_number").alias("_key")
-    judged = near_duplicates(numbered.select(key, "text", "_number"), key="_key", words=SHINGLE_WORDS, percent=SIMILARITY, row="_number")
-    gone = judged.where(~F.col("kept")).select("_key._number")
-    return numbered.join(gone, "_number", "left_anti").select(docs.columns)
+    order = F.struct(key.isNull().alias("unnamed"), key.alias("id"), F.xxhash64("row").alias("content"), "number").alias("key")
+    judged = near_duplicates(numbered.select(order, F.col("row.text").alias("text"), "number"), key="key", words=SHINGLE_WORDS, percent=SIMILARITY, row="number")
+    gone = judged.where(~F.col("kept")).select("key.number")
+    return _rows(numbered.join(gone, "number", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = _numbered(spark, docs)
-    judged = contaminated_words(numbered.select("_number", "text"), table(spark, sf_dir, "benchmark"), key="_number", nameless=True)
-    gone = judged.where(F.size("hits") > 0).select("_number")
-    return numbered.join(gone, "_number", "left_anti").select(docs.columns)
+    judged = contaminated_words(numbered.select("number", F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), key="number", nameless=True)
+    gone = judged.where(F.size("hits") > 0).select("number")
+    return _rows(numbered.join(gone, "number", "left_anti"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = redact(find_secrets(docs))
-    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    found = redact(find_secrets(docs.select(_row(docs.columns), "text")))
+    fresh = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
