@@ -105,6 +105,11 @@ def format_code(media: Column) -> Column:
         F.coalesce(lookup(ref.MEDIA_FORMATS, text), F.upper(F.substring_index(text, "/", -1))))
 
 
+def format_text(value: Column, label: Column) -> Column:
+    """What names the format where the catalogue gives an object: its value, else its label."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.nullif(label, F.lit("")))
+
+
 def fetchable(distributions: DataFrame) -> DataFrame:
     """Distributions of a supported format with a url to fetch."""
     url = F.coalesce(F.nullif(F.col("access_url"), F.lit("")), F.nullif(F.col("download_url"), F.lit("")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fiscalis import reference_data as ref
 from fiscalis.operators import ensembles
 from fiscalis.operators.histogram_trees import Rules
-from fiscalis.operators.linear import fit_linear, linear_value
+from fiscalis.operators.linear import fit_linear, linear_value, normal_equations
 from fiscalis.operators.ranking import group_medians
 
 NUMERIC = ["PRE", "CRE", "ratio_cre_pre", "obr_lag_1", "obr_lag_2", "obr_lag_3", "obr_lag_4", "anio"]
@@ -105,6 +105,13 @@ def target(log: bool):
 
 # --- learners -----------------------------------------------------------------
 
+def linear_equations(design: DataFrame, alpha: float, log: bool = False) -> DataFrame:
+    """What is left of the normal equations of a linear model per region, over its train rows."""
+    rows = design.where(~F.col("is_test")).withColumn("_target", target(log))
+    fit = fit_linear(rows, "ccaa_slug", PREPARED, FLAGS, "_target", alpha)
+    return normal_equations(rows, fit, "ccaa_slug", PREPARED, FLAGS, "_target", alpha)
+
+
 def fit_credit(rows: DataFrame, medians: DataFrame) -> DataFrame:
     """Stored weights of a straight line per region from the credit to the amount, over train rows.
     Where credit and budget are missing the train median stands in, kept as `credito_ausente`."""

@@ -145,3 +145,23 @@ def linear_value(columns: list[str]) -> Column:
     for i, c in enumerate(columns):
         total = total + F.get("weights", F.lit(i)) * F.col(c)
     return total
+
+
+def normal_equations(rows: DataFrame, fit: DataFrame, key: str, numeric: list[str], flags: list[str], target: str, alpha: float) -> DataFrame:
+    """(key, columna, residuo): what is left of each normal equation of a fit, as a share of the sizes of its column and
+    target. Zero for a least-squares fit, whatever the rows; the intercept has an equation too."""
+    columns = [*numeric, *flags]
+    left = rows.join(fit, key).withColumn("_r", F.col(target) - linear_value(columns))
+    n = F.count(F.lit(1))
+    sums = left.groupBy(key).agg(
+        n.alias("_n"), F.avg("_r").alias("_mean"), F.var_pop(target).alias("_vy"), F.max("weights").alias("weights"),
+        *[F.var_pop(c).alias(f"_v{i}") for i, c in enumerate(columns)], *[F.covar_pop(c, "_r").alias(f"_c{i}") for i, c in enumerate(columns)])
+
+    def share(i: int):
+        spread = F.sqrt(f"_v{i}")
+        scale = F.when(spread > 1e-12, spread).otherwise(F.lit(1.0)) if i < len(numeric) else F.lit(1.0)
+        rest = F.col("_n") * F.col(f"_c{i}") / scale - alpha * F.get("weights", F.lit(i)) * scale
+        return F.coalesce(rest / F.nullif(F.col("_n") * F.sqrt(F.col("_vy")) * spread / scale, F.lit(0.0)), F.lit(0.0))
+    parts = [F.struct(F.lit("").alias("columna"), F.coalesce(F.col("_mean") / F.nullif(F.sqrt("_vy"), F.lit(0.0)), F.lit(0.0)).alias("residuo"))]
+    parts += [F.struct(F.lit(c).alias("columna"), share(i).alias("residuo")) for i, c in enumerate(columns)]
+    return sums.select(key, F.inline(F.array(*parts)))

@@ -4,8 +4,10 @@ A group (one region, or the whole table) may hold a large share of all rows, so
 a plain window or `percentile` over it would sort or hash it in one task. Here
 equal values are counted first (map-side combine), every value gets a slot - an
 order-preserving function of the value alone - and only slots are ordered per
-group: the slot table is small by construction, whatever the data. The rows of
-one slot are ordered in their own task.
+group: the slot table is small by construction, whatever the data. A slot of more than
+`SLOT_ROWS` rows is cut further into `SUB_SLOTS`, again by the value alone, whose
+running sums start from their slot's. The rows of one slot, or of one part of a crowded
+one, are ordered in their own task.
 
 Groups with a NULL key are left out. That is said on the counts themselves, so
 that the two uses of the counts have one plan and Spark computes them once.
@@ -19,14 +21,52 @@ from pyspark.sql import functions as F
 # Slots per doubling of the value. Amounts up to 1e14 take under 15,000 slots a
 # sign, which bounds the per-group slot table.
 SLOTS_PER_DOUBLING = 256
+SLOT_ROWS = 100_000
+SUB_SLOTS = 1 << 16  # parts of a crowded slot: 4e-8 of the value wide
+
+
+def _height(value: Column) -> Column:
+    return F.log2(F.lit(1.0) + F.abs(value) * 1000.0) * SLOTS_PER_DOUBLING
 
 
 def slot(value: Column) -> Column:
     """Order-preserving, data-independent slot number of a value (never NULL)."""
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(value) * 1000.0) * SLOTS_PER_DOUBLING).cast("int")
+    size = F.floor(_height(value)).cast("int")
     return F.coalesce(F.when(value < 0, -size).otherwise(size), F.lit(0))
 
 
+def sub_slot(value: Column) -> Column:
+    """Order-preserving part of its slot that a value stands in. Slot 0 holds both signs."""
+    height = _height(value)
+    part = F.floor((height - F.floor(height)) * SUB_SLOTS).cast("int")
+    return F.coalesce(F.when(value < 0, -part).otherwise(part), F.lit(0))
+
+
+def running_sums(rows: DataFrame, keys: list[str], value: str, measures: list[str], ties: list | None = None) -> DataFrame:
+    """Rows with `_run_<m>`, the sum of each measure up to and with the row in the order of the value (and
+    `ties`) within the group, and `_total_<m>`, the group's sum."""
+    here = [*keys, "_slot"]
+    rows = rows.withColumn("_slot", slot(F.col(value)))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy(*here).agg(F.count(F.lit(1)).alias("_size"), *[F.sum(m).alias(f"_s_{m}") for m in measures]).select(
+        *here, "_size", *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
+        *[F.sum(f"_s_{m}").over(Window.partitionBy(*keys)).alias(f"_total_{m}") for m in measures])
+    return _run(rows.join(slots, here), here, value, measures, ties)
+
+
+def _run(placed: DataFrame, here: list[str], value: str, measures: list[str], ties: list | None = None) -> DataFrame:
+    """Rows that know their slot's size and start (`_size`, `_before_<m>`), with `_run_<m>`."""
+    crowded = F.col("_size") > SLOT_ROWS
+    placed = placed.withColumn("_sub", F.when(crowded, sub_slot(F.col(value))).otherwise(F.lit(0)))
+    part, earlier = [*here, "_sub"], Window.partitionBy(*here).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = placed.where(crowded).groupBy(*part).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures]).select(
+        *part, *[F.coalesce(F.sum(f"_s_{m}").over(earlier), F.lit(0)).alias(f"_skipped_{m}") for m in measures])
+    inside = Window.partitionBy(*part).orderBy(value, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
+    whole = placed.join(skipped, part, "left")
+    return whole.withColumns({f"_run_{m}": F.col(f"_before_{m}") + F.coalesce(f"_skipped_{m}", F.lit(0)) + F.sum(m).over(inside) for m in measures}).drop(
+        "_slot", "_sub", "_size", *[f"_{kind}_{m}" for kind in ("before", "skipped") for m in measures])
+
+
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     for key in keys:
         df = df.where(F.col(key).isNotNull())
@@ -42,37 +82,10 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def _slots(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """(keys, _slot, _before, _rows, total) per occupied slot."""
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.groupBy(*keys, "_slot").agg(F.sum(weight).alias("_rows"))
-        .select(
-            *keys, "_slot", "_rows",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-            F.sum("_rows").over(group).alias("total"),
-        )
-    )
-
-
-def _place(counts: DataFrame, slots: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Add `below`: rows of the group with a smaller value."""
-    inside = (
-        Window.partitionBy(*keys, "_slot").orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        counts.join(slots, [*keys, "_slot"])
-        .withColumn("below", F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .drop("_slot", "_before", "_rows")
-    )
-
-
 def positions(counts: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
-    """Counts with `below` and `total`; `counts` holds one row per (keys, value)."""
-    counts = _keyed(counts, keys).withColumn("_slot", slot(F.col("value")))
-    return _place(counts, _slots(counts, keys, weight), keys, weight)
+    """Counts with `below`, the rows of the group with a smaller value, and `total`; `counts` holds one row per (keys, value)."""
+    placed = running_sums(_keyed(counts, keys), keys, "value", [weight])
+    return placed.withColumn("below", F.col(f"_run_{weight}") - F.col(weight)).withColumnRenamed(f"_total_{weight}", "total").drop(f"_run_{weight}")
 
 
 def mid_ranks(counts: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
@@ -87,6 +100,8 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     Only the slots that hold a wanted position are sorted.
     """
     counts = value_counts(df, keys, value).withColumn("_slot", slot(F.col("value")))
+    here = [*keys, "_slot"]
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
 
     def at(p: float) -> Column:
         return F.lit(float(p)) * (F.col("total") - 1)
@@ -97,10 +112,12 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     ends = [end(at(p)) for p in probs.values() for end in (F.floor, F.ceil)]
     wanted = None
     for index in ends:
-        hit = held(index, F.col("_before"), F.col("_rows"))
+        hit = held(index, F.col("_before_n"), F.col("_rows"))
         wanted = hit if wanted is None else wanted | hit
-    slots = _slots(counts, keys, "n").where(wanted)
-    placed = _place(counts, slots, keys, "n")
+    slots = counts.groupBy(*here).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_size")).select(
+        *here, "_rows", "_size", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before_n"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("total")).where(wanted).drop("_rows")
+    placed = _run(counts.join(slots, here), here, "value", ["n"]).withColumn("below", F.col("_run_n") - F.col("n"))
 
     def pick(index: Column) -> Column:
         return F.max(F.when(held(index, F.col("below"), F.col("n")), F.col("value")))

@@ -102,15 +102,16 @@ def null_orphans(child: DataFrame, column: str, parent: DataFrame, key: str) ->
 def orphan_counts(spark: SparkSession, tables: dict[str, DataFrame], foreign_keys=ref.FOREIGN_KEYS) -> DataFrame:
     """Rows without parent per foreign key.
 
-    Each child table is read once: its keys are stacked and counted per value,
-    and only distinct values meet the parent keys.
+    Each child table is read once: combinations of its keys are counted, only
+    these are stacked, and only distinct values meet the parent keys.
     """
     counted = []
     for child in sorted({fk[1] for fk in foreign_keys}):
         fks = [(name, column) for name, table, column, _, _ in foreign_keys if table == child]
         wide = tables[child].select(*[F.col(c).cast("string").alias(name) for name, c in fks])
-        long = wide.unpivot([], [name for name, _ in fks], "fk", "valor").where(F.col("valor").isNotNull())
-        counted.append(long.groupBy("fk", "valor").agg(F.count(F.lit(1)).alias("n")))
+        names = [name for name, _ in fks]
+        long = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).unpivot(["_n"], names, "fk", "valor").where(F.col("valor").isNotNull())
+        counted.append(long.groupBy("fk", "valor").agg(F.sum("_n").alias("n")))
     parents = [
         tables[parent].select(F.lit(name).alias("fk"), F.col(key).cast("string").alias("valor")).distinct()
         for name, _, _, parent, key in foreign_keys]

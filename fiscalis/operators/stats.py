@@ -16,7 +16,7 @@ from fiscalis.functions import tails
 from fiscalis.functions.amounts import ratio
 from fiscalis.functions.labels import lookup
 from fiscalis.operators.linear import explained_share
-from fiscalis.operators.ranking import group_medians, group_quantiles, mid_ranks, positions, slot, value_counts
+from fiscalis.operators.ranking import group_medians, group_quantiles, mid_ranks, positions, running_sums, value_counts
 
 ALPHA = 0.05
 
@@ -67,35 +67,91 @@ def ks_distance(values: DataFrame, keys: list[str], min_rows: int = 20) -> DataF
         F.count("value").alias("n_all"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
     placed = positions(value_counts(values, keys, "value"), keys)
     rows = placed.join(moments.where((F.col("n_all") >= min_rows) & (F.col("_sd") > 0)), keys)
-    tail = tails.normal_tail_column((F.col("value") - F.col("_mean")) / F.col("_sd"))
-    rows = rows.withColumn("_cdf", 1 - tail)
+    rows = rows.withColumn("_z", (F.col("value") - F.col("_mean")) / F.col("_sd"))
+    rows = rows.withColumn("_cdf", tails.normal_tail_native(-F.col("_z")))
     above = (F.col("below") + F.col("n")) / F.col("total") - F.col("_cdf")
     under = F.col("_cdf") - F.col("below") / F.col("total")
     return rows.groupBy(*keys).agg(
-        F.max("total").alias("n"), F.max(F.greatest(above, under)).alias("ks")).withColumn(
-        "p_ks", tails.kolmogorov_column(F.col("ks"), F.col("n")))
+        F.max("total").alias("n"), F.max(F.greatest(above, under)).alias("ks")).withColumns({
+            "p_ks": tails.kolmogorov_column(F.col("ks"), F.col("n")), "p_ks_exacto": tails.kolmogorov_exact_column(F.col("ks"), F.col("n"))})
+
+
+SHAPIRO_ROWS, SHAPIRO_LEAST, SEED = 5000, 12, 42
+# Royston's polynomials for the two largest weights and for the distribution of ln(1 - W).
+LAST_WEIGHT = (0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+NEXT_WEIGHT = (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+W_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+W_SPREAD = (-0.4803, -0.082676, 0.0030302)
+
+
+def _polynomial(x: Column, coefficients: tuple[float, ...], first: int = 0) -> Column:
+    """Sum of c_k x^(k + first)."""
+    out = F.lit(0.0)
+    for c in reversed(coefficients):
+        out = out * x + c
+    for _ in range(first):
+        out = out * x
+    return out
+
+
+def shapiro_wilk(values: DataFrame, keys: list[str], min_rows: int = 20) -> DataFrame:
+    """Shapiro-Wilk W by Royston's approximation, and its p-value, for groups of `min_rows` (12 at least).
+
+    The test is defined for up to 5,000 rows: of larger groups so many are drawn, each task passing on no more
+    than that. Ranks, weights and sums are then windows over groups of bounded size. Groups
+    without spread have no W.
+    """
+    drawn = Window.partitionBy(*keys).orderBy("_draw")
+    ordered, group = Window.partitionBy(*keys).orderBy("value"), Window.partitionBy(*keys)
+    some = values.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"), F.rand(SEED).alias("_draw"))
+    some = some.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= SHAPIRO_ROWS).select(*keys, "value")
+    placed = some.withColumns({"i": F.row_number().over(ordered), "n": F.count(F.lit(1)).over(group)}).where(
+        F.col("n") >= max(min_rows, SHAPIRO_LEAST))
+    scored = tails.with_normal_quantile(placed.withColumn("_p", (F.col("i") - 0.375) / (F.col("n") + 0.25)), "_p", "m")
+    u = 1 / F.sqrt("n")
+    sums = scored.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.max(F.when(F.col("i") == F.col("n"), F.col("m"))).alias("m1"),
+        F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("m2"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("spread"))
+    sums = sums.withColumns({"a1": _polynomial(u, LAST_WEIGHT, 1) + F.col("m1") / F.sqrt("ss"), "a2": _polynomial(u, NEXT_WEIGHT, 1) + F.col("m2") / F.sqrt("ss")})
+    rest = (F.col("ss") - 2 * F.col("m1") * F.col("m1") - 2 * F.col("m2") * F.col("m2")) / (1 - 2 * F.col("a1") * F.col("a1") - 2 * F.col("a2") * F.col("a2"))
+    sums = sums.withColumn("rest", F.sqrt(rest))
+    weight = (F.when(F.col("i") == F.col("n"), F.col("a1")).when(F.col("i") == 1, -F.col("a1")).when(F.col("i") == F.col("n") - 1, F.col("a2"))
+              .when(F.col("i") == 2, -F.col("a2")).otherwise(F.col("m") / F.col("rest")))
+    line = scored.drop("n").join(sums, keys)
+    w = line.groupBy(*keys).agg(F.max("n").alias("n_shapiro"), F.sum(weight * (F.col("value") - F.col("mean"))).alias("_b"), F.max("spread").alias("_spread"))
+    found = w.where(F.col("_spread") > 0).select(*keys, "n_shapiro", F.least(F.lit(1.0), F.col("_b") * F.col("_b") / F.col("_spread")).alias("shapiro"))
+    log_n = F.ln("n_shapiro")
+    z = (F.ln(F.greatest(1 - F.col("shapiro"), F.lit(1e-300))) - _polynomial(log_n, W_MEAN)) / F.exp(_polynomial(log_n, W_SPREAD))
+    return found.withColumn("_z", z).withColumn("p_shapiro", tails.normal_tail_native(F.col("_z"))).drop("_z")
 
 
 def normality_table(values: DataFrame, keys: list[str], min_rows: int = 20) -> DataFrame:
-    """Both tests and both verdicts: by K² alone, and by no test rejecting."""
+    """All three tests and both verdicts: by K² alone, and by no test rejecting."""
     table = normality_by_moments(values, keys, min_rows).join(
-        ks_distance(values, keys, min_rows).drop("n"), keys, "left")
+        ks_distance(values, keys, min_rows).drop("n"), keys, "left").join(shapiro_wilk(values, keys, min_rows), keys, "left")
     by_k2 = F.when(F.col("p_k2") < ALPHA, "No").otherwise("Sí")
-    none = (F.coalesce(F.col("p_k2"), F.lit(1.0)) >= ALPHA) & (F.coalesce(F.col("p_ks"), F.lit(1.0)) >= ALPHA)
+    none = F.lit(True)
+    for p in ("p_k2", "p_ks_exacto", "p_shapiro"):
+        none = none & (F.coalesce(p, F.lit(1.0)) >= ALPHA)
     return table.withColumns({
         "normal_k2": by_k2, "normal_consenso": F.when(none, "Sí").otherwise("No"),
         "recomendacion": F.when(none, "Paramétrica").otherwise("No paramétrica"),
     })
 
 
+def quantile_grid() -> tuple[list[float], list[float]]:
+    """Shares, and the standard normal quantile of each."""
+    grid = [0.01, *[k / 20 for k in range(1, 20)], 0.99]
+    return grid, [NormalDist().inv_cdf(p) for p in grid]
+
+
 def quantile_pairs(values: DataFrame, keys: list[str], min_rows: int = 10) -> DataFrame:
     """Sample quantiles on a fixed grid next to the normal ones."""
-    grid = [0.01, *[k / 20 for k in range(1, 20)], 0.99]
+    grid, normal = quantile_grid()
     probs = {f"q{i}": p for i, p in enumerate(grid)}
     found = group_quantiles(values, keys, "value", probs).where(F.col("n") >= min_rows)
-    normal = NormalDist()
     return found.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(normal.inv_cdf(p)).alias("teorico"), F.col(f"q{i}").alias("muestral"))
+        F.struct(F.lit(p).alias("p"), F.lit(normal[i]).alias("teorico"), F.col(f"q{i}").alias("muestral"))
         for i, p in enumerate(grid)])))
 
 
@@ -141,6 +197,12 @@ def regression_rows(features: DataFrame) -> DataFrame:
     return rows.select("ccaa_slug", F.col("OBR").alias("y"), F.col("PRE").alias("x1"), F.col("CRE").alias("x2"))
 
 
+def pooled_rows(features: DataFrame) -> DataFrame:
+    """All regions as one: rows with spending, budget and credit."""
+    rows = features.where(F.col("OBR").isNotNull() & F.col("PRE").isNotNull() & F.col("CRE").isNotNull())
+    return rows.select(F.lit("(todas)").alias("ccaa_slug"), F.col("OBR").alias("y"), F.col("PRE").alias("x1"), F.col("CRE").alias("x2"))
+
+
 def ols(rows: DataFrame, y: str = "y", min_rows: int = 50) -> DataFrame:
     """Least squares of y on x1 (and x2 where it exists) per region, from
     centred second moments."""
@@ -209,26 +271,15 @@ def scale_location(rows: DataFrame, min_rows: int = 50) -> DataFrame:
     """Residual diagnostics with a trailing mean over the order of fitted values.
 
     The window is max(20, n / 20) rows and at least 5 are needed. A running sum
-    per row, differenced against the row one window earlier, gives the mean:
-    running sums are built per slot and offset, so no region is sorted whole.
+    per row, differenced against the row one window earlier, gives the mean: no
+    region is sorted whole.
     """
     errors = residuals(rows, ols(rows, min_rows=min_rows))
     spread = errors.groupBy("ccaa_slug").agg(F.stddev_samp("residuo").alias("_sd"), F.count(F.lit(1)).alias("_n"))
     rows = errors.join(spread, "ccaa_slug").select(
         "ccaa_slug", "ajustado", "residuo", F.greatest(F.lit(20), F.floor(F.col("_n") / 20)).alias("_w"),
-        F.sqrt(F.abs(F.col("residuo") / (F.col("_sd") + 1e-9))).alias("escala"),
-    ).withColumn("_slot", slot(F.col("ajustado")))
-    before = Window.partitionBy("ccaa_slug").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("ccaa_slug", "_slot").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("escala").alias("_s")).select(
-        "ccaa_slug", "_slot", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"),
-        F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"))
-    inside = Window.partitionBy("ccaa_slug", "_slot").orderBy("ajustado", "residuo").rowsBetween(
-        Window.unboundedPreceding, 0)
-    placed = rows.join(offsets, ["ccaa_slug", "_slot"]).select(
-        "ccaa_slug", "ajustado", "residuo", "escala", "_w",
-        (F.col("_c0") + F.count(F.lit(1)).over(inside)).alias("orden"),
-        (F.col("_s0") + F.sum("escala").over(inside)).alias("_run"))
+        F.sqrt(F.abs(F.col("residuo") / (F.col("_sd") + 1e-9))).alias("escala"), F.lit(1).alias("uno"))
+    placed = running_sums(rows, ["ccaa_slug"], "ajustado", ["uno", "escala"], ["residuo"]).withColumnsRenamed({"_run_uno": "orden", "_run_escala": "_run"})
     earlier = placed.select("ccaa_slug", (F.col("orden") + F.col("_w")).alias("orden"), F.col("_run").alias("_then"))
     size = F.least(F.col("orden"), F.col("_w"))
     mean = (F.col("_run") - F.coalesce(F.col("_then"), F.lit(0.0))) / size
@@ -329,7 +380,7 @@ def mann_whitney(values: DataFrame, scope: list[str], min_rows: int = 20) -> Dat
 
 
 def mann_whitney_table(values: DataFrame, scope: list[str]) -> DataFrame:
-    p = F.least(F.lit(1.0), 2 * tails.normal_tail_column(F.col("z")))
+    p = F.least(F.lit(1.0), 2 * tails.normal_tail_native(F.col("z")))
     direction = (
         F.when(F.col("p") >= ALPHA, "Sin diferencia")
         .when(F.col("mediana_capital") < F.col("mediana_corr"), "Capital ejecuta menos")

@@ -215,6 +215,19 @@ def cat08(spark, sf):
     return media(spark, sf).select("page_id", ca.format_code(F.col("media")).alias("formato"))
 
 
+@query("cat08_format_objects", check(f"""
+SELECT page_id, formato FROM (SELECT page_id, {CODE} AS formato FROM (SELECT page_id,
+  CASE WHEN page_id % 4 = 0 THEN CASE WHEN media <> '' THEN media ELSE 'application/json' END
+       WHEN page_id % 4 = 1 THEN 'Hoja XLSX' WHEN page_id % 4 = 2 THEN NULL ELSE media END AS media FROM media) AS media)"""))
+def cat08_objects(spark, sf):
+    """Formats given as an object with value and label, or as nothing at all."""
+    i, plain = F.col("page_id"), F.col("media")
+    value = F.when(i % 4 == 0, plain).when(i % 4 == 1, F.lit("")).when(i % 4 == 3, plain)
+    label = F.when(i % 4 == 0, "application/json").when(i % 4 == 1, "Hoja XLSX").when(i % 4 == 2, "")
+    items = media(spark, sf).select("page_id", F.struct(value.alias("value"), label.alias("label")).alias("format"))
+    return items.select("page_id", ca.format_code(ca.format_text(F.col("format.value"), F.col("format.label"))).alias("formato"))
+
+
 @query("cat09_fetchable", check(f"""
 SELECT page_id, formato, access_url FROM (SELECT page_id, {CODE} AS formato,
   CASE WHEN page_id % 3 <> 0 THEN url WHEN page_id % 2 = 0 THEN upper(url) END AS access_url FROM media)

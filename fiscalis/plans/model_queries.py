@@ -371,3 +371,17 @@ CTES["spreads"] = "SELECT ccaa_slug, " + ", ".join(
 def mod01_standardised(spark, sf):
     rows = le.standardise(cut(spark, design_view(spark, sf), "design"))
     return rows.select(*ROW.split(", "), *[(F.round(f"z_{c}", 6) + F.lit(0.0)).alias(f"z_{c}") for c in le.NUMERIC])
+
+
+def equations(name: str, alpha: float, log: bool = False) -> None:
+    """Register the check of a linear model: every normal equation of every region holds."""
+    @query(name, check("SELECT ccaa_slug, columna, CAST(0.0 AS DOUBLE) AS residuo FROM (SELECT ccaa_slug FROM medians) CROSS JOIN (VALUES "
+                       + ", ".join(f"('{c}')" for c in ("", *le.PREPARED, *le.FLAGS)) + ") AS t(columna)"))
+    def build(spark, sf):
+        found = le.linear_equations(cut(spark, design_view(spark, sf), "design"), alpha, log)
+        return found.withColumn("residuo", F.round("residuo", 6) + F.lit(0.0))
+
+
+equations("mod04_normal_equations", 0.0)
+equations("mod05_normal_equations", 1.0)
+equations("mod09_normal_equations", 1.0, log=True)

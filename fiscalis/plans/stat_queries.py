@@ -112,7 +112,12 @@ FROM (SELECT *, bool_or(CRE IS NOT NULL) OVER (PARTITION BY ccaa_slug) AS has FR
 WHERE abs(OBR) < 1e11 AND abs(PRE) < 1e11 AND (NOT has OR coalesce(abs(CRE) < 1e11, false))"""
 
 
-def fit_sql(rows: str, target: str) -> str:
+CTES["pool_rows"] = """
+SELECT '(todas)' AS ccaa_slug, OBR AS y, PRE AS x1, CRE AS x2 FROM clean_feat
+WHERE OBR IS NOT NULL AND PRE IS NOT NULL AND CRE IS NOT NULL"""
+
+
+def fit_sql(rows: str, target: str, least: int = 50) -> str:
     return f"""
 SELECT ccaa_slug, n, k, my - b1 * m1 - coalesce(b2 * m2, 0) AS b0, b1, b2,
   (b1 * c1y + coalesce(b2 * c2y, 0)) / nullif(vy, 0) AS r2
@@ -121,7 +126,7 @@ FROM (SELECT *, CASE WHEN k = 2 THEN (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c
   FROM (SELECT ccaa_slug, count(*) AS n, CASE WHEN count(x2) > 0 THEN 2 ELSE 1 END AS k, avg(x1) AS m1,
       avg(x2) AS m2, avg({target}) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, var_pop({target}) AS vy,
       covar_pop(x1, x2) AS c12, covar_pop(x1, {target}) AS c1y, covar_pop(x2, {target}) AS c2y
-    FROM {rows} GROUP BY ccaa_slug HAVING count(*) >= 50))"""
+    FROM {rows} GROUP BY ccaa_slug HAVING count(*) >= {least}))"""
 
 
 CTES["fits"] = fit_sql("reg_rows", "y")
@@ -146,6 +151,24 @@ def sta07(spark, sf):
     return pretty(sa.breusch_pagan(regression(spark, sf)), {"lm": 4})
 
 
+CTES["pool_fit"] = fit_sql("pool_rows", "y", 51)
+CTES["pool_errors"] = """
+SELECT r.*, (y - (b0 + b1 * x1 + b2 * x2)) ** 2 AS e2 FROM pool_rows r JOIN pool_fit USING (ccaa_slug)"""
+CTES["pool_fit2"] = fit_sql("pool_errors", "e2", 51)
+
+
+@query("sta06_ols_pooled", check("""
+SELECT ccaa_slug, n, k, round(b0, 2) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(r2, 6) AS r2 FROM pool_fit"""))
+def sta06_pooled(spark, sf):
+    """All regions pooled, more than 50 rows."""
+    return pretty(sa.ols(sa.pooled_rows(clean_stored(spark, sf)), min_rows=51), {"b0": 2, "b1": 5, "b2": 5, "r2": 6})
+
+
+@query("sta07_breusch_pagan_pooled", check("SELECT ccaa_slug, n, k, round(n * r2, 4) AS lm FROM pool_fit2"))
+def sta07_pooled(spark, sf):
+    return pretty(sa.breusch_pagan(sa.pooled_rows(clean_stored(spark, sf)), 51), {"lm": 4})
+
+
 @query("sta08_white")
 def sta08(spark, sf):
     return sa.white(regression(spark, sf))
@@ -251,6 +274,11 @@ def sta14(spark, sf):
     return sa.kruskal_table(rates(spark, sf), ["ccaa_slug"])
 
 
-@query("sta15_quantile_pairs")
+GRID, NORMAL = sa.quantile_grid()
+
+
+@query("sta15_quantile_pairs", check(f"""
+SELECT ccaa_slug, variable, unnest({GRID}::DOUBLE[]) AS p, round(unnest({NORMAL}::DOUBLE[]), 9) AS teorico, round(unnest(quantile_cont(value, {GRID})), 3) AS muestral
+FROM study WHERE value IS NOT NULL GROUP BY ccaa_slug, variable HAVING count(*) >= 10"""))
 def sta15(spark, sf):
-    return sa.quantile_pairs(study(spark, sf), BY)
+    return pretty(sa.quantile_pairs(study(spark, sf), BY), {"teorico": 9, "muestral": 3})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
+from fiscalis.session import cut
 from fiscalis.sources.files import file_lines
 
 MALFORMED = "_malformed"
@@ -96,7 +97,7 @@ def profile(lines: DataFrame) -> DataFrame:
     found = encodings(lines).join(delimiters(lines), "file")
     marked = lines.join(found.select("file", "delimiter"), "file")
     votes = number_formats(number_tokens(marked)).drop("eu", "anglo")
-    headers = lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    headers = lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("header_at"))
     out = found.join(headers, "file").join(votes, "file", "left")
     return with_fallback_format(out).withColumn(
         "header", F.regexp_replace(decoded(F.col("header"), F.col("encoding")), "﻿", ""))
@@ -109,23 +110,39 @@ def missing_to_null(df: DataFrame) -> DataFrame:
         if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def _csv_options(delimiter: str) -> dict:
+    return {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED, "escape": '"'}
+
+
+def _names(header: list[str]) -> list[str]:
+    return [*[f"_{i}" for i in range(len(header))], MALFORMED]
+
+
+def _fitting(rows: DataFrame, header: list[str], delimiter: str) -> DataFrame:
+    """Parsed rows (_file and a column per field) that don't have more fields than the header, with its names."""
+    # A record with another number of fields comes with its text; the delimiters outside quotes tell which.
+    fields = 1 + _count(F.regexp_replace(MALFORMED, QUOTED, ""), delimiter)
+    kept = rows.where(F.col(MALFORMED).isNull() | (fields <= len(header)))
+    return missing_to_null(kept.select("_file", *[F.col(f"_{i}").alias(h) for i, h in enumerate(header)]))
+
+
 def read_delimited(spark: SparkSession, paths, header: list[str], delimiter: str = ",",
                    encoding: str = "UTF-8", quoted_breaks: bool = False) -> DataFrame:
     """Files with one header as texts. Rows with too many fields are dropped,
     short ones are padded. Only files with line breaks inside quotes are read
     as a whole; the others can be split."""
-    names = [*[f"_{i}" for i in range(len(header))], MALFORMED]
     rows = (
-        spark.read.schema(", ".join(f"`{n}` string" for n in names))
-        .option("sep", delimiter).option("encoding", encoding).option("header", "true").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", "false")
-        .option("enforceSchema", "true").option("escape", '"').option("multiLine", quoted_breaks).csv(paths))
-    # A record with another number of fields comes with its text; the delimiters outside quotes tell which.
-    fields = 1 + _count(F.regexp_replace(MALFORMED, QUOTED, ""), delimiter)
-    kept = rows.where(F.col(MALFORMED).isNull() | (fields <= len(header)))
-    named = kept.select(F.col("_metadata.file_path").alias("_file"),
-                        *[F.col(f"_{i}").alias(h) for i, h in enumerate(header)])
-    return missing_to_null(named)
+        spark.read.schema(", ".join(f"`{n}` string" for n in _names(header))).options(**_csv_options(delimiter))
+        .option("encoding", encoding).option("header", "true").option("columnPruning", "false")
+        .option("enforceSchema", "true").option("multiLine", quoted_breaks).csv(paths))
+    return _fitting(rows.withColumn("_file", F.col("_metadata.file_path")), header, delimiter)
+
+
+def parse_lines(lines: DataFrame, header: list[str], delimiter: str, encoding: str) -> DataFrame:
+    """Raw lines (file, line) below their headers, of any number of files with one header and dialect, as the same rows."""
+    text = decoded(F.col("line"), F.lit(encoding))
+    record = F.from_csv(text, F.lit(", ".join(f"`{n}` string" for n in _names(header))), _csv_options(delimiter))
+    return _fitting(lines.select(F.col("file").alias("_file"), record.alias("r")).select("_file", "r.*"), header, delimiter)
 
 
 def plain_number(text: Column, decimal: str, thousands: str | None) -> Column:
@@ -149,14 +166,26 @@ def unify_numbers(df: DataFrame, columns: list[str], decimal: str, thousands: st
 
 
 def read_folder(spark: SparkSession, paths) -> list[DataFrame]:
-    """One DataFrame per group of files that agree on header and dialect."""
+    """One DataFrame per group of files that agree on header and dialect.
+
+    Only the distinct headers and dialects come to the driver. A group's lines find their files by a
+    join, so no list of files is made; files with line breaks inside quotes alone are named to a reader.
+    """
     keys = ["header", "delimiter", "encoding", "decimal", "thousands", "quoted_breaks"]
-    groups = profile(file_lines(spark, paths)).groupBy(*keys).agg(
-        F.sort_array(F.collect_set("file")).alias("files")).orderBy(*keys).collect()
+    lines = file_lines(spark, paths)
+    found = cut(spark, profile(lines), "file-profiles")
+    groups = found.groupBy(*keys).agg(F.collect_set(F.when(F.col("quoted_breaks"), F.col("file"))).alias("files")).orderBy(*keys).collect()
     out = []
     for g in groups:
         header = [h.strip().strip('"') for h in g["header"].split(g["delimiter"])]
-        rows = read_delimited(spark, list(g["files"]), header, g["delimiter"], g["encoding"], g["quoted_breaks"])
+        if g["quoted_breaks"]:
+            rows = read_delimited(spark, sorted(g["files"]), header, g["delimiter"], g["encoding"], True)
+        else:
+            same = found
+            for k in keys:
+                same = same.where(F.col(k).eqNullSafe(F.lit(g[k])))
+            mine = lines.join(same.select("file", "header_at"), "file").where((F.col("at") > F.col("header_at")) & (F.trim("line") != ""))
+            rows = parse_lines(mine, header, g["delimiter"], g["encoding"])
         out.append(unify_numbers(rows, header, g["decimal"], g["thousands"]))
     return out
 

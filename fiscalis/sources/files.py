@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,70 @@ READER_OF_FORMAT = {"CSV": "delimited", "TSV": "delimited", "XLSX": "workbook",
 READER_OF_EXTENSION = {"csv": "delimited", "tsv": "delimited", "xlsx": "workbook", "xls": "workbook", "px": "cube"}
 
 
+PIECE_BYTES = 1 << 20
+
+
+def _pack_lines(batches):
+    """Lines (file, size, block, k, line) in order to pieces of bounded size, each line with its line end."""
+    for batch in batches:
+        files, sizes, blocks, marks = (batch.column(i).to_pylist() for i in range(4))
+        rows, held, length = [], [], 0
+        for i, line in enumerate(batch.column(4)):
+            if held and (files[i] != files[i - 1] or blocks[i] != blocks[i - 1] or length >= PIECE_BYTES):
+                rows.append((*first, b"".join(held)))
+                held, length = [], 0
+            if not held:
+                first = (files[i], sizes[i], blocks[i], marks[i])
+            held += [line.as_py(), b"\n"]
+            length += len(held[-2]) + 1
+        if held:
+            rows.append((*first, b"".join(held)))
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["file", "size", "block", "k", "piece"])
+
+
+def _stream_md5(batches):
+    """Pieces in the order of their files to (path, bytes, md5). The last line end counts only if the file's size holds it."""
+    held, state, seen, last = None, None, 0, b""
+    out = []
+
+    def finish():
+        state.update(last if seen <= held[1] else last[:-1])
+        out.append((*held, state.hexdigest()))
+    for batch in batches:
+        out = []
+        for file, size, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()):
+            if held is None or held[0] != file:
+                if held is not None:
+                    finish()
+                held, state, seen, last = (file, size), hashlib.md5(), 0, b""
+            state.update(last)
+            seen, last = seen + len(piece), piece
+        yield _manifest_rows(out)
+    if held is not None:
+        out = []
+        finish()
+        yield _manifest_rows(out)
+
+
+def _manifest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "bytes": pa.int64(), "md5": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and MD5 of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    """Path, size and MD5 of every file with content below a path.
+
+    Files are read in splits, so a file may be larger than a row can be; each digest
+    streams over its file's pieces of about `PIECE_BYTES`, in order.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("k"), F.col("value").cast("binary").alias("line"))
+    pieces = rows.mapInArrow(_pack_lines, "file string, size bigint, block bigint, k bigint, piece binary")
+    return pieces.repartition("file").sortWithinPartitions("file", "block", "k").mapInArrow(_stream_md5, "path string, bytes bigint, md5 string")
 
 
 def file_lines(spark: SparkSession, path) -> DataFrame:

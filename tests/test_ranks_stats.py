@@ -119,3 +119,76 @@ def test_spearman_and_normality(regression):
     i = np.arange(1, 401)
     assert sa.ks_distance(values, ["variable"]).first().ks == pytest.approx(max((i / 400 - cdf).max(), (cdf - (i - 1) / 400).max()))
     assert sa.normality_table(values, ["variable"]).first().normal_k2 in ("Sí", "No")
+
+
+def test_crowded_slots_are_cut_further(spark, monkeypatch):
+    """All values in one slot: the same ranks and running sums, over many parts."""
+    rng = np.random.default_rng(5)
+    value = np.round(1_001_000 + rng.uniform(0, 900, 700), 2)
+    pdf = pd.DataFrame({"g": np.where(rng.random(700) < 0.8, "a", "b"), "value": np.r_[value[:-50], value[:50]], "w": rng.integers(1, 9, 700).astype(float)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    parts = df.select(rk.slot(F.col("value")).alias("s"), rk.sub_slot(F.col("value")).alias("p")).distinct().collect()
+    assert len({r.s for r in parts}) == 1 and len({r.p for r in parts}) > 300
+    plain = {(r.g, r.value): r["rank"] for r in rk.mid_ranks(rk.value_counts(df, ["g"], "value"), ["g"]).collect()}
+    monkeypatch.setattr(rk, "SLOT_ROWS", 20)
+    cut = {(r.g, r.value): r["rank"] for r in rk.mid_ranks(rk.value_counts(df, ["g"], "value"), ["g"]).collect()}
+    known = pdf.groupby("g").value.rank()
+    assert cut == plain and all(cut[g, v] == k for g, v, k in zip(pdf.g, pdf.value, known))
+    for r in rk.group_quantiles(df, ["g"], "value", {"q": 0.37}).collect():
+        assert r.q == pytest.approx(pdf[pdf.g == r.g].value.quantile(0.37), rel=1e-12)
+    got = {(r.g, r.value, r.w): r._run_w for r in rk.running_sums(df, ["g"], "value", ["w"], ["w"]).collect()}
+    ordered = pdf.sort_values(["g", "value", "w"])
+    run = ordered.assign(run=ordered.groupby("g").w.cumsum())
+    assert all(got[r.g, r.value, r.w] == pytest.approx(r.run) for r in run.drop_duplicates(["g", "value", "w"], keep=False).itertuples())
+
+
+def test_sub_slots_keep_order(spark):
+    rng = np.random.default_rng(6)
+    values = sorted([0.0, 1e-9, -1e-9, 2e-7, -2e-7, *rng.normal(0, 1e-4, 200), *rng.normal(0, 1e5, 200), *(1e9 + rng.uniform(0, 1e5, 200))])
+    got = [tuple(r) for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(rk.slot(F.col("v")), rk.sub_slot(F.col("v"))).collect()]
+    assert got == sorted(got)
+
+
+def test_native_normal(spark):
+    from math import erfc, sqrt
+    from statistics import NormalDist
+
+    from fiscalis.functions import tails
+    z = [*np.linspace(-9, 9, 721).tolist(), 2.8284271, 20.0, 36.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(tails.normal_tail_native(F.col("z"))).collect()]
+    want = [0.5 * erfc(v / sqrt(2)) for v in z]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-14
+    assert all(abs(a - b) <= 1e-11 * b for a, b in zip(got, want))
+    p = [1e-6, 1e-3, 0.02, 0.3, 0.5, 0.500001, 0.75, 0.999, 1 - 1e-6]
+    found = tails.with_normal_quantile(spark.createDataFrame([(v,) for v in p], "p double"), "p", "q").collect()
+    assert [r.q for r in found] == pytest.approx([NormalDist().inv_cdf(r.p) for r in found], abs=1e-10)
+
+
+def test_exact_kolmogorov():
+    from fiscalis.functions.tails import kolmogorov_exact, kolmogorov_tail
+    assert kolmogorov_exact(0.274, 10) == pytest.approx(1 - 0.6284796154565, abs=1e-12)
+    for d in (0.55, 0.7, 0.93):
+        assert kolmogorov_exact(d, 1) == pytest.approx(1 - (2 * d - 1)) and kolmogorov_exact(d, 2) == pytest.approx(2 * (1 - d) ** 2)
+    for d in (0.3, 0.4, 0.49):
+        assert kolmogorov_exact(d, 2) == pytest.approx(1 - 2 * (2 * d - 0.5) ** 2)
+    assert kolmogorov_exact(0.0001, 50) == 1.0 and kolmogorov_exact(1.0, 5) == 0.0 and kolmogorov_exact(0.9, 400) < 1e-100
+    for n, d in ((200, 0.05), (1000, 0.04), (100_000, 0.004)):
+        assert kolmogorov_exact(d, n) == pytest.approx(kolmogorov_tail(d, n), abs=0.01)
+
+
+def test_shapiro_wilk(spark):
+    # A well-known table of 32 cars (miles a gallon): W = 0.94756, p = 0.1229.
+    miles = [21, 21, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4, 14.7, 32.4, 30.4, 33.9, 21.5, 15.5, 15.2, 13.3,
+             19.2, 27.3, 26, 30.4, 15.8, 19.7, 15, 21.4]
+    rng = np.random.default_rng(9)
+    rows = [("cars", float(v)) for v in miles] + [("skewed", float(v)) for v in rng.exponential(1, 300)] + [("normal", float(v)) for v in rng.normal(5, 2, 6000)]
+    rows += [("flat", 1.0)] * 30 + [("few", float(v)) for v in range(11)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    got = {r.k: r for r in sa.shapiro_wilk(df, ["k"], 12).collect()}
+    assert set(got) == {"cars", "skewed", "normal"}
+    assert got["cars"].shapiro == pytest.approx(0.94756, abs=5e-6) and got["cars"].p_shapiro == pytest.approx(0.1229, abs=5e-5)
+    assert got["skewed"].p_shapiro < 1e-10 and got["normal"].p_shapiro > 0.001 and got["normal"].n_shapiro == 5000
+    table = sa.normality_table(df, ["k"], 20)
+    assert {r.k: r.normal_consenso for r in table.where("k IN ('cars', 'skewed')").collect()} == {"cars": "Sí", "skewed": "No"}
+    plan = sa.ks_distance(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2

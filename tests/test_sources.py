@@ -128,3 +128,35 @@ def test_last_month_only(spark):
 def test_numeric_coercion_is_lossless(spark):
     df = spark.createDataFrame([("1", "a", None), ("2.5", "3", None)], "x string, y string, z string")
     assert dict(lake.coerce_numeric(df).dtypes) == {"x": "double", "y": "string", "z": "double"}
+
+
+def test_manifest_streams_files_of_any_size(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from fiscalis.sources import files as fi
+    monkeypatch.setattr(fi, "PIECE_BYTES", 64)
+    bodies = {"a.csv": b"x;y\n1;2\n" * 900, "b.bin": bytes(range(256)) * 40, "no_end.txt": b"one\ntwo", "crlf.txt": b"a\r\nb\r\n\r\n", "empty.txt": b"", "end.txt": b"\n",
+              "sub/long.txt": b"z" * 50_000 + b"\n\n\n"}
+    (tmp_path / "sub").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = {r.path.split(f"{tmp_path.name}/")[1]: (r.bytes, r.md5) for r in fi.manifest(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: (len(body), hashlib.md5(body).hexdigest()) for name, body in bodies.items() if body}
+    plan = fi.manifest(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan
+
+
+def test_summary_comes_from_footers(spark, tmp_path):
+    from fiscalis.sources import lake as lk
+    path = f"{tmp_path}/facts"
+    rows = spark.createDataFrame([("a", 2020, 1.0), ("a", 2022, 2.0), ("a", 2022, 3.0), ("b", 2021, None)], "ccaa_slug string, anio int, importe double")
+    rows.write.partitionBy("ccaa_slug", "anio").parquet(path)
+    found = lk.summary_from_footers(spark, path, rows.schema)
+    assert sorted(map(tuple, found.collect())) == [("a", 3, 2020, 2022), ("b", 1, 2021, 2021)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "importe" not in plan.split("PushedAggregation")[0]
+    assert spark.conf.get("spark.sql.sources.useV1SourceList").count("parquet") == 1
