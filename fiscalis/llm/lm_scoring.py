@@ -51,7 +51,7 @@ ORDER = 2
 BASE = 1.5
 LEVELS = 64
 PARTS = 256
-HEAD_BITS = 1 << 29  # the largest broadcast filter, 64 MB
+HEAD_BITS = 1 << 27  # the largest broadcast filter, 16 MB
 LEAST_BITS = 1 << 28  # of all blocks together, 32 MB; a fourth of it for the broadcast filter
 HEAD_LEVEL = 2
 PART_GRAMS = 1 << 22  # n-grams of the training texts, repeats included, for each block beyond the first PARTS
@@ -61,7 +61,7 @@ SMOOTHING = 5.0
 HEAD_WORDS = 200_000
 FLUSH = 400_000
 SPARE_BITS = 24
-LOT_BYTES = 16 << 20  # of texts whose n-grams are asked for together
+LOT_BYTES = 8 << 20  # of texts whose n-grams are asked for together
 START, END = np.uint64(0x51A7), np.uint64(0xE0D)
 
 
