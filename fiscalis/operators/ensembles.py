@@ -201,7 +201,9 @@ def fit_trees(train: DataFrame, rules: Rules, numeric: list[str], flags: list[st
         if r["n"] > whole_rows:
             large.append(r["ccaa_slug"])
     small = rows.where(~F.col("ccaa_slug").isin(large)) if large else rows
-    out = cut(spark, small.groupBy("ccaa_slug").applyInArrow(_grow_in_task(edges, starts, rules), MODEL), "trees")
+    # The number is set, as small partitions would be put together: the work of a region is not the size of its rows.
+    dealt = small.repartition(4 * len(starts), "ccaa_slug")
+    out = cut(spark, dealt.groupBy("ccaa_slug").applyInArrow(_grow_in_task(edges, starts, rules), MODEL), "trees")
     if large:
         some = {r: starts[r] for r in large}
         grown = _grow_across(rows.where(F.col("ccaa_slug").isin(large)), edges, some, rules)
