@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import row_slices, text_buffer
 
@@ -201,6 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str, label: str = "qual
 def score_quality(rows: DataFrame, model: Quality, keep: list[Column], text: str = "text") -> DataFrame:
     """`keep` columns with score (0 to 1) and predicted (1 where score >= THRESHOLD)."""
     asked = rows.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[:-1])
-    scored = asked.mapInArrow(_score(model.network, model.fallback), f"{fields}, score double")
+    # A schema, not its text: fields of a kept row may have any name.
+    schema = StructType([*asked.schema.fields[:-1], StructField("score", DoubleType())])
+    scored = asked.mapInArrow(_score(model.network, model.fallback), schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
