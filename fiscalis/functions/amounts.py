@@ -7,22 +7,32 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fiscalis.functions.text import once
+
 
 MONEY = "decimal(18,2)"
 
 
+# What Unicode counts as white space.
+WHITE_SPACE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def parse_amount(col: Column) -> Column:
     """Euro amount of a text in European or Anglo notation, NULL when unreadable.
 
     A comma with no dot after it is the decimal mark. Texts for a missing
     amount (blank, `-`, `nd`, `s/d`, `n/a`) have no digits and read as NULL.
     """
-    text = F.regexp_replace(col.cast("string"), r"(?iU)[€\s]|EUR", "")
-    comma_last = text.rlike(r",[^.]*$")
-    european = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = F.when(comma_last, european).otherwise(F.replace(text, F.lit(","), F.lit("")))
-    readable = text.rlike(r"^[+-]?[\d.,]*\d[\d.,]*([eE][+-]?\d+)?$")
-    return F.when(readable, number.try_cast("double"))
+    raw = col.cast("string")
+    bare = F.translate(F.regexp_replace(raw, "[eE][uU][rR]", ""), "€" + WHITE_SPACE, "")
+
+    def parsed(text: Column) -> Column:
+        comma_last = F.contains(text, F.lit(",")) & ~F.contains(F.substring_index(text, ",", -1), F.lit("."))
+        number = F.when(comma_last, F.translate(text, ",.", ".")).otherwise(F.replace(text, F.lit(","), F.lit("")))
+        return F.when(text.rlike(r"^[+-]?[.,]*\d[\d.,]*([eE][+-]?\d+)?$"), number.try_cast("double"))
+
+    # Most amounts are plain: nothing is stripped from those.
+    return once(F.when(raw.rlike(r"[^\d.,+-]"), bare).otherwise(raw), parsed)
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -73,7 +73,8 @@ def first_match(col: Column, rules, test) -> Column:
 
 def phase_from_text(col: Column) -> Column:
     """Phase code of a free-text label; labels keep their accents here."""
-    return first_match(F.lower(col.cast("string")), ref.PHASE_PATTERNS, lambda c, p: c.rlike("(?U)" + p))
+    return once(F.lower(col.cast("string")), lambda text: first_match(
+        text, ref.PHASE_PATTERNS, lambda c, p: c.rlike("(?U)" + p)))
 
 
 def phase_from_title(col: Column) -> Column:
@@ -89,14 +90,14 @@ def phase_from_indicator(col: Column) -> Column:
 
 
 def parse_year(col: Column) -> Column:
-    head = F.substring(col.cast("string"), 1, 4)
-    year = F.when(head.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(head).try_cast("int"))
-    return F.when(year.between(ref.YEAR_MIN, ref.YEAR_MAX), year)
+    year = once(F.substring(col.cast("string"), 1, 4), lambda head: F.when(
+        head.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(head).try_cast("int")))
+    return once(year, lambda y: F.when(y.between(ref.YEAR_MIN, ref.YEAR_MAX), y))
 
 
 def year_in_text(col: Column) -> Column:
     """The first 19xx/20xx in a sheet name."""
-    return F.nullif(F.regexp_extract(col, r"((?:19|20)\d{2})", 1), F.lit("")).try_cast("int")
+    return F.regexp_extract(col, r"((?:19|20)\d{2})", 1).try_cast("int")
 
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -104,15 +105,15 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def parse_chapter(col: Column) -> Column:
     """Economic chapter 1-9 out of a code, a number or a numbered label."""
-    text = F.trim(col.cast("string"))
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double")).try_cast("bigint")
-    lead = F.regexp_replace(F.regexp_extract(text, r"^(\d+)", 1), "^0+", "")
-    chapter = (
-        F.when(number <= 9, number)
-        .when(number > 9, F.substring(text, 1, 1).try_cast("bigint"))
-        .when(~text.rlike(_NUMBER), F.nullif(F.substring(lead, 1, 1), F.lit("")).try_cast("bigint"))
-    )
-    return F.when(chapter.between(1, 9), chapter.cast("int"))
+    def chapter(text: Column) -> Column:
+        number = F.when(text.rlike(_NUMBER), text.try_cast("double")).try_cast("bigint")
+        lead = F.regexp_replace(F.regexp_extract(text, r"^(\d+)", 1), "^0+", "")
+        return once(number, lambda n: (
+            F.when(n <= 9, n)
+            .when(n > 9, F.substring(text, 1, 1).try_cast("bigint"))
+            .when(~text.rlike(_NUMBER), F.nullif(F.substring(lead, 1, 1), F.lit("")).try_cast("bigint"))))
+
+    return once(once(F.trim(col.cast("string")), chapter), lambda c: F.when(c.between(1, 9), c.cast("int")))
 
 
 def chapter_digit(col: Column) -> Column:

@@ -123,7 +123,11 @@ def canonical_rows(df: DataFrame) -> DataFrame:
         return col.cast(kind).alias(name)
 
     names = [*ref.FACT_COLUMNS, *(["distribution_id"] if "distribution_id" in df.columns else [])]
-    return df.select(*map(column, names)).dropna(subset=["anio", "fase", "importe_eur"])
+    # A filter on parsed columns would be pushed down and parse each of them again; on generated ones it stays where it is.
+    needed = ["anio", "fase", "importe_eur"]
+    others = [column(name) for name in names if name not in needed]
+    rows = df.select(*others, F.inline(F.array(F.struct(*map(column, needed)))))
+    return rows.dropna(subset=needed).select(*names)
 
 
 def normalize(df: DataFrame, file_key: str | None = "distribution_id") -> DataFrame:

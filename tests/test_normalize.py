@@ -50,3 +50,14 @@ def test_unknown_amount_column_is_a_bogus_phase(spark):
 def test_year_from_sheet(spark):
     df = raw(spark, [("Presup 2019-20", "5")], "`__sheet__` string, importe string")
     assert result(nz.normalize(df)) == [(2019, None, "PRE", 5.0)]
+
+
+def test_columns_are_parsed_once_a_row(spark):
+    df = raw(spark, [("Hoja 2019", "G_1", "1.234,50 €"), ("2020", "G_2", " 5,5 Eur "), ("x", "G_3", "1"), ("2021", "G_4", "E UR 1")],
+             "`__sheet__` string, capitulo string, importe string")
+    facts = nz.normalize(df)
+    assert sorted((r.anio, r.importe_eur) for r in facts.collect()) == [(2019, 1234.5), (2020, 5.5)]
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[eE][uU][rR]") <= 1 and plan.count("regexp_extract(__sheet__") + plan.count("(?:19|20)") <= 2, plan
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("regexp" in line or "RLIKE" in line for line in filters), filters
