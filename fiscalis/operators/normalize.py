@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fiscalis import reference_data as ref
 from fiscalis.functions.amounts import parse_amount
 from fiscalis.functions.text import clean_header, parse_chapter, parse_year, phase_from_text, year_in_text
+from fiscalis.session import cut
 
 # Columns that say where a row comes from; never renamed.
 ORIGIN = ["ccaa_slug", "dataset_uri", "distribution_id"]
@@ -81,7 +82,8 @@ def labelled_phases(df: DataFrame, file_key: str | None) -> DataFrame:
         any_phase = mapped.agg(F.count("fase")).scalar() > 0
         phase = F.when(any_phase, F.col("fase")).otherwise("PRE")
         return mapped.withColumn("fase", phase)
-    speaking = mapped.where(F.col("fase").isNotNull()).select(F.col(file_key).alias("_file")).distinct()
+    # Written first, so that the join knows its size: the rows are not dealt by file, of which one may hold most of them.
+    speaking = cut(df.sparkSession, mapped.where(F.col("fase").isNotNull()).select(F.col(file_key).alias("_file")).distinct(), "speaking-files")
     joined = mapped.join(speaking, F.col(file_key).eqNullSafe(F.col("_file")), "left")
     phase = F.when(F.col("_file").isNull(), "PRE").otherwise(F.col("fase"))
     return joined.withColumn("fase", phase).drop("_file")

@@ -61,3 +61,12 @@ def test_columns_are_parsed_once_a_row(spark):
     assert plan.count("[eE][uU][rR]") <= 1 and plan.count("regexp_extract(__sheet__") + plan.count("(?:19|20)") <= 2, plan
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert not any("regexp" in line or "RLIKE" in line for line in filters), filters
+
+
+def test_rows_are_not_dealt_by_file(spark):
+    df = raw(spark, [("a", "2020", "Obligaciones reconocidas", "1"), ("a", "2020", "nada", "2"), ("b", "2020", "nada", "3"), (None, "2020", "nada", "4")],
+             "distribution_id string, any string, concepto string, valor string")
+    facts = nz.normalize(df)
+    assert result(facts) == [(2020, None, "OBR", 1.0), (2020, None, "PRE", 3.0), (2020, None, "PRE", 4.0)]
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, plan
