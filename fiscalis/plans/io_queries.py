@@ -57,9 +57,10 @@ def src02(spark, sf):
     path = scratch_path(spark, "texts")
     one_line = F.regexp_replace("text", r"\s+", " ")
     docs = st.table(spark, sf, "documents").select("lang", "doc_id", F.concat_ws("\t", F.col("doc_id").cast("string"), one_line).alias("value"))
-    docs.select("lang", "value").repartition("lang").write.partitionBy("lang").text(path)
-    lines = fi.file_lines(spark, path)
-    both = lines.join(dl.encodings(lines), "file").select(
+    docs.select("lang", "value").hint("rebalance", "lang").write.partitionBy("lang").text(path)
+    # The texts of a language are one file in parts: they share the encoding.
+    lines = fi.folder_lines(spark, path)
+    both = lines.join(cut(spark, dl.encodings(lines), "encodings"), "file").select(
         "encoding", dl.decoded(F.col("line"), F.col("encoding")).alias("value"))
     back = both.select("encoding", F.substring_index("value", "\t", 1).cast("bigint").alias("doc_id"), F.md5("value").alias("h"))
     same = back.join(docs.select("doc_id", F.md5("value").alias("h0")), "doc_id")

@@ -96,6 +96,12 @@ def file_lines(spark: SparkSession, path) -> DataFrame:
         F.col("value").alias("line"))
 
 
+def folder_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line): raw lines of files written in parts; `file` is the folder of the parts."""
+    lines = file_lines(spark, path)
+    return lines.select(F.regexp_extract("file", "^(.*)/", 1).alias("file"), "line")
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """The first non-blank line of each file."""
     return lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("first"))

@@ -160,3 +160,20 @@ def test_summary_comes_from_footers(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(*)]" in plan and "importe" not in plan.split("PushedAggregation")[0]
     assert spark.conf.get("spark.sql.sources.useV1SourceList").count("parquet") == 1
+
+
+def test_one_encoding_for_the_parts_of_a_file(spark, tmp_path):
+    for name, body in {"k=1/a.txt": "ascii", "k=1/b.txt": "señal", "k=2/a.txt": "plain"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body + "\n")
+    found = {r.file[-3:]: r.encoding for r in delimited.encodings(files.folder_lines(spark, str(tmp_path))).collect()}
+    assert found == {"k=1": "UTF-8", "k=2": "ISO-8859-1"}
+
+
+def test_rows_are_not_dealt_by_language_or_file(spark, tmp_path):
+    from fiscalis.plans import all_queries
+    rows = [(i, f"texto {i}", "es", "s", 7) for i in range(50)] + [(90, "señal", "es", "s", 5), (91, "x", None, "s", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    df = all_queries()["src02_encoding"].build(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("ISO-8859-1", 1, True), ("UTF-8", 51, True)]
+    assert "hashpartitioning(file" not in df._jdf.queryExecution().executedPlan().toString()
