@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
 from fiscalis.session import cut
-from fiscalis.sources.files import file_lines
+from fiscalis.sources.files import file_lines, leading_lines
 
 MALFORMED = "_malformed"
 QUOTED = r'"(?:[^"]|"")*"'
@@ -94,10 +94,10 @@ def with_fallback_format(formats: DataFrame) -> DataFrame:
 
 def profile(lines: DataFrame) -> DataFrame:
     """One row per file: encoding, delimiter, number format and header line."""
-    found = encodings(lines).join(delimiters(lines), "file")
+    found = cut(lines.sparkSession, encodings(lines).join(delimiters(lines), "file"), "file-dialects")
     marked = lines.join(found.select("file", "delimiter"), "file")
     votes = number_formats(number_tokens(marked)).drop("eu", "anglo")
-    headers = lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("header_at"))
+    headers = leading_lines(lines).groupBy("file").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("header_at"))
     out = found.join(headers, "file").join(votes, "file", "left")
     return with_fallback_format(out).withColumn(
         "header", F.regexp_replace(decoded(F.col("header"), F.col("encoding")), "﻿", ""))
@@ -160,7 +160,8 @@ def unify_numbers(df: DataFrame, columns: list[str], decimal: str, thousands: st
     plain = {c: plain_number(F.col(f"`{c}`"), decimal, thousands) for c in columns}
     whole = df.groupBy("_file").agg(*[
         (F.count(f"`{c}`") == F.count(p)).alias(f"_ok{i}") for i, (c, p) in enumerate(plain.items())])
-    joined = df.join(whole, "_file")
+    # Written first, so that the join knows its size: the rows are not dealt by file, which may be large.
+    joined = df.join(cut(df.sparkSession, whole, "whole-columns"), "_file")
     return joined.select("_file", *[
         F.when(F.col(f"_ok{i}"), p).otherwise(F.col(f"`{c}`")).alias(c) for i, (c, p) in enumerate(plain.items())])
 

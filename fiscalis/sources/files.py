@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,9 +103,26 @@ def folder_lines(spark: SparkSession, path) -> DataFrame:
     return lines.select(F.regexp_extract("file", "^(.*)/", 1).alias("file"), "line")
 
 
+def _first_of_runs(batches):
+    """Rows (file, at, line) of a task in order to the first one of each run of rows from one block of a file."""
+    held = None
+    for batch in batches:
+        files, blocks = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).field("block").to_numpy()
+        if len(files):
+            keep = np.r_[(batch.column(0)[0].as_py(), blocks[0]) != held, (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])]
+            held = (batch.column(0)[-1].as_py(), blocks[-1])
+            yield batch.filter(pa.array(keep))
+
+
+def leading_lines(lines: DataFrame) -> DataFrame:
+    """The first non-blank line of each block of a file, among which is the file's: the least of texts sorts its rows, so few may reach it."""
+    rows = lines.where(F.trim("line") != "").select("file", "at", F.col("line").cast("binary").alias("line"))
+    return rows.mapInArrow(_first_of_runs, rows.schema).withColumn("line", F.col("line").cast("string"))
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """The first non-blank line of each file."""
-    return lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("first"))
+    return leading_lines(lines).groupBy("file").agg(F.min_by("line", "at").alias("first"))
 
 
 def reader_for(code: Column, path: Column, first: Column) -> Column:

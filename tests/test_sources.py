@@ -177,3 +177,16 @@ def test_rows_are_not_dealt_by_language_or_file(spark, tmp_path):
     df = all_queries()["src02_encoding"].build(spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [("ISO-8859-1", 1, True), ("UTF-8", 51, True)]
     assert "hashpartitioning(file" not in df._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "a.csv").write_text("a;b\n1,5;x\n2,5;y\n")
+    part, = delimited.read_folder(spark, str(tmp_path / "a.csv"))
+    assert sorted((r.a, r.b) for r in part.collect()) == [("1.5", "x"), ("2.5", "y")]
+    assert "hashpartitioning(_file" not in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_lines_reach_the_sort_for_the_first(spark, tmp_path):
+    for name, body in {"a.txt": b"\n  \n\xf1and\xfa\nx\n", "b.txt": b"uno\n" * 30_000}.items():
+        (tmp_path / name).write_bytes(body)
+    lines = files.file_lines(spark, str(tmp_path))
+    assert sorted((r.file[-5:], bytes(r.l)) for r in files.first_lines(lines).select("file", F.col("first").cast("binary").alias("l")).collect()) == [
+        ("a.txt", b"\xf1and\xfa"), ("b.txt", b"uno")]
+    assert files.leading_lines(lines).count() == 2
