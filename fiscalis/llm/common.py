@@ -51,6 +51,13 @@ def row_slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[i
         lo = hi
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order. By a sort: numpy's own hash table takes 40 bytes a value in small pieces, and its
+    buckets crowd where the low bits of the values are equal."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]][:len(values)]]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (the finaliser of splitmix)."""
     x = x.astype(np.uint64, copy=True)

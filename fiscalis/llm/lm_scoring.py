@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.session import cut
 
-from .common import mix64, row_slices, text_buffer
+from .common import distinct, mix64, row_slices, text_buffer
 from .words import SPACE_SEPARATORS, WordScanner
 
 ORDER = 2
@@ -163,10 +163,13 @@ def _count_grams(order: int, count: int, spare: int):
     return run
 
 
-def _slots(hashes: np.ndarray, level: int, bits: int | np.ndarray) -> list[np.ndarray]:
+def _mixed(hashes: np.ndarray, level: int) -> np.ndarray:
+    return mix64(hashes + np.uint64(level * 0xD1342543DE82EF95 % (1 << 64)))
+
+
+def _slot(mixed: np.ndarray, probe: int, bits: int | np.ndarray) -> np.ndarray:
     """Bit positions, within its block of so many bits, of each n-gram at a level."""
-    mixed = mix64(hashes + np.uint64(level * 0xD1342543DE82EF95 % (1 << 64)))
-    return [((mixed >> np.uint64(21 * i)) % np.asarray(bits, dtype=np.uint64)).astype(np.int64) for i in range(PROBES)]
+    return ((mixed >> np.uint64(21 * probe)) % np.asarray(bits, dtype=np.uint64)).astype(np.int64)
 
 
 def _read_levels(hashes: np.ndarray, bitmap: np.ndarray, start: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -176,10 +179,11 @@ def _read_levels(hashes: np.ndarray, bitmap: np.ndarray, start: np.ndarray, bits
     for level in range(1, LEVELS + 1):
         if not len(live):
             break
-        found = np.ones(len(live), dtype=bool)
-        for at in _slots(hashes[live], level, bits[live]):
-            found &= (bitmap[start[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-        live = live[found]
+        mixed = _mixed(hashes[live], level)
+        for probe in range(PROBES):  # most of those that aren't there fail at the first one
+            at = _slot(mixed, probe, bits[live])
+            found = (bitmap[start[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, mixed = live[found], mixed[found]
         out[live] = level
     return out
 
@@ -188,8 +192,9 @@ def _bitmap(hashes: np.ndarray, levels: np.ndarray, least: int) -> bytes:
     bits = max(-(-BITS_AN_ENTRY * int(levels.sum()) // 64) * 64, least, 64)
     odd = np.zeros(bits, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _slots(hashes[levels >= level], level, bits):
-            odd[at] = True
+        mixed = _mixed(hashes[levels >= level], level)
+        for probe in range(PROBES):
+            odd[_slot(mixed, probe, bits)] = True
     return np.packbits(odd, bitorder="little").tobytes()
 
 
@@ -263,8 +268,8 @@ class Model:
         probability, context = None, None
         for n in range(1, self.order + 1):
             hashes, whole = _grams(sequence, first, n, self.spare)
-            distinct, back = np.unique(hashes, return_inverse=True)
-            counts = count_of(levels(distinct))[back]
+            asked, back = np.unique(hashes, return_inverse=True)
+            counts = count_of(levels(asked))[back]
             if n == 1:
                 probability = (counts + 1) / total
             else:
@@ -340,12 +345,13 @@ def _scored_slice(scanner: WordScanner, logs: dict[bytes, float], kept: list, na
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         words = folded[a:b].tobytes().split()
         words.append(b"")
-        values = [logs[w] for w in words if w in logs]
+        found = list(map(logs.get, words))
+        values = [x for x in found if x is not None]
         n.append(len(words))
         known.append(len(values))
         base.append(math.fsum(values))
         if len(values) < len(words):
-            rest = Counter(w for w in words if w not in logs)
+            rest = Counter([w for w, x in zip(words, found, strict=True) if x is None])
             words_of.extend(rest)
             times_of.extend(rest.values())
         ends.append(len(words_of))
@@ -368,13 +374,13 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct(sequence: np.ndarray, first: np.ndarray, order: int, spare: int = 0) -> np.ndarray:
-    return np.unique(np.concatenate([hashes[whole] for hashes, whole in (_grams(sequence, first, n, spare) for n in range(1, order + 1))]))
+    return distinct(np.concatenate([hashes[whole] for hashes, whole in (_grams(sequence, first, n, spare) for n in range(1, order + 1))]))
 
 
 def _lot(data: np.ndarray, offsets: np.ndarray, scanner: WordScanner, order: int, spare: int) -> tuple[np.ndarray, list[tuple]]:
     """The distinct n-grams of many texts, and (first row, end row, sequences) of their slices."""
     slices = [(lo, hi, _sequences(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], scanner)) for lo, hi in row_slices(offsets)]
-    return np.unique(np.concatenate([_distinct(*sequences, order, spare) for _, _, sequences in slices])), slices
+    return distinct(np.concatenate([_distinct(*sequences, order, spare) for _, _, sequences in slices])), slices
 
 
 def _ask(model: Model):
@@ -424,9 +430,10 @@ def _answer(count: int, spare: int):
 
 def _score_dealt(model: Model):
     """The rows of a slice and the answers to its questions to scored rows."""
+    logs, model = {w: math.log10(c + 1) for w, c in model.head.items()}, replace(model, head={})
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         scanner = WordScanner(SPACE_SEPARATORS, lower=True)
-        logs = {w: math.log10(c + 1) for w, c in model.head.items()}
         left = left.take(pa.array(np.argsort(left.column("row").to_numpy())))
         rows, answers = left.column("row").to_numpy(), {}
         for lot, part, levels, n in zip(*(right.column(c).to_pylist() for c in ("lot", "part", "levels", "n")), strict=True):

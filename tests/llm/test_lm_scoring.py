@@ -12,6 +12,7 @@ pytest.importorskip("fiscalis.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from fiscalis.llm import lm_scoring as lm  # noqa: E402
+from fiscalis.llm.common import distinct  # noqa: E402
 from fiscalis.llm.queries import LLM_QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +75,23 @@ def test_packed_hashes_come_back(spare):
         assert n < 5000 or len(data) < n * (8 * 8 - 8 - spare) / 8
 
 
+def test_distinct_grams_are_sorted_not_hashed(monkeypatch):
+    """numpy's hash table is slow on hashes with cleared low bits; it is used where only the values are asked for."""
+    def unique(values, **asked):
+        assert asked, "a hash table"
+        return plain(values, **asked)
+    plain = np.unique
+    words = " ".join(f"w{i % 700}" for i in range(3000))
+    data, offsets = np.frombuffer((words + words).encode(), dtype=np.uint8), np.array([0, len(words), len(words), 2 * len(words)])
+    monkeypatch.setattr(np, "unique", unique)
+    scanner = lm.WordScanner(lm.SPACE_SEPARATORS, True)
+    hashes, slices = lm._lot(data, offsets, scanner, 2, 12)
+    assert len(slices) == 1 and (hashes[1:] > hashes[:-1]).all()
+    grams = [lm._grams(*slices[0][2], n, 12) for n in (1, 2)]
+    assert set(hashes.tolist()) == {h for found, whole in grams for h in found[whole].tolist()}
+    assert distinct(np.zeros(0, dtype=np.uint64)).tolist() == [] and distinct(np.array([3, 1, 3])).tolist() == [1, 3]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b"), (1, "A b"), (2, None), (None, ""), (4, "x " * 60_000)], "doc_id long, text string").selectExpr("*", "1 AS row", "'x' AS score", "2 AS word")
     texts = docs.where("doc_id = 1").select("text")
