@@ -28,7 +28,7 @@ from fiscalis.llm.minhash_dedup import near_duplicates
 from fiscalis.llm.quality import fit_quality, score_quality
 from fiscalis.llm.secret_scan import find_secrets, redact
 from fiscalis.llm.sentencepiece_scan import encode_texts, load_vocabulary
-from fiscalis.session import cut
+from fiscalis.session import bounded_batches, cut
 
 # Words of a shingle and similarity (percent) of near-duplicates in this pipeline.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -43,6 +43,7 @@ def _rows(picked: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), "doc_id")
     scored = score_quality(docs.select(_row(docs.columns), "text"), model, [F.col("row")])
     return _rows(scored.where("predicted = 1"))
@@ -55,6 +56,7 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without words link with nothing and stay."""
+    bounded_batches(spark)
     numbered, key = _numbered(spark, docs), F.col("row.doc_id")
     # Smallest id first, NULL last; rows under one id by their content, equal rows by their number.
     order = F.struct(key.isNull().alias("unnamed"), key.alias("id"), F.xxhash64("row").alias("content"), "number").alias("key")
@@ -64,6 +66,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     numbered = _numbered(spark, docs)
     judged = contaminated_words(numbered.select("number", F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), key="number", nameless=True)
     gone = judged.where(F.size("hits") > 0).select("number")
@@ -77,6 +80,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return encode_texts(docs, load_vocabulary(), [F.col("doc_id"), F.col("lang"), F.col("source")])
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fiscalis.session import cut
 
-from .common import row_slices, text_buffer
+from .common import distinct, row_slices, text_buffer
 from .words import SYMBOL_SEPARATORS, WordScanner, gram_hashes, least_positions
 
 WINDOW, GRAM = 10, 5
@@ -46,7 +46,7 @@ def _fingerprints(tokens, window: int, gram: int, short: list[int]) -> Iterator[
     hashed, _ = gram_hashes(tokens, gram)
     least = least_positions(hashed, window - gram + 1)
     last = np.repeat(tokens.first[1:], np.diff(tokens.first))
-    chosen = np.unique(least[np.arange(len(least)) + window <= last])
+    chosen = distinct(least[np.arange(len(least)) + window <= last])
     yield window, chosen, hashed[chosen]
     for n in short:
         hashed, whole = gram_hashes(tokens, n)

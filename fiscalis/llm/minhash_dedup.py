@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from fiscalis.session import cut
 
 from .cells import each_cell
-from .common import mix64, row_slices, text_buffer
+from .common import distinct, mix64, row_slices, text_buffer
 from .components import components
 from .words import SPACE_SEPARATORS, WordScanner, gram_hashes
 
@@ -81,7 +81,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, scanner: WordScanner, words: in
     for r, n in enumerate(short.tolist()):
         a = tokens.first[r]
         if n >= words:
-            out.append(np.unique(hashed[a:a + n - words + 1]))
+            out.append(distinct(hashed[a:a + n - words + 1]))
         else:
             out.append(fewer[n][a:a + 1] if n else hashed[:0])
     return out

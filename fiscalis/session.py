@@ -71,6 +71,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Rows that a task passes to Python at once. Whole documents are passed, and the JVM and Python both hold them.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks pass at most BATCH_ROWS rows to Python at once; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Have a written path removed when the session's process ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,8 @@ import pytest
 from compare import connect
 from pyspark.sql import functions as F
 
+from fiscalis.session import BATCH_CONF, BATCH_ROWS, bounded_batches
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("fiscalis.llm")
 
@@ -143,3 +145,21 @@ def test_columns_of_any_name_pass_unchanged(spark):
         got = after.collect()
         assert got and all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_python_gets_batches_of_bounded_size(spark):
+    """Whole rows of 10,000 documents at once, with their text beside them, filled an executor."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.unset(BATCH_CONF)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "secrets":  # Spark functions only
+                spark.conf.unset(BATCH_CONF)
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(BATCH_CONF)) == BATCH_ROWS < 10_000
+        for asked, held in (("7", "7"), ("0", str(BATCH_ROWS))):
+            spark.conf.set(BATCH_CONF, asked)
+            bounded_batches(spark)
+            assert spark.conf.get(BATCH_CONF) == held
+    finally:
+        spark.conf.unset(BATCH_CONF)
