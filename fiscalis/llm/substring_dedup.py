@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalis.session import cut
+from fiscalis.session import bounded_batches, cut
 
-from .common import mix64, row_slices, text_buffer
+from .common import distinct, mix64, row_slices, text_buffer
 from .fm_index import FMIndex
 from .words import SPACE_SEPARATORS, WordScanner, gram_hashes, least_positions
 
@@ -106,7 +106,7 @@ def _pack_anchors(window: int, gram: int, parts: int):
         for batch, _, _, tokens in _slices(batches, WordScanner(SPACE_SEPARATORS, lower=False)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             _, anchor, hashed = _anchors(tokens, window, gram)
-            anchor = np.unique(anchor)
+            anchor = distinct(anchor)
             owner = np.searchsorted(tokens.first, anchor, side="right") - 1
             order = np.lexsort((owner, hashed[anchor]))
             h, row = hashed[anchor][order], owner[order]
@@ -313,6 +313,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     if not 8 <= window <= 16 or not 0 < gram < window:
         raise ValueError("windows of 8 to 16 words, longer than the grams")
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
     packed, least = "part int, n bigint, data binary", int(spark.conf.get("spark.sql.shuffle.partitions"))

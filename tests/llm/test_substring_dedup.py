@@ -76,3 +76,17 @@ def test_backward_search_counts():
         for w, a, lo, hi in zip(which.tolist(), at.tolist(), low.tolist(), high.tolist()):
             pattern = texts[w][a:]
             assert hi - lo == sum(plain[i:i + len(pattern)] == pattern for i in range(len(plain)))
+
+
+def test_python_gets_batches_of_bounded_size(spark):
+    from fiscalis.llm.substring_dedup import remove_repeats
+    from fiscalis.session import BATCH_CONF, BATCH_ROWS
+
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    spark.conf.unset(BATCH_CONF)
+    try:
+        rows = {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()}
+        assert rows == {1: 0, 2: 20} and int(spark.conf.get(BATCH_CONF)) == BATCH_ROWS
+    finally:
+        spark.conf.unset(BATCH_CONF)
