@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -72,8 +72,7 @@ class Vocabulary:
     nexts: np.ndarray
     score: np.ndarray            # by node; NONE where no piece ends
     ident: np.ndarray
-    ids_of: dict = field(default_factory=dict)    # segments solved so far
-    score_of: dict = field(default_factory=dict)
+    ids_of: dict = field(default_factory=dict)    # segments solved so far, with their ids, score and decoded bytes
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie nodes reached, -1 for none."""
@@ -143,13 +142,13 @@ def code_points(segment: str) -> np.ndarray:
     return codes
 
 
-def piece_ends(codes: np.ndarray, left: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the pieces that end at each character, by length from the longest to one.
+def piece_ends(codes: np.ndarray, left: np.ndarray, vocabulary: Vocabulary, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the pieces that end at each character, by length from `longest` to one.
 
-    `left` is the number of characters from each position to the end of its segment.
+    `left` is the number of characters from each position to the end of its segment; no piece in a segment is longer than `longest`.
     A character without a piece has id -1 - code point.
     """
-    n, longest = len(codes), vocabulary.longest
+    n = len(codes)
     scores = np.full((n + longest, longest), NONE)
     ids = np.zeros((n + longest, longest), dtype=np.int32)
     char = np.searchsorted(vocabulary.chars, codes)
@@ -229,7 +228,7 @@ def _traced(back: np.ndarray, ids: np.ndarray, starts: np.ndarray, at: np.ndarra
         length = back[rows, at[rows]].astype(np.int64)
         rows, length = rows[length > 0], length[length > 0]
         if len(rows):
-            steps.append((rows, ids[starts[rows] + at[rows] - 1, vocabulary.longest - length]))
+            steps.append((rows, ids[starts[rows] + at[rows] - 1, ids.shape[1] - length]))
             counts[rows] += 1
             at[rows] -= length
             rows = rows[at[rows] > 0]
@@ -256,23 +255,24 @@ def _from_start(n: int, longest: int) -> np.ndarray:
 
 def encode_short(segments: list[str], vocabulary: Vocabulary) -> list[tuple[bytes, float]]:
     """Segments that are chunks of their own, solved side by side."""
-    order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+    lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+    order = np.argsort(lengths, kind="stable")
+    lengths = lengths[order]
+    ends, order = np.cumsum(lengths), order.tolist()
     out: list = [None] * len(segments)
     lo = 0
     while lo < len(order):
-        hi, total = lo, 0
-        while hi < len(order) and (total < BATCH_CHARS or hi == lo) and len(segments[order[hi]]) <= 2 * len(segments[order[lo]]) + 8:
-            total += len(segments[order[hi]])
-            hi += 1
-        part = [segments[i] for i in order[lo:hi]]
-        sizes = np.array([len(s) for s in part])
+        full = np.searchsorted(ends, ends[lo] - lengths[lo] + BATCH_CHARS) + 1
+        hi = int(min(full, np.searchsorted(lengths, lengths[lo] + lengths[lo] // 4 + 1, side="right")))
+        part, sizes = [segments[i] for i in order[lo:hi]], lengths[lo:hi]
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         codes = code_points("".join(part))
         left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
-        scores, ids = piece_ends(codes, left, vocabulary)
         most = int(sizes.max())
-        scores = np.concatenate([scores, np.full((most, vocabulary.longest), NONE)])
-        best, back = forward(scores, starts, most, _from_start(len(part), vocabulary.longest), over=False)
+        longest = min(vocabulary.longest, most)
+        scores, ids = piece_ends(codes, left, vocabulary, longest)
+        scores = np.concatenate([scores, np.full((most, longest), NONE)])
+        best, back = forward(scores, starts, most, _from_start(len(part), longest), over=False)
         traced = _traced(back, ids, starts, sizes, vocabulary)
         for i, found, score in zip(order[lo:hi], traced, best[np.arange(len(part)), sizes].tolist(), strict=True):
             out[i] = (found, score)
@@ -291,7 +291,7 @@ class Chunk:
         self.chunk = max(chunk, self.longest)
         count = max(1, size // self.chunk)  # the last part takes the rest, so none is shorter than a piece
         self.starts, self.rest = np.arange(count) * self.chunk, size - (count - 1) * self.chunk
-        scores, self.ids = piece_ends(codes, len(codes) - np.arange(len(codes)), vocabulary)
+        scores, self.ids = piece_ends(codes, len(codes) - np.arange(len(codes)), vocabulary, self.longest)
         self.scores = np.concatenate([scores, np.full((self.chunk + self.longest, self.longest), NONE)])
         self.matrices = None
 
@@ -373,29 +373,51 @@ def encode_long(segment: str, vocabulary: Vocabulary, chunk: int = CHUNK) -> tup
 
 def encode(texts: list[str | None], vocabulary: Vocabulary, chunk: int = CHUNK) -> list[tuple[bytes, float]]:
     """Ids (32-bit integers) and score of each text."""
+    return [(ids, score) for ids, score, _ in encode_and_decode(texts, vocabulary, chunk)]
+
+
+def encode_and_decode(texts: list[str | None], vocabulary: Vocabulary, chunk: int = CHUNK) -> list[tuple[bytes, float, str]]:
+    """Ids, score and the text decoded from the ids of each text; a segment is encoded and decoded once while it is remembered."""
     cut = [(re.findall(r" +[^ ]*", " " + t) if vocabulary.splits else [" " + t]) if t else [] for t in texts]
-    ids, scores = vocabulary.ids_of, vocabulary.score_of
-    if len(ids) > REMEMBER:
-        ids.clear()
-        scores.clear()
-    new = set(chain.from_iterable(cut)).difference(ids)
+    known, met = vocabulary.ids_of, set(chain.from_iterable(cut))
+    if len(known) > REMEMBER:  # those of these texts stay, the frequent ones among them
+        kept = {s: known[s] for s in met.intersection(known)}
+        known.clear()
+        known.update(kept)
+    new = met.difference(known)
     short = [s for s in new if len(s) <= chunk]
-    for s, (found, score) in zip(short, encode_short(short, vocabulary), strict=True):
-        ids[s], scores[s] = found, score
     long_ = [s for s in new if len(s) > chunk]
+    solved = encode_short(short, vocabulary)
+    pieces, at = _pieces(b"".join([ids for ids, _ in solved]), vocabulary), 0
+    for s, (ids, score) in zip(short, solved, strict=True):
+        end = at + len(ids) // 4
+        known[s] = ids, score, b"".join(pieces[at:end])
+        at = end
     for s in long_:
-        ids[s], scores[s] = encode_long(s, vocabulary, chunk)
-    out = [(b"".join(map(ids.__getitem__, segments)), math.fsum(map(scores.__getitem__, segments))) for segments in cut]
+        ids, score = encode_long(s, vocabulary, chunk)
+        known[s] = ids, score, b"".join(_pieces(ids, vocabulary))
+    out = []
+    for segments in cut:
+        found = list(map(known.__getitem__, segments))
+        out.append((b"".join([ids for ids, _, _ in found]), math.fsum([score for _, score, _ in found]), _text([back for _, _, back in found])))
     for s in long_:
-        del ids[s], scores[s]
+        del known[s]
     return out
 
 
+def _pieces(ids: bytes, vocabulary: Vocabulary) -> list[bytes]:
+    return list(map(vocabulary.text.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist()))
+
+
+def _text(pieces: Iterable[bytes]) -> str:
+    return b"".join(pieces)[1:].decode("utf-8", errors="replace")
+
+
 def decode(ids: bytes | list[int], vocabulary: Vocabulary) -> str:
     """The text of ids, given as a list or as 32-bit integers."""
     if isinstance(ids, bytes):
         ids = np.frombuffer(ids, dtype=np.int32).tolist()
-    return b"".join(map(vocabulary.text.__getitem__, ids))[1:].decode("utf-8", errors="replace")
+    return _text(map(vocabulary.text.__getitem__, ids))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -415,10 +437,10 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tu
 def _encode(vocabulary: Vocabulary, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _runs(batches):
-            found = encode(texts, vocabulary)
-            scores = pa.array([score for _, score in found])
-            same = pa.array([decode(ids, vocabulary) == (t or "") for (ids, _), t in zip(found, texts, strict=True)])
-            yield _columns(batch.columns[:-1], batch.schema.names[:-1], [ids for ids, _ in found], scores, same, digest)
+            found = encode_and_decode(texts, vocabulary)
+            scores = pa.array([score for _, score, _ in found])
+            same = pa.array([back == (t or "") for (_, _, back), t in zip(found, texts, strict=True)])
+            yield _columns(batch.columns[:-1], batch.schema.names[:-1], [ids for ids, _, _ in found], scores, same, digest)
     return run
 
 

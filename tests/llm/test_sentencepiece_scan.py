@@ -115,3 +115,18 @@ def test_giant_texts_over_many_tasks(spark, model, monkeypatch, giant, band):
     assert digest[2] == digest[10] == digest[11] == __import__("hashlib").sha256(np.array(got[2]["ids"], dtype=np.int32).tobytes()).hexdigest()
     chunks = q._encode_giants(df.where("text IS NOT NULL AND length(text) > 200").select(F.col("doc_id").alias("number"), "text"), vocabulary)
     assert chunks.selectExpr("max(size(ids))").first()[0] > 1
+
+
+def test_segments_are_decoded_once_and_frequent_ones_stay_remembered(model, monkeypatch):
+    vocabulary, _ = model
+    monkeypatch.setattr(q, "REMEMBER", 3)
+    vocabulary.ids_of.clear()
+    texts = ["the words of a text", "", None, "the  other wörds 😀", "x" * 1300 + " the"]
+    for _ in range(2):
+        found = q.encode_and_decode(texts, vocabulary)
+        assert [back for _, _, back in found] == [t or "" for t in texts]
+        assert [q.decode(ids, vocabulary) for ids, _, _ in found] == [t or "" for t in texts]
+    solved, plain_solver = [], q.encode_short
+    monkeypatch.setattr(q, "encode_short", lambda segments, v: solved.extend(segments) or plain_solver(segments, v))
+    q.encode_and_decode(["the new", "the text"], vocabulary)
+    assert solved == [" new"] and set(vocabulary.ids_of) == {" the", " text", " new"}
