@@ -3,10 +3,11 @@
 Terms are keyed by their language, so one CountVectorizer counts for all languages at once, each term by the
 documents of its language alone. The terms of `min_docs` documents or more are counted as a table, and the
 vectorizer is fitted on them, without a limit of their number. Its model
-builds the sparse vector of each document, and vectors are summed by source and place, in each task first: no group is ever a
+builds the sparse vectors of the documents of a source in a slice of some MB, where a term that stands n times is handed over once for each
+bit of n, and vectors are summed by source and place, in each task first: no group is ever a
 dense vector. The vocabulary is dealt by term hash into shards of about `SHARD_TERMS` terms, and
 one model is made a shard, so that the driver and each task hold one shard, however large the corpus. Counts stay exact as
-doubles below 2^53 a document.
+doubles below 2^53 a batch.
 
 A term's share in a group is p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N being the group's counted
 terms and V the language's vocabulary; two shares differ by floor((p - q)^2 / (p + q)). The
@@ -47,6 +48,7 @@ SCALE = 1_000_000_000
 ALL_TERMS = (1 << 31) - 1
 MARK = b"\0"  # stands in no term
 SLICE = 8 << 20
+ROW_TERMS = 256  # terms of a row for the vectorizer, so that a batch of rows stays small
 
 # Bytes that stand in no term become spaces, A-Z become a-z; bytes of longer characters stay.
 FOLD = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if c <= 0x5A else c for c in range(256))
@@ -79,33 +81,41 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _keyed(shards: int, shard: int):
-    """Documents to (source, keyed): their terms of a shard, in order and with repeats, each behind its language."""
+    """Documents to (source, times, keyed): distinct terms of a shard that stand in a slice's documents of a source, each behind
+    its language. A row has terms whose count holds the bit `times`, so each row with a term stands for so many of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             sizes = pc.binary_length(whole.column(2)).to_numpy(zero_copy_only=False)
             for lo, hi in row_slices(np.r_[0, np.cumsum(sizes)], SLICE):
-                batch, data, ends, rows = whole.slice(lo, hi - lo), [], [], [0]
-                for lang, words in _words(batch):
-                    key = lang + MARK
-                    if shards > 1:
-                        words = [w for w in words if crc32(w) % shards == shard]
-                    if words:
-                        data.append(key + key.join(words))
-                        ends += [len(key) + n for n in map(len, words)]
-                    rows.append(rows[-1] + len(words))
-                at = np.r_[0, np.cumsum(np.array(ends, dtype=np.int64))].astype(np.int32)
-                terms = pa.StringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(b"".join(data)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), terms)], ["source", "keyed"])
+                batch, held = whole.slice(lo, hi - lo), {}
+                for source, (lang, words) in zip(batch.column(1).to_pylist(), _words(batch), strict=True):
+                    held.setdefault((source, lang), Counter()).update(words)
+                terms, ends, sources, times = [], [0], [], []
+                for (source, lang), counts in held.items():
+                    key, bit = lang + MARK, 1
+                    left = {w: n for w, n in counts.items() if crc32(w) % shards == shard} if shards > 1 else counts
+                    while left:
+                        some = [key + w for w, n in left.items() if n & bit]
+                        for at in range(0, len(some), ROW_TERMS):
+                            terms += some[at:at + ROW_TERMS]
+                            ends.append(len(terms))
+                            sources.append(source)
+                            times.append(bit)
+                        bit *= 2
+                        left = {w: n for w, n in left.items() if n >= bit}
+                keyed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(times, pa.int64()), keyed], ["source", "times", "keyed"])
     return run
 
 
 def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors (source, vector) to their sums by source and place, a batch at a time."""
+    """Sparse vectors (source, times, vector) to their sums by source and place, a batch at a time."""
     for batch in batches:
-        sources, vectors = batch.column(0).dictionary_encode(), batch.column(1)
+        sources, times, vectors = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2)
         places = vectors.field("indices")
-        at, n = places.flatten().to_numpy(), vectors.field("values").flatten().to_numpy()
-        group = np.repeat(sources.indices.to_numpy().astype(np.int64), pc.list_value_length(places).to_numpy())
+        sizes = pc.list_value_length(places).to_numpy()
+        at, n = places.flatten().to_numpy(), vectors.field("values").flatten().to_numpy() * np.repeat(times, sizes)
+        group = np.repeat(sources.indices.to_numpy().astype(np.int64), sizes)
         keys, back = np.unique(group << 32 | at, return_inverse=True)
         sums = np.bincount(back, n, len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF).cast(pa.int32()), pa.array(sums)], ["source", "at", "n"])
@@ -123,7 +133,7 @@ def group_counts(documents: DataFrame, min_docs: int = 10) -> DataFrame:
         keys = terms.select(F.array(F.concat("lang", F.lit(MARK.decode()), "term")).alias("keyed"))
         model = CountVectorizer(inputCol="keyed", outputCol="vector", minDF=1.0, vocabSize=ALL_TERMS).fit(keys)
         # Handed on whole: each field of it would build the vector again.
-        vectors = model.transform(documents.mapInArrow(_keyed(shards, shard), "source string, keyed array<string>")).select("source", F.unwrap_udt("vector"))
+        vectors = model.transform(documents.mapInArrow(_keyed(shards, shard), "source string, times bigint, keyed array<string>")).select("source", "times", F.unwrap_udt("vector"))
         sums = vectors.mapInArrow(_group_sums, "source string, at int, n bigint").groupBy("source", "at").agg(F.sum("n").alias("n"))
         named = [key.rpartition(MARK.decode()) for key in model.vocabulary]
         names = spark.createDataFrame(pa.table({"at": pa.array(range(len(named)), pa.int32()), "lang": [n[0] for n in named], "term": [n[2] for n in named]}))

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from fiscalis.llm import source_divergence as sd
@@ -70,3 +71,14 @@ def test_shares_are_exact_for_huge_counts(spark):
     n, total, kept = 7_000_000_000_123_456, 9_000_000_000_000_001, 1_234_567
     got = spark.range(1).select(sd._share(sd.F.lit(n), sd.F.lit(total), sd.F.lit(kept))).first()[0]
     assert got == 1 + 1_000_000_000 * (n + 2) // (total + 2 * kept)
+
+
+def test_repeated_terms_are_handed_over_by_the_bits_of_their_counts():
+    text = "the " * 1000 + "of " * 6
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 20, "source": ["a", "b"] * 10, "text": [text] * 20})
+    rows = [r for out in sd._keyed(1, 0)(iter([batch])) for r in out.to_pylist()]
+    for source in "ab":
+        counts = {w: sum(r["times"] * r["keyed"].count(f"en\0{w}") for r in rows if r["source"] == source) for w in ("the", "of")}
+        assert counts == {"the": 10_000, "of": 60}
+    assert sum(len(r["keyed"]) for r in rows) == 2 * ((10_000).bit_count() + (60).bit_count())
+    assert max(len(r["keyed"]) for r in rows) <= sd.ROW_TERMS
