@@ -28,7 +28,7 @@ from fiscalis.llm.minhash_dedup import near_duplicates
 from fiscalis.llm.quality import fit_quality, score_quality
 from fiscalis.llm.secret_scan import find_secrets, redact
 from fiscalis.llm.sentencepiece_scan import encode_texts, load_vocabulary
-from fiscalis.session import bounded_batches, cut
+from fiscalis.session import bounded_batches, cut, settled
 
 # Words of a shingle and similarity (percent) of near-duplicates in this pipeline.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -60,21 +60,28 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     numbered, key = _numbered(spark, docs), F.col("row.doc_id")
     # Smallest id first, NULL last; rows under one id by their content, equal rows by their number.
     order = F.struct(key.isNull().alias("unnamed"), key.alias("id"), F.xxhash64("row").alias("content"), "number").alias("key")
-    judged = near_duplicates(numbered.select(order, F.col("row.text").alias("text"), "number"), key="key", words=SHINGLE_WORDS, percent=SIMILARITY, row="number")
-    gone = judged.where(~F.col("kept")).select("key.number")
+
+    def copies() -> DataFrame:
+        judged = near_duplicates(numbered.select(order, F.col("row.text").alias("text"), "number"), key="key", words=SHINGLE_WORDS, percent=SIMILARITY, row="number")
+        return judged.where(~F.col("kept")).select("key.number")
+    gone = settled(spark, copies, "copies")
     return _rows(numbered.join(gone, "number", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     numbered = _numbered(spark, docs)
-    judged = contaminated_words(numbered.select("number", F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), key="number", nameless=True)
-    gone = judged.where(F.size("hits") > 0).select("number")
+
+    def leaks() -> DataFrame:
+        judged = contaminated_words(numbered.select("number", F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), key="number", nameless=True)
+        return judged.where(F.size("hits") > 0).select("number")
+    gone = settled(spark, leaks, "leaks")
     return _rows(numbered.join(gone, "number", "left_anti"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = redact(find_secrets(docs.select(_row(docs.columns), "text")))
+    # The text is scanned and written inside its row, once.
+    found = redact(find_secrets(docs.select(_row(docs.columns)), "row.text").withColumn("text", F.col("row.text")))
     fresh = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
     return found.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job needs for right results, whatever the cluster size.
 RESULT_CONF = {
@@ -81,10 +82,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+# Paths of the tables written within each call of `settled` that is at work.
+MADE: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Have a written path removed when the session's process ends."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _path(spark, path)
+    files.deleteOnExit(target)
 
 
 def cut(spark: SparkSession, df, name: str):
@@ -101,4 +111,21 @@ def cut(spark: SparkSession, df, name: str):
         else:
             spark.conf.set(CLEANUP, before)
     remove_at_end(spark, path)
+    if MADE:
+        MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that `build` makes, cut. The tables that `build` cut on the way are removed then, for nothing reads them any more:
+    only the returned table may leave `build`."""
+    MADE.append([])
+    try:
+        df = build()
+    finally:
+        made = MADE.pop()
+    out = cut(spark, df, name)
+    for path in made:
+        files, target = _path(spark, path)
+        files.delete(target, True)
+    return out

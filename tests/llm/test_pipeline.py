@@ -1,12 +1,13 @@
 """The corpus pipeline on the smallest tables: each stage against brute force on its own input."""
 
+import os
 import re
 
 import pytest
 from compare import connect
 from pyspark.sql import functions as F
 
-from fiscalis.session import BATCH_CONF, BATCH_ROWS, bounded_batches
+from fiscalis.session import BATCH_CONF, BATCH_ROWS, bounded_batches, shared_dir
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("fiscalis.llm")
@@ -163,3 +164,21 @@ def test_python_gets_batches_of_bounded_size(spark):
             assert spark.conf.get(BATCH_CONF) == held
     finally:
         spark.conf.unset(BATCH_CONF)
+
+
+@pytest.mark.parametrize("stage", ["near_duplicate", "decontamination"])
+def test_tables_behind_a_decision_go_when_it_is_written(spark, stage):
+    def tables():
+        return set(os.listdir(shared_dir(spark)))
+    before, docs = tables(), spark.read.parquet(f"{SF}/documents.parquet")
+    left = getattr(corpus_pipeline, stage)(spark, docs, SF)
+    decision = {"near_duplicate": "copies", "decontamination": "leaks"}[stage]
+    assert sorted(name.rsplit("-", 1)[0] for name in tables() - before) == sorted([decision, "numbered"])
+    assert 0 < left.count() <= docs.count()
+
+
+def test_secrets_writes_each_text_once(spark):
+    before, docs = set(os.listdir(shared_dir(spark))), spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.secrets(spark, docs, SF)
+    written, = set(os.listdir(shared_dir(spark))) - before
+    assert set(spark.read.parquet(f"{shared_dir(spark)}/{written}").columns) == {"row", "_scan"}
