@@ -97,20 +97,32 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(target)
 
 
-def cut(spark: SparkSession, df, name: str):
-    """Write `df` to the shared folder and read it back, so that later stages
-    start from files that outlive any executor. The files of the job's shuffles go
-    when it has ended, the table when the session's process ends."""
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written path now."""
+    files, target = _path(spark, path)
+    files.delete(target, True)
+
+
+def save(spark: SparkSession, writer, path: str) -> None:
+    """Write to a path of the shared folder. The files of the job's shuffles go when it has ended,
+    the table when the session's process ends."""
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        writer.mode("overwrite").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
     remove_at_end(spark, path)
+
+
+def cut(spark: SparkSession, df, name: str):
+    """Write `df` to the shared folder and read it back, so that later stages
+    start from files that outlive any executor."""
+    path = scratch_path(spark, name)
+    save(spark, df.write, path)
     if MADE:
         MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -126,6 +138,5 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
         made = MADE.pop()
     out = cut(spark, df, name)
     for path in made:
-        files, target = _path(spark, path)
-        files.delete(target, True)
+        remove(spark, path)
     return out

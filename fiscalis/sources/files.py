@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fiscalis import reference_data as ref
 from fiscalis.functions.labels import lookup
+from fiscalis.functions.md5 import BLOCK, START, block_function, finish
+from fiscalis.session import cut, remove, save, scratch_path
 
 # Format code -> reader, and extension -> reader when the format lies.
 READER_OF_FORMAT = {"CSV": "delimited", "TSV": "delimited", "XLSX": "workbook", "XLS": "workbook",
@@ -20,6 +21,15 @@ READER_OF_EXTENSION = {"csv": "delimited", "tsv": "delimited", "xlsx": "workbook
 
 
 PIECE_BYTES = 1 << 20
+# A file's digest goes on by this many bytes a job, and a job's files are dealt to this many tasks for each such load.
+SEGMENT_BYTES, DEALT = 128 << 20, 4
+PIECES = "file string, size bigint, block bigint, k bigint, piece binary"
+STATES = "file string, size bigint, last bigint, extra bigint, digest binary, tail binary, md5 string"
+# Pieces are large values: a reader holds a row group of them.
+SMALL_ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+# Names of files that Spark's text reader unpacks; their bytes come whole, as rows of up to 2 GB.
+UNPACKED = r"(?i)\.(gz|gzip|bz2|bzip2|deflate|lz4|snappy|zst|zstd)$"
 
 
 def _pack_lines(batches):
@@ -42,47 +52,89 @@ def _pack_lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["file", "size", "block", "k", "piece"])
 
 
-def _stream_md5(batches):
-    """Pieces in the order of their files to (path, bytes, md5). The last line end counts only if the file's size holds it."""
-    held, state, seen, last = None, None, 0, b""
-    out = []
+def _advance_md5(batches):
+    """Rows in the order of their files, each file's state before its pieces, to the states after them.
 
-    def finish():
-        state.update(last if seen <= held[1] else last[:-1])
-        out.append((*held, state.hexdigest()))
+    Where no more pieces follow, the MD5 is made. The last `extra` bytes of a file are not its own: they wait in the tail.
+    """
+    blocks = block_function()
+    held = None
+
+    def after():
+        own = held["tail"][:len(held["tail"]) - held["extra"]]
+        return {**held, "md5": finish(blocks, held["digest"], own, held["size"]) if held["final"] else None}
     for batch in batches:
         out = []
-        for file, size, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()):
-            if held is None or held[0] != file:
+        for row in batch.to_pylist():
+            if row["block"] < 0:
                 if held is not None:
-                    finish()
-                held, state, seen, last = (file, size), hashlib.md5(), 0, b""
-            state.update(last)
-            seen, last = seen + len(piece), piece
-        yield _manifest_rows(out)
+                    out.append(after())
+                held = {name: row[name] for name in ("file", "size", "last", "extra", "final", "digest")} | {"tail": row["piece"]}
+                continue
+            data = held["tail"] + row["piece"]
+            whole = (len(data) - held["extra"]) // BLOCK * BLOCK
+            if whole > 0:
+                held["digest"], data = blocks(held["digest"], data[:whole]), data[whole:]
+            held["tail"] = data
+        yield _state_rows(out)
     if held is not None:
-        out = []
-        finish()
-        yield _manifest_rows(out)
+        yield _state_rows([after()])
+
+
+def _state_rows(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "size": pa.int64(), "last": pa.int64(), "extra": pa.int64(), "digest": pa.binary(), "tail": pa.binary(), "md5": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()], list(kinds))
 
 
-def _manifest_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"path": pa.string(), "bytes": pa.int64(), "md5": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+def _open_states(pieces: DataFrame) -> DataFrame:
+    """The state of each file before its first piece. Spark's reader drops a byte order mark, and each line has got a line end, the last one too."""
+    ends = pieces.groupBy("file", "size").agg(F.sum("bytes").alias("found"), F.max("segment").alias("last"))
+    mark = F.col("found") < F.col("size")
+    extra = F.col("found") + F.when(mark, len(BYTE_ORDER_MARK)).otherwise(0) - F.col("size")
+    return ends.select(
+        "file", "size", "last", F.when(extra.isin(0, 1), extra).otherwise(
+            F.raise_error(F.concat(F.lit("other bytes than the file's were read: "), "file"))).cast("bigint").alias("extra"),
+        F.lit(START).alias("digest"), F.when(mark, F.lit(BYTE_ORDER_MARK)).otherwise(F.lit(b"")).alias("tail"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and MD5 of every file with content below a path.
 
-    Files are read in splits, so a file may be larger than a row can be; each digest
-    streams over its file's pieces of about `PIECE_BYTES`, in order.
+    Files are read in splits and kept as pieces of about `PIECE_BYTES`, by segment of
+    `SEGMENT_BYTES` of their file. The digest of a file is a chain over its bytes: a job
+    for each segment takes all files on by that segment and hands their states to
+    the next, so a task reads a segment of a file, however large the file. Only lines
+    are never parted: one without a line end is read by one task.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-    rows = lines.select(
+    reader = spark.read.option("recursiveFileLookup", "true")
+    # A byte order mark alone has no line.
+    whole = F.col("_metadata.file_name").rlike(UNPACKED) | (F.col("_metadata.file_size") <= len(BYTE_ORDER_MARK))
+    rows = reader.option("lineSep", "\n").text(path).where(~whole).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("k"), F.col("value").cast("binary").alias("line"))
-    pieces = rows.mapInArrow(_pack_lines, "file string, size bigint, block bigint, k bigint, piece binary")
-    return pieces.repartition("file").sortWithinPartitions("file", "block", "k").mapInArrow(_stream_md5, "path string, bytes bigint, md5 string")
+    pieces = rows.mapInArrow(_pack_lines, PIECES).withColumns(
+        {"bytes": F.octet_length("piece").cast("bigint"), "segment": F.expr(f"block div {SEGMENT_BYTES}")})
+    kept, states = scratch_path(spark, "pieces"), scratch_path(spark, "digests")
+    save(spark, pieces.write.options(**SMALL_ROW_GROUPS).partitionBy("segment"), kept)
+    pieces = spark.read.schema(f"{PIECES}, bytes bigint, segment bigint").parquet(kept)
+    waiting = cut(spark, _open_states(pieces), "states")
+    loads = pieces.groupBy("segment").agg(F.sum("bytes").alias("bytes")).collect()
+    for segment, load in sorted(map(tuple, loads)):
+        before = waiting.select(
+            "file", "size", F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("k"), F.col("tail").alias("piece"),
+            "last", "extra", (F.col("last") == segment).alias("final"), "digest")
+        now = pieces.where(F.col("segment") == segment).select("file", "size", "block", "k", "piece")
+        dealt = before.unionByName(now, allowMissingColumns=True).repartition(1 + DEALT * load // SEGMENT_BYTES, "file")
+        after = dealt.sortWithinPartitions("file", "block", "k").mapInArrow(_advance_md5, STATES)
+        save(spark, after.write, f"{states}/upto={segment}")
+        remove(spark, f"{kept}/segment={segment}")
+        waiting = spark.read.schema(STATES).parquet(f"{states}/upto={segment}").where(F.col("md5").isNull())
+    rest = cut(spark, reader.format("binaryFile").load(path).where(whole & (F.col("length") > 0)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), F.md5("content").alias("md5")), "manifest")
+    if not loads:
+        return rest
+    done = spark.read.schema(STATES).option("recursiveFileLookup", "true").parquet(states).where(F.col("md5").isNotNull())
+    return done.select(F.col("file").alias("path"), F.col("size").alias("bytes"), "md5").unionByName(rest)
 
 
 def file_lines(spark: SparkSession, path) -> DataFrame:
